@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import chat, langid, quality
+from folio.llm.ann import search
 from folio.llm.decontam import contaminated
 from folio.llm.lines import dedup_lines
 from folio.llm.minhash import near_duplicates
@@ -44,6 +45,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_key(docs, 24).select("record.doc_id", size.alias("size"), checksum(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth vector, against all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the numbers of those that occurred before, and the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_sharding": op2_sharding,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
