@@ -62,7 +62,7 @@ def components(edge_list: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         near = both.join(label.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         new = label.join(near, "id").select("id", F.least("component", "near").alias("component"))
-        new = label.sparkSession.createDataFrame(new.toArrow()) if hasattr(new, "toArrow") else new
+        new = label.sparkSession.createDataFrame(new.toArrow())  # a figure's nodes: a few dozen rows
         moved = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old")
         label = new
         if moved.isEmpty():
@@ -99,5 +99,5 @@ def matrix(node_list: DataFrame, edge_list: DataFrame, node: str, top: int = 20)
 
 
 def wide(long: DataFrame, names: list[str]) -> DataFrame:
-    """One column for each of a stated list of names."""
-    return long.groupBy("a").pivot("b", names).agg(F.sum("weight"))
+    """(name, one column for each of a stated list of names)."""
+    return long.groupBy(F.col("a").alias("name")).pivot("b", names).agg(F.sum("weight"))

@@ -37,6 +37,7 @@ from folio.functions.names import (
     surnames_compatible,
 )
 from folio.functions.rules import COMMON_SURNAMES
+from folio.operators.lineage import cut
 
 #: Shared co-authors that merge; similarity of affiliations that merges with one shared co-author.
 SHARED_COAUTHORS, AFFILIATION_JACCARD = 2, 0.35
@@ -95,10 +96,10 @@ def blocks(occ: DataFrame, rounds: int = 12) -> DataFrame:
     for _ in range(rounds):
         least = shared.join(label, "name").groupBy("link").agg(F.min("block").alias("near"))
         near = shared.join(least, "link").groupBy("name").agg(F.min("near").alias("near"))
-        new = label.join(near, "name", "left").select("name", F.least("block", F.coalesce("near", "block")).alias("block")).checkpoint() if label.sparkSession.conf.get("spark.checkpoint.dir", None) else label.join(near, "name", "left").select("name", F.least("block", F.coalesce("near", "block")).alias("block")).persist()
-        changed = new.join(label.withColumnRenamed("block", "old"), "name").where("block <> old").isEmpty()
+        new = cut(label.join(near, "name", "left").select("name", F.least("block", F.coalesce("near", "block")).alias("block")))
+        settled = new.join(label.withColumnRenamed("block", "old"), "name").where("block <> old").isEmpty()
         label = new
-        if changed:
+        if settled:
             break
     return keyed.join(label, "name").drop("name")
 

@@ -25,9 +25,13 @@ def first_rule(value: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(F.rlike(value, rx(p)), F.lit(rule)) for rule, p in rules])
 
 
+def any_matches(values: Column, pattern: str) -> Column:
+    return F.exists(values, lambda v: F.rlike(v, rx(pattern)))
+
+
 def first_rule_of_any(values: Column, rules: list[tuple[str, str]]) -> Column:
     """As ``first_rule``, where any of an array's values may have the pattern."""
-    return F.coalesce(*[F.when(F.exists(values, lambda v, p=p: F.rlike(v, rx(p))), F.lit(rule)) for rule, p in rules])
+    return F.coalesce(*[F.when(any_matches(values, p), F.lit(rule)) for rule, p in rules])
 
 
 def classify(records: DataFrame, manual: DataFrame | None = None) -> DataFrame:

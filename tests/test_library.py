@@ -76,7 +76,7 @@ def test_identity(spark):
         paper(author("Meier", "Anna", "A"), author("Huber", "Bo", "B"), author("Koch", "Cy", "C")),
         paper(author("Meier", "A", "A"), author("Huber", "Bo", "B"), author("Koch", "Cy", "C")),
         paper(author("Meier", "Arno", "A")),
-        paper(author("Frei", "Eva", "E", orcid="1")),
+        paper(author("Noll", "Eva", "E", orcid="1")),
         paper(author("Frei-Noll", "Eva", "E", orcid="1")),
         paper(author("Zhang", "Lei", "L", ["Peking University"])),
         paper(author("Zhang", "Lei", "L", ["Fudan University"])),
@@ -236,7 +236,7 @@ def test_graphs(spark):
     shown, kept = graphs.figure_graph(spark.createDataFrame([(x, 5) for x in "abcxy"], "v string, n int"), path, "v")
     assert {r.v for r in shown.collect()} == {"a", "b", "c"} and kept.count() == 2
     assert graphs.label_propagation(path).count() == 5
-    wide = graphs.wide(graphs.matrix(graphs.nodes(items, "k", "v"), graphs.edges(items, "k", "v"), "v", 2), ["a", "b"]).orderBy("a").collect()
+    wide = graphs.wide(graphs.matrix(graphs.nodes(items, "k", "v"), graphs.edges(items, "k", "v"), "v", 2), ["a", "b"]).orderBy("name").collect()
     assert (wide[0]["b"], wide[1]["a"]) == (2, 2)
 
 
