@@ -342,3 +342,24 @@ def test_whole_analysis(spark, tmp_path):
     assert windows["comparison"].where("window = 'last_5yr'").first().total_publications == 3
     assert analysis.provenance(ready).count() > 2 and analysis.attribution(ready).count() == 12
     ready.unpersist()
+
+
+def test_command_line(spark, tmp_path):
+    from folio.__main__ import parser, run
+
+    (tmp_path / "xml").mkdir()
+    (tmp_path / "xml" / "batch_1.xml").write_text(XML.replace("On <i>in vivo</i>", "LASIK for myopia, <i>in vivo</i>"))
+    (tmp_path / "countries.csv").write_text("iso2,display_name,name_variants,city_institution_hints\nCH,Switzerland,Switzerland; Suisse,Basel\n")
+    (tmp_path / "aliases.csv").write_text("pattern,is_regex,canonical,parent,cluster,country,tier,note\nuni x,0,University X,,,CH,1,\n")
+    (tmp_path / "pop.csv").write_text("# comment\niso2,country,population\nCH,Switzerland,9000000\n")
+    (tmp_path / "ids.txt").write_text("11\n99\n")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    do = lambda *argv: run(spark, parser().parse_args(argv))
+    assert do("ingest", "--xml", at("xml"), "--stages", at("s")) == 0
+    assert do("screen", "--stages", at("s"), "--out", at("out"), "--strict") == 0
+    assert read_stage(spark, at("s"), ["screened"]).first().pmid == "11"
+    assert do("enrich", "--stages", at("s"), "--countries", at("countries.csv")) == 0
+    assert do("analyse", "--stages", at("s"), "--aliases", at("aliases.csv"), "--populations", at("pop.csv"), "--out", at("tables"), "--period", "last_5yr") == 0
+    assert spark.read.option("header", True).csv(at("tables/last_5yr/institutions_top")).first().institution == "University X"
+    assert do("delta", "--stages", at("s"), "--reference", at("ids.txt"), "--out", at("delta")) == 0
+    assert {tuple(r) for r in spark.read.option("header", True).csv(at("delta")).collect()} == {("11", "unchanged"), ("99", "removed")}
