@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folio.llm.hashing import U64, WordHasher, segments, shingles, utf8
 from folio.llm.runtime import free_columns
 
-#: Words of a seed; words of test items that one pass holds; share of an item's n-grams that seed.
+#: Words of a seed; words of test items that one pass holds; share of an item's n-grams that are rare.
 GRAM, BLOCK_WORDS, SEED_SHARE = 3, 1 << 21, 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Alignment score, as a share of the item's words, from which a passage is a copy.
@@ -84,12 +84,18 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def windows(starts: np.ndarray, item: int, words: int):
-    """Where to align: around each run of seed diagonals that lie closer than half an item apart."""
-    starts = np.unique(starts)
-    for run in np.split(starts, np.flatnonzero(np.diff(starts) > item // 2) + 1):
-        slack = item // 2 + 1
-        yield max(0, int(run[0]) - slack), min(words, int(run[-1]) + item + slack)
+def windows(hits: list[tuple[int, int, bool]], item: int, words: int):
+    """Where to align, from hits (diagonal, place in the item, whether rare).
+
+    Hits whose diagonals lie closer than half an item apart are one run; it counts if it holds a
+    rare n-gram, or two different common ones.
+    """
+    hits = sorted(hits)
+    cuts = [k for k in range(1, len(hits)) if hits[k][0] - hits[k - 1][0] > item // 2]
+    for a, b in zip([0, *cuts], [*cuts, len(hits)], strict=True):
+        run = hits[a:b]
+        if any(rare for *_, rare in run) or len({q for _, q, _ in run}) > 1:
+            yield max(0, run[0][0] - item // 2 - 1), min(words, run[-1][0] + item + item // 2 + 1)
 
 
 def _find(batches, seeds, threshold: float):
@@ -103,13 +109,13 @@ def _find(batches, seeds, threshold: float):
                 if len(words) < GRAM:
                     continue
                 at, place = find(shingles(words, GRAM))
-                starts: dict[int, list[int]] = {}
+                hits: dict[int, list[tuple[int, int, bool]]] = {}
                 for p, g in zip(at.tolist(), place.tolist(), strict=True):
-                    for item, q in owners[g]:
-                        starts.setdefault(item, []).append(p - q)
-                for item, diagonals in starts.items():
+                    for item, q, rare in owners[g]:
+                        hits.setdefault(item, []).append((p - q, q, rare))
+                for item, own in hits.items():
                     target, best = items[item], (0.0, 0, 0)
-                    for a, b in windows(np.array(diagonals), len(target), len(words)):
+                    for a, b in windows(own, len(target), len(words)):
                         score, end = align(target, words[a:b])
                         if score > best[0]:
                             back = align(target[::-1], words[a : a + end][::-1])
@@ -121,17 +127,19 @@ def _find(batches, seeds, threshold: float):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), *columns], ["id", "item", "score", "first_word", "end_word"])
 
 
-def _seeds(items: list[np.ndarray], grams: np.ndarray, counts: np.ndarray):
-    """The rarer half of each item's n-grams (by the number of texts that have them), and who owns them."""
-    owners: dict[int, list[tuple[int, int]]] = {}
+def _seeds(items: list[np.ndarray], grams: np.ndarray, counts: np.ndarray) -> list[list[tuple[int, int, bool]]]:
+    """For each n-gram the items that have it: item, place, and whether it is of the item's rarer half.
+
+    Rare by the number of texts, against the item's other n-grams: an item that a third of all
+    texts copy has its rare n-grams, too.
+    """
+    owners: list[list[tuple[int, int, bool]]] = [[] for _ in grams]
     for k, words in enumerate(items):
         own = np.searchsorted(grams, shingles(words, GRAM))
-        order = np.argsort(counts[own], kind="stable")
-        most = counts[own[order[max(0, int(np.ceil(SEED_SHARE * len(own))) - 1)]]]
-        for q in np.flatnonzero(counts[own] <= most):
-            owners.setdefault(int(own[q]), []).append((k, int(q)))
-    kept = np.array(sorted(owners), np.int64)
-    return grams[kept], [owners[int(g)] for g in kept]
+        most = np.quantile(counts[own], SEED_SHARE, method="lower")
+        for q, g in enumerate(own.tolist()):
+            owners[g].append((k, q, bool(counts[g] <= most)))
+    return owners
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -139,9 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased runs of letters and digits.  ``score`` is the Smith-Waterman score of the
     best passage over the item's words: 1 for a verbatim copy, less with each word changed, added or
-    left out; pairs below ``threshold`` are left out.  Candidates share one of the item's seeds, its
-    rarer half of 3-grams by the number of texts that have them, counted over all of ``docs``: so a
-    copy of an item that many texts hold still has seeds.
+    left out; pairs below ``threshold`` are left out.  A passage is aligned where it has one of the
+    item's rare 3-grams (the rarer half, by the number of texts that have them, counted over all of
+    ``docs``) or two of its common ones close together.
 
     The test items are held in blocks of about ``block_words`` words, each of which takes two passes
     over ``docs``; nothing of ``docs`` is shuffled but its finds.  Null texts and items and items of
@@ -167,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         counts = np.zeros(len(grams), np.int64)
         for row in counted.collect():
             counts[row["place"]] = row["n"]
-        seeds = spark.sparkContext.broadcast((*_seeds(items, grams, counts), items, names))
+        seeds = spark.sparkContext.broadcast((grams, _seeds(items, grams, counts), items, names))
         more = source.mapInArrow(partial(_find, seeds=seeds, threshold=threshold), "id long, item long, score double, first_word int, end_word int")
         found = more if found is None else found.unionByName(more)
     if found is None:
