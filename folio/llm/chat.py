@@ -58,7 +58,7 @@ class Flattener:
     def attach(self, part: dict) -> None:
         self.close()
         kind = part["kind"]
-        tokens = max(1, math.ceil((part["units"] or 0) * self.expansion[kind]))
+        tokens = max(1, math.ceil((1 if part["units"] is None else part["units"]) * self.expansion[kind]))
         self.attachments.append({"place": len(self.attachments), "kind": kind, "ref": part["ref"], "at": self.length, "tokens": tokens})
         self.tokens += tokens
         self.add(f"<|{kind}|>")

@@ -26,4 +26,19 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, coalesce(l.component_id, s.d
 FROM sizes s LEFT JOIN least_id l ON s.doc_id = l.doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_minhash_dedup": OP1}
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+chunks AS (
+  SELECT *, '<|turn|>' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || '<|body|>' || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS chunk
+  FROM turns)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, chunk)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, chunk) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(chunk)) AS BIGINT) AS formatted_chars
+FROM chunks GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op1_minhash_dedup": OP1, "op8_chat_format": OP8}
