@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,10 @@ from pyspark.sql import types as T
 
 from folio.llm.hashing import U64, fmix, segments, utf8
 
-#: Cells of the feature space; every n-gram falls into one by its hash.
-CELLS = 1 << 18
+#: Cells of the feature space; every n-gram falls into one by its hash. The last ones say how large
+#: a share of a text's word bigrams are one word twice.
+HASHED, DOUBLED = 1 << 18, (0.0, 0.05, 0.2, 0.5)
+CELLS = HASHED + len(DOUBLED)
 #: Orders of the byte n-grams.
 ORDERS = (2, 3, 4)
 #: At most so many labelled texts of each label are learned from, whole.
@@ -33,6 +36,10 @@ class Indicators:
         if len(data):
             for first in range(0, len(data), 1 << 20):
                 self.fill(self.table[data[first : first + (1 << 20) + max(ORDERS) - 1]])
+            words = data.tobytes().split()
+            twice = sum(map(eq, words, words[1:]))
+            for k, share in enumerate(DOUBLED):
+                self.mark[HASHED + k] = twice > share * (len(words) - 1)
         cells = np.flatnonzero(self.mark).astype(np.int32)
         self.mark[cells] = False
         return cells
