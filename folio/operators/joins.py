@@ -162,7 +162,7 @@ def modal_of_other_run(a: DataFrame, b: DataFrame, key: tuple[str, str], name: s
     return both.groupBy("label").agg(F.count("*").alias("n")).join(best, "label")
 
 
-def reduce_by(frames: list[DataFrame]) -> DataFrame:
+def stacked(frames: list[DataFrame]) -> DataFrame:
     """Tables of different columns, one below the other."""
     out = frames[0]
     for frame in frames[1:]:

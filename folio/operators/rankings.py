@@ -205,7 +205,7 @@ def authors_by_country(authorship: DataFrame, author: str, country: str) -> Data
 
 def without_group(records: DataFrame, authorship: DataFrame, members: DataFrame, key: str, author: str) -> DataFrame:
     """Records none of whose authors is a member."""
-    theirs = authorship.join(F.broadcast(members.select(author)), author, "left_semi").select(key).distinct() if members.isLocal() else authorship.join(members.select(author), author, "left_semi").select(key).distinct()
+    theirs = authorship.join(members.select(author), author, "left_semi").select(key).distinct()
     return records.join(theirs, key, "left_anti")
 
 

@@ -415,7 +415,7 @@ def union_of_rankings(f: Facts) -> DataFrame:
     """Two rankings one below the other, with the columns of both."""
     a = f.table("customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("customers")).withColumn("ranking", F.lit("segment"))
     b = f.table("supplier").groupBy(F.col("s_nationkey").cast("string").alias("name")).agg(F.count("*").alias("suppliers")).withColumn("ranking", F.lit("nation"))
-    return joins.reduce_by([a, b])
+    return joins.stacked([a, b])
 
 
 @query
