@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,58 +11,72 @@ from pyspark.sql import functions as F
 from folio.llm.linkage import link
 from folio.llm.runtime import Scratch
 
-#: A SimHash has 63 bits. Three counters of 21 bits share a long, so 21 sums count all of them.
-FIELD, FIELDS = 21, 3
+#: Four counters of 15 bits share a long, so 15 sums count a SimHash's 60 bits.
+FIELD, FIELDS = 15, 4
 BITS = FIELD * FIELDS
+ONES = sum(1 << FIELD * f for f in range(FIELDS))
 #: Blocks of the hash, and how many of them (of five) must agree for two lines to be compared.
 BLOCKS, AGREE = 5, 2
-#: Bits in which two compared lines may differ at most; lines of fewer words are only equal or not.
-DISTANCE, FUZZY_WORDS = 14, 6
-#: Edit distance over the longer line's length, at most, in percent.
-EDITS = 10
+#: Bits in which two compared lines may differ at most; letters that a word needs to count towards
+#: the hash (short words are shared by most lines); lines of fewer such words are only equal or not.
+DISTANCE, LETTERS, FUZZY_WORDS = 14, 5, 5
+#: Words edited (replaced, added, left out) at most, in percent of the longer line's.
+EDITS = 15
 
 
-def normalised(line: Column) -> Column:
-    """Lower-cased words, one blank between them; empty without letters and digits."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: Column) -> Column:
+    """The line's runs of letters and digits, lower-cased."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, body, number, line, norm) of each line with a word; ``body`` tells rows of one id apart."""
-    each = docs.select("id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
-    return each.withColumn("norm", normalised(F.col("line"))).where("norm <> ''")
+    """(id, body, number, words) of each line with a word; ``body`` tells rows of one id apart.
+
+    What belongs to a document is computed before its lines are dealt out, and a line's words within
+    the generator: each once, and no text is copied for every line.
+    """
+    each = docs.select("id", F.xxhash64("text").alias("body"), "text")
+    words = F.transform(F.split("text", "\n", -1), lambda x: words_of(x))
+    return each.select("id", "body", F.posexplode(words).alias("number", "words")).where("size(words) > 0")
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """(id, body, number, key, words, simhash): each line's hash, and the signs of its words' hashes summed by weight.
+    """(id, body, number, key, words, simhash): each line's hash, from the signs of its long words' summed hashes.
 
-    A distinct word weighs as much as it has letters (16 at most): long words tell lines apart,
-    while short ones are shared by most.  Counters overflow beyond 131,000 distinct words of a
-    line; that line then has another hash, the same each time.
+    Counters hold up to 16,000 long words of a line; a longer line has another hash, the same each time.
     """
-    word = lines.select("id", "body", "number", F.xxhash64("norm").alias("key"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    word = word.select("id", "body", "number", "key", F.xxhash64("word").alias("h"), F.least(F.length("word"), F.lit(16)).cast("long").alias("weight"))
-    ones = sum(1 << FIELD * f for f in range(FIELDS))
-    sums = [F.sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ones)) * F.col("weight")).alias(f"s{s}") for s in range(FIELD)]
-    summed = word.groupBy("id", "body", "number", "key").agg(F.count("*").cast("int").alias("words"), F.sum("weight").alias("total"), *sums)
-    bit = lambda s, f: F.when(F.shiftrightunsigned(f"s{s}", FIELD * f).bitwiseAND(F.lit((1 << FIELD) - 1)) * 2 > F.col("total"), F.lit(1 << (s + FIELD * f))).otherwise(F.lit(0).cast("long"))
-    signs = reduce(Column.bitwiseOR, [bit(s, f) for s in range(FIELD) for f in range(FIELDS)])
-    return summed.select("id", "body", "number", "key", "words", signs.alias("simhash"))
-
-
-def block_keys(simhash: Column) -> Column:
-    """A key for each choice of blocks: hashes that differ in at most BLOCKS - AGREE bits share one."""
+    line = lines.select("id", "body", "number", F.xxhash64("words").alias("key"), F.filter("words", lambda w: F.length(w) >= LETTERS).alias("long"))
+    word = line.select("id", "body", "number", "key", F.explode_outer("long").alias("word"))
+    word = word.select("id", "body", "number", "key", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ONES))).alias(f"s{s}") for s in range(FIELD)]
+    summed = word.groupBy("id", "body", "number", "key").agg(F.count("h").alias("words"), *sums)
+    # A field's top bit is borrowed exactly where twice the count exceeds the number of words.
+    top = ONES << (FIELD - 1)
+    spread = summed.withColumn("all", F.col("words") * ONES + F.lit(top))
+    sign = lambda s: F.shiftrightunsigned(F.bitwise_not(F.col("all") - 2 * F.col(f"s{s}")).bitwiseAND(F.lit(top)), FIELD - 1 - s)
+    simhash = reduce(Column.bitwiseOR, [sign(s) for s in range(FIELD)])
+    return spread.select("id", "body", "number", "key", F.col("words").cast("int").alias("words"), simhash.alias("simhash"))
+
+
+def word_string(words: Column) -> Column:
+    """One character for each word (by a hash to 40,000 of them), so that Levenshtein distances count words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(40_000)) + 256), 4, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
+def block_keys(simhash: Column, agree: int) -> Column:
+    """A key for each choice of ``agree`` blocks: hashes that differ in at most BLOCKS - agree bits share one."""
     edges = [round(BITS * b / BLOCKS) for b in range(BLOCKS + 1)]
     block = [F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return F.array(*[F.xxhash64(F.lit(BLOCKS * i + j), block[i], block[j]) for i in range(BLOCKS) for j in range(i)])
+    return F.array(*[F.xxhash64(F.lit(n), *[block[i] for i in some]) for n, some in enumerate(combinations(range(BLOCKS), agree))])
 
 
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, body, number, keep): each line with a word, and whether it is the one that stays of its group.
 
     ``docs`` has id and text.  Lines belong together if they are equal when normalised, or if two
-    of five blocks of their SimHashes agree, the hashes differ in at most DISTANCE bits and the edit
-    distance is at most EDITS percent of the longer line; and so do groups that such pairs connect.
+    of five blocks of their SimHashes agree, the hashes differ in at most DISTANCE bits and at most
+    EDITS percent of the longer line's words are edited; and so do groups that such pairs connect.
     Of each group the first occurrence by (id, body, number) stays.  Lines are told apart by a
     64-bit hash.
     """
@@ -69,20 +84,37 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct("id", "body", "number")
     classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("simhash").alias("simhash")), "classes")
     fuzzy = classes.where(F.col("words") >= FUZZY_WORDS)
-    rows = fuzzy.select(F.explode(block_keys(F.col("simhash"))).alias("key"), F.col("key").alias("id"))
+    rows = fuzzy.select(F.explode(block_keys(F.col("simhash"), AGREE)).alias("key"), F.col("key").alias("id"), F.col("simhash").alias("bits"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda c: fuzzy.select(F.col("key").alias(c), F.col("simhash").alias(f"{c}_hash"))
         near = pairs.join(of("a"), "a").join(of("b"), "b").where(F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= DISTANCE).select("a", "b")
         near = scratch.save(near, "near")
         wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-        texts = lines_of(docs).select(F.xxhash64("norm").alias("key"), "norm").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
-        texts = scratch.save(texts, "texts")
-        both = near.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("norm").alias("y")), "b")
+        homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
+        homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
+        homes = scratch.save(homes, "homes")  # its size is known before the texts are moved
+        bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes, (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
+        bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
+        found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"))
+        texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
+        both = near.join(texts.select(F.col("key").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("code").alias("y")), "b")
         most = f"CAST(greatest(length(x), length(y)) * {EDITS} DIV 100 AS INT)"
         return both.where(f"abs(length(x) - length(y)) <= {most} AND levenshtein(x, y, {most}) >= 0").select("a", "b")
 
-    groups = link(rows, verify, scratch)
+    finer = iter((BLOCKS - 1,))
+
+    def refine(members: DataFrame) -> DataFrame | None:
+        """The same lines by all blocks but one, once."""
+        n = next(finer, None)
+        ids = members.select("leader", "id").unionByName(members.select("leader", F.col("leader").alias("id"))).distinct()
+        if n is None:
+            return None
+        keyed = ids.join(fuzzy.select(F.col("key").alias("id"), "simhash"), "id")
+        return keyed.select(F.explode(block_keys(F.col("simhash"), n)).alias("key"), "id", F.col("simhash").alias("bits"))
+
+    groups = link(rows, verify, refine, scratch, DISTANCE)
     named = classes.join(groups.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.
     stays = named.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
@@ -106,8 +138,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = whole.withColumn("body", F.xxhash64("text"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("body").alias("gone_body"), "removed")
     both = whole.join(gone, (F.col("body") == F.col("gone_body")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    both = both.withColumn("lines", F.split("text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return both.select("record", text.alias("text"), n.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

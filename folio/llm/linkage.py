@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
@@ -14,45 +14,51 @@ from folio.llm.runtime import Scratch
 SMALL = 8
 
 
-def ordered(a, b) -> list:
+def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame | None], scratch: Scratch, distance: int | None = None) -> DataFrame:
     """(id, component) of all ids that ``verify`` links to another; rows: (key, id), no repeats.
 
+    With ``distance``, rows have ``bits``, too, and a bucket of two whose bits differ in more places
+    is dropped at once; ``verify`` is to ask the same of other pairs.
+
     A small bucket gives all its pairs.  A large one gives a star: each member with the bucket's
-    leader, which is the member whose buckets are fullest (what a group of near copies derives
-    from shares most buckets with its copies).  Members that stay outside the leader's component
-    elect four times as many leaders in the next round, each compared with the whole bucket, until
-    nobody is left who hasn't been compared: no pair of a bucket that could join two components
-    is lost, while a group that hangs together costs one pair for each member.
+    leader, the member whose buckets are fullest (what a group of near copies derives from shares
+    most buckets with its copies).  Where members stay outside their leader's component, ``refine``
+    deals the bucket's members, given as (leader, id), to finer buckets, and these go the same way,
+    until no star leaves anyone outside or ``refine`` returns None.  Pairs that are connected by
+    then are not compared again.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hit = scratch.save(rows.join(sizes, "key"), "buckets")
-    small = hit.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    small = small.select(F.posexplode("ids").alias("at", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("y")).select(*ordered("x", "y"))
-    fullness = hit.groupBy("id").agg(F.sum("n").alias("fullness"))
-    large = scratch.save(hit.where(F.col("n") > SMALL).join(fullness, "id").select("key", "id", "fullness"), "large")
-    leaders = scratch.save(large.groupBy("key").agg(F.max_by("id", F.struct("fullness", -F.col("id"))).alias("leader")), "leaders")
-    star = large.join(leaders, "key").where("id <> leader").select(*ordered("id", "leader"))
-    edges = scratch.save(verify(scratch.save(small.unionByName(star).distinct(), "pairs")), "links")
-    scratch.drop(hit)
-    main, done, width = leaders, leaders.select("key", F.col("leader").alias("id")), 1
-    while True:
+    edges = components = None
+    while rows is not None:
+        far = [F.bit_count(F.bit_xor("bits")).alias("far")] if distance is not None else []
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), *far).where("n > 1")
+        if far:
+            sizes = sizes.where((F.col("n") > 2) | (F.col("far") <= distance)).drop("far")
+        sizes = scratch.save(sizes, "sizes")
+        two = sizes.where("n = 2").select("a", "b")
+        hit = scratch.save(rows.select("key", "id").join(sizes.where("n > 2").select("key", "n").hint("merge"), "key"), "buckets")
+        scratch.tidy()
+        small = hit.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        small = small.select(F.posexplode("ids").alias("at", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("y")).select(*ordered("x", "y"))
+        large = hit.where(F.col("n") > SMALL)
+        fullness = hit.groupBy("id").agg(F.sum("n").alias("fullness"))
+        leaders = large.join(fullness, "id").groupBy("key").agg(F.max_by("id", F.struct("fullness", -F.col("id"))).alias("leader"))
+        stars = scratch.save(large.join(leaders, "key").where("id <> leader").select("leader", "id").distinct(), "stars")
+        pairs = two.unionByName(small).unionByName(stars.select(*ordered("leader", "id"))).distinct()
+        home = lambda c: components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_home"))  # noqa: B023, E731
+        if components is not None:
+            apart = F.coalesce("a_home", "a") != F.coalesce("b_home", "b")
+            pairs = pairs.join(home("a"), "a", "left").join(home("b"), "b", "left").where(apart).select("a", "b")
+        found = scratch.save(verify(scratch.save(pairs, "pairs")), "links")
+        edges = found if edges is None else scratch.save(edges.unionByName(found), "edges")
+        scratch.tidy()
         components = connected_components(edges, scratch)
-        if large.isEmpty():
-            return components
-        home = lambda c: components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_home"))
-        placed = large.join(main, "key").join(home("id"), "id", "left").join(home("leader"), "leader", "left")
-        outside = placed.where(F.coalesce("id_home", "id") != F.coalesce("leader_home", "leader")).join(done, ["key", "id"], "left_anti")
-        width *= 4
-        # The first of `width` salts give one leader each, combined before the shuffle.
-        chosen = outside.groupBy("key", F.pmod(F.xxhash64("id", F.lit(width)), F.lit(width)).alias("salt")).agg(F.max_by("id", F.struct("fullness", -F.col("id"))).alias("next"))
-        chosen = scratch.save(chosen.select("key", "next"), "next")
-        if chosen.isEmpty():
-            return components
-        pairs = large.join(chosen, "key").where("id <> next").join(home("id"), "id", "left").join(home("next"), "next", "left")
-        pairs = pairs.where(F.coalesce("id_home", "id") != F.coalesce("next_home", "next")).select(*ordered("id", "next")).distinct()
-        edges = scratch.save(edges.unionByName(verify(scratch.save(pairs, "pairs"))).distinct(), "links")
-        done = scratch.save(done.unionByName(chosen.select("key", F.col("next").alias("id"))), "done")
+        placed = stars.join(home("id"), "id", "left").join(home("leader"), "leader", "left")
+        open_ = placed.where(F.coalesce("id_home", "id") != F.coalesce("leader_home", "leader")).select("leader").distinct()
+        members = scratch.save(stars.join(open_, "leader", "left_semi"), "members")
+        scratch.drop(sizes, hit, stars)
+        rows = None if members.isEmpty() else refine(members)
+    return components

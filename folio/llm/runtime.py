@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,11 @@ class Scratch:
         back._folio_path = path
         return back
 
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of plans that are done with; it notices when the driver's garbage goes."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no returned plan reads."""
         for table in tables:

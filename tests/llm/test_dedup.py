@@ -99,7 +99,7 @@ def test_components_of_paths_stars_and_loops(spark):
 
 
 def test_lines_fuzzy_and_equal(spark):
-    long = "the quick brown elephant carries seventeen enormous suitcases across the crowded railway platform every single morning"
+    long = " ".join(f"{a}{b}word" for a in "abcdefghij" for b in "klmnop") + " morning"
     docs = [
         (1, f"{long}\nsome other line here\n\n---"),
         (2, f"{long.replace('morning', 'mornings')}\nSome OTHER line, here!\n\n---\nonly in two"),
@@ -141,7 +141,8 @@ def test_lines_against_brute_force(spark):
     gone = [(i, line) for i, text in docs for k, line in enumerate(text.split("\n")) if k in got[i].removed]
     for line in {line for _, line in gone}:
         assert any(close(line, other) for _, other in kept) or any(close(line, other) for _, other in gone if other != line)
-    assert len({line for _, line in kept}) == len(kept) <= 16
+    # Equal lines go for certain; of those with a word changed, SimHash blocks bring most together.
+    assert len({line for _, line in kept}) == len(kept) <= 50 and len({line for _, line in gone}) >= 50
 
 
 def test_lines_empty_table_and_clashing_columns(spark):
