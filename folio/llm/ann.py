@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from folio.llm.runtime import Scratch
 
 #: Neighbours of a node; random trees; vectors in a leaf; rounds of descent; members compared at once.
-NEIGHBOURS, TREES, LEAF, ROUNDS, BLOCK = 16, 6, 128, 3, 48
+NEIGHBOURS, TREES, LEAF, ROUNDS, BLOCK = 24, 6, 128, 4, 64
 #: Vectors that the trees are fitted on: a fixed bound, whatever the table's size.
 SAMPLE = 16384
 #: Candidates that a query keeps, those it expands at once, and its steps.
-BEAM, EXPAND, STEPS = 64, 12, 4
+BEAM, EXPAND, STEPS = 256, 48, 7
 PAIR = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 LISTS = "id long, near array<struct<d: double, id: long>>"
 
@@ -53,39 +53,37 @@ def batch_of(rows: dict[int, list], k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(lists, PAIR)], ["id", "near"])
 
 
-class Forest:
-    """Trees of random hyperplanes between sampled vectors, each split at the sample's median."""
-
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.depth, self.trees = depth, []
-        for _ in range(trees):
-            planes, cuts = np.zeros((1 << depth, sample.shape[1])), np.zeros(1 << depth)
-            parts = {1: sample}
-            for node in range(1, 1 << depth):
-                x = parts.pop(node)
-                a, b = x[rng.integers(len(x), size=2)] if len(x) else np.zeros((2, sample.shape[1]))
-                planes[node] = a - b if (a != b).any() else rng.standard_normal(sample.shape[1])
-                side = x @ planes[node]
-                cuts[node] = np.median(side) if len(x) else 0.0
-                parts[2 * node], parts[2 * node + 1] = x[side <= cuts[node]], x[side > cuts[node]]
-            self.trees.append((planes, cuts))
-
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """The cell of each vector in each tree."""
-        out = np.zeros((len(self.trees), len(x)), np.int64)
-        for t, (planes, cuts) in enumerate(self.trees):
-            node = np.ones(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + (np.einsum("ij,ij->i", x, planes[node]) > cuts[node])
-            out[t] = (t << 32) + node
-        return out
+def forest_of(sample: np.ndarray, trees: int, depth: int, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(planes, cuts) of trees of random hyperplanes between sampled vectors, each split at the sample's median."""
+    rng, grown = np.random.default_rng(seed), []
+    for _ in range(trees):
+        planes, cuts = np.zeros((1 << depth, sample.shape[1])), np.zeros(1 << depth)
+        parts = {1: sample}
+        for node in range(1, 1 << depth):
+            x = parts.pop(node)
+            a, b = x[rng.integers(len(x), size=2)] if len(x) else np.zeros((2, sample.shape[1]))
+            planes[node] = a - b if (a != b).any() else rng.standard_normal(sample.shape[1])
+            side = x @ planes[node]
+            cuts[node] = np.median(side) if len(x) else 0.0
+            parts[2 * node], parts[2 * node + 1] = x[side <= cuts[node]], x[side > cuts[node]]
+        grown.append((planes, cuts))
+    return grown
+
+
+def cells(forest: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """The cell of each vector in each tree."""
+    out = np.zeros((len(forest), len(x)), np.int64)
+    for t, (planes, cuts) in enumerate(forest):
+        node = np.ones(len(x), np.int64)
+        for _ in range(len(cuts).bit_length() - 1):
+            node = 2 * node + (np.einsum("ij,ij->i", x, planes[node]) > cuts[node])
+        out[t] = (t << 32) + node
+    return out
 
 
 def _route(batches, forest):
     for batch in batches:
-        cells = forest.value.cells(matrix(batch.column(1)))
-        for row in cells:
+        for row in cells(forest.value, matrix(batch.column(1))):
             yield pa.RecordBatch.from_arrays([pa.array(row), *batch.columns], ["cell", "id", "vec"])
 
 
@@ -167,7 +165,7 @@ def build_graph(nodes: DataFrame, scratch: Scratch, count: int, k: int = NEIGHBO
     spark = nodes.sparkSession
     sample = np.array([r["vec"] for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
     depth = max(0, min(int(np.ceil(np.log2(max(1, count / LEAF)))), int(np.log2(max(1, len(sample) / 16)))))
-    forest = spark.sparkContext.broadcast(Forest(sample, TREES, depth))
+    forest = spark.sparkContext.broadcast(forest_of(sample, TREES, depth))
     routed = nodes.mapInArrow(partial(_route, forest=forest), "cell long, id long, vec array<double>")
     first = routed.groupBy("cell").applyInArrow(lambda cell: _within_cell(cell, 2 * LEAF, k), LISTS)
     graph = scratch.save(merge(first, k), "graph")
