@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,13 @@ from folio.llm.hashing import U64, ascii_words, fmix, segments, shingles, utf8
 from folio.llm.linkage import link
 from folio.llm.runtime import Scratch, free_columns
 
-#: Bands and rows of a signature: at a similarity of 0.85 a pair shares no band once in ten million.
-BANDS, ROWS = 36, 6
+#: Bands and rows of a signature: a pair at a similarity of 0.85 shares no band once in four million
+#: times, one at 0.8 six times in a hundred thousand.
+BANDS, ROWS = 32, 6
+#: How often members that their leader isn't linked to are dealt to finer buckets.
+LEVELS = 1
+#: Shingles of a difference that are buckets, of those that the leader lacks (half as many of its own).
+LEAST = 6
 
 
 def densify(values: np.ndarray, filled: np.ndarray) -> None:
@@ -103,21 +108,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min("keys").alias("keys")), "classes")
     buckets = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct() if bands > 1 else classes.select(F.col("keys")[0].alias("key"), F.col("rep").alias("id"))
 
+    known: list[DataFrame] = []
+
+    def of(c: str, x: str) -> DataFrame:
+        sets = known[0] if len(known) == 1 else reduce(DataFrame.unionByName, known)
+        return sets.select(F.col("id").alias(c), F.col("xs").alias(x))
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; only candidates' texts are read into sets."""
-        sizes = classes.select(F.col("rep"), F.col("n"))
-        close = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        close = scratch.save(close.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b").distinct(), "close")
-        ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.save(source.join(ids, "id", "left_semi").mapInArrow(partial(_full_sets, words=words), "id long, xs array<long>"), "sets")
-        both = close.join(sets.select(F.col("id").alias("b"), F.col("xs").alias("xb")), "b").join(sets.select(F.col("id").alias("a"), F.col("xs").alias("xa")), "a")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        for sets in known:
+            ids = ids.join(sets.select("id"), "id", "left_anti")
+        # The same plan at every size: texts are dealt by id once.
+        new = source.join(ids.hint("merge"), "id", "left_semi").mapInArrow(partial(_full_sets, words=words), "id long, xs array<long>")
+        known.append(scratch.save(new, "sets"))
+        na, nb = F.size("xa"), F.size("xb")
+        both = pairs.join(of("b", "xb"), "b").join(of("a", "xa"), "a").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         common = F.size(F.array_intersect("xa", "xb"))
-        union = F.size("xa") + F.size("xb") - common
-        return both.where(F.lit(100) * common >= F.lit(percent) * union).select("a", "b").distinct()
+        return both.where(100 * common >= percent * (na + nb - common)).select("a", "b").distinct()
+
+    levels = iter(range(LEVELS))
+
+    def refine(members: DataFrame) -> DataFrame | None:
+        """Buckets by what sets have apart from their leader, LEVELS times.
+
+        Two texts of which one isn't linked to the leader can only be linked if the parts in which
+        they differ from it overlap, and widely.  The shingles of least hash of both parts, what the
+        leader lacks and what only it has, are buckets: so many rows for each member at most.
+        """
+        if next(levels, None) is None:
+            return None
+        both = members.join(of("id", "xb"), "id").join(of("leader", "xa"), "leader")
+        apart = F.concat(F.slice(F.array_except("xb", "xa"), 1, LEAST), F.slice(F.array_except("xa", "xb"), 1, LEAST // 2))
+        return both.select(F.explode(apart).alias("x"), "leader", "id").select(F.xxhash64("leader", "x").alias("key"), "id").distinct()
 
-    components = link(buckets, verify, scratch)
+    components = link(buckets, verify, refine, scratch)
     found = classes.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     named = signed.select("id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
