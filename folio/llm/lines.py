@@ -84,7 +84,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.struct("id", "body", "number")
     classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("simhash").alias("simhash")), "classes")
     fuzzy = classes.where(F.col("words") >= FUZZY_WORDS)
-    rows = fuzzy.select(F.explode(block_keys(F.col("simhash"), AGREE)).alias("key"), F.col("key").alias("id"), F.col("simhash").alias("bits"))
+    rows = fuzzy.select(F.explode(block_keys(F.col("simhash"), AGREE)).alias("key"), F.col("key").alias("id"), F.col("words").alias("size"), F.col("simhash").alias("bits"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda c: fuzzy.select(F.col("key").alias(c), F.col("simhash").alias(f"{c}_hash"))
@@ -111,10 +111,10 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         ids = members.select("leader", "id").unionByName(members.select("leader", F.col("leader").alias("id"))).distinct()
         if n is None:
             return None
-        keyed = ids.join(fuzzy.select(F.col("key").alias("id"), "simhash"), "id")
-        return keyed.select(F.explode(block_keys(F.col("simhash"), n)).alias("key"), "id", F.col("simhash").alias("bits"))
+        keyed = ids.join(fuzzy.select(F.col("key").alias("id"), "simhash", "words"), "id")
+        return keyed.select(F.explode(block_keys(F.col("simhash"), n)).alias("key"), "id", F.col("words").alias("size"), F.col("simhash").alias("bits"))
 
-    groups = link(rows, verify, refine, scratch, DISTANCE)
+    groups = link(rows, verify, refine, scratch, lambda least, most, bits: F.bit_count(bits) <= DISTANCE)
     named = classes.join(groups.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.
     stays = named.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))

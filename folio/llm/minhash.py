@@ -17,7 +17,8 @@ from folio.llm.runtime import Scratch, free_columns
 #: Bands and rows of a signature: a pair at a similarity of 0.85 shares no band once in four million
 #: times, one at 0.8 six times in a hundred thousand.
 BANDS, ROWS = 32, 6
-#: How often members that their leader isn't linked to are dealt to finer buckets.
+#: How often members that their leader isn't linked to are dealt to finer buckets, before what is
+#: still apart is compared outright.
 LEVELS = 1
 #: Shingles of a difference that are buckets, of those that the leader lacks (half as many of its own).
 LEAST = 6
@@ -132,8 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def refine(members: DataFrame) -> DataFrame | None:
         """Buckets by what sets have apart from their leader, LEVELS times.
 
-        Two texts of which one isn't linked to the leader can only be linked if the parts in which
-        they differ from it overlap, and widely.  The shingles of least hash of both parts, what the
+        A first pass, which links most members for few pairs; ``link`` compares what it misses.  Two
+        texts of which one isn't linked to the leader can only be linked if the parts in which they
+        differ from it overlap, and widely.  The shingles of least hash of both parts, what the
         leader lacks and what only it has, are buckets: so many rows for each member at most.
         """
         if next(levels, None) is None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.linkage import SMALL
+from folio.llm.linkage import SMALL, link
 from folio.llm.lines import dedup_lines
 from folio.llm.minhash import band_keys, keep_one, near_duplicates
 from folio.llm.runtime import Scratch
@@ -70,6 +70,13 @@ def test_large_group_links_through_others_than_the_leader(spark):
     assert got == {i: c for i, (_, c) in brute(docs, 3, 85).items()}
 
 
+def test_large_bucket_is_compared_to_the_end(spark):
+    """A chain in one large bucket: its leader is linked to two members only, and no finer bucket helps."""
+    rows = spark.range(30).selectExpr("1L AS key", "id")
+    got = link(rows, lambda pairs: pairs.where("b - a = 1 and a <> 14"), lambda members: None, Scratch(spark)).collect()
+    assert {r.id: r.component for r in got} == {i: 0 if i < 15 else 15 for i in range(30)}
+
+
 def test_null_ids_repeats_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d", 1), (None, "a b c d", 2), (5, "a b c d", 3), (5, "a b c d", 4)], "doc_id long, text string, gone_id int")
     rows = near_duplicates(df).collect()
