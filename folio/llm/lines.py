@@ -1,27 +1,23 @@
-"""Fuzzy line deduplication in DataFrame operations only: SimHash, pigeonhole blocks, edit distance."""
+"""Fuzzy line deduplication in DataFrame operations only: pigeonhole keys of rare word pairs, edit distance."""
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.linkage import link
+from folio.llm.linkage import SMALL, link
 from folio.llm.runtime import Scratch
 
-#: Four counters of 15 bits share a long, so 15 sums count a SimHash's 60 bits.
-FIELD, FIELDS = 15, 4
-BITS = FIELD * FIELDS
-ONES = sum(1 << FIELD * f for f in range(FIELDS))
-#: Blocks of the hash, and how many of them (of five) must agree for two lines to be compared.
-BLOCKS, AGREE = 5, 2
-#: Bits in which two compared lines may differ at most; letters that a word needs to count towards
-#: the hash (short words are shared by most lines); lines of fewer such words are only equal or not.
-DISTANCE, LETTERS, FUZZY_WORDS = 14, 5, 5
 #: Words edited (replaced, added, left out) at most, in percent of the longer line's.
 EDITS = 15
+#: Pairs whose longer line has fewer words are compared by characters instead, of which so many percent may be edited.
+WORDS, LETTERS = 7, 10
+#: Words, or characters, of a gram.
+PAIR, RUN = 2, 4
+#: Added to the sizes of lines that are compared by characters.
+BY_LETTERS = 1 << 40
+#: Documents sampled for common grams, and how many of those are held at most. They only decide the grams' order.
+SAMPLE, COMMON = 2000, 4096
 
 
 def words_of(line: Column) -> Column:
@@ -40,22 +36,64 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.select("id", "body", F.posexplode(words).alias("number", "words")).where("size(words) > 0")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """(id, body, number, key, words, simhash): each line's hash, from the signs of its long words' summed hashes.
+def grams(words: str, by_letters: bool) -> str:
+    """SQL for the hashes of pairs of neighbouring words, or of runs of characters; empty where there are none."""
+    if by_letters:
+        norm = f"array_join({words}, ' ')"
+        return f"IF(length({norm}) < {RUN}, array(), transform(sequence(1, greatest(1, length({norm}) - {RUN - 1})), i -> xxhash64(substring({norm}, i, {RUN}), {RUN})))"
+    return f"IF(size({words}) < {PAIR}, array(), transform(sequence(0, greatest(0, size({words}) - {PAIR})), i -> xxhash64(get({words}, i), get({words}, i + 1))))"
+
+
+def common_grams(docs: DataFrame) -> list[list[int]]:
+    """Grams of many lines of a sample, the most common last, in three tiers."""
+    lines = lines_of(docs.limit(SAMPLE)).select(F.expr(f"array_distinct(concat({grams('words', False)}, IF(size(words) < {WORDS}, {grams('words', True)}, array())))").alias("all"))
+    counts = lines.select(F.explode("all").alias("g")).groupBy("g").count().where(F.col("count") > SMALL).orderBy(F.desc("count"), "g").limit(COMMON).collect()
+    return [[r["g"] for r in counts if low < r["count"] / SMALL <= high] for low, high in ((1, 10), (10, 100), (100, float("inf")))]
+
 
-    Counters hold up to 16,000 long words of a line; a longer line has another hash, the same each time.
+def prefix(hashes: Column, edits: Column, size: int, common: list[list[int]]) -> Column:
+    """The first grams of a line, rare ones first: one more than ``edits`` edits can change.
+
+    In the same order of all grams, two lines within so many edits have the first gram that they
+    share among both lines' first ones: those before it are in one line only, so were changed.
     """
-    line = lines.select("id", "body", "number", F.xxhash64("words").alias("key"), F.filter("words", lambda w: F.length(w) >= LETTERS).alias("long"))
-    word = line.select("id", "body", "number", "key", F.explode_outer("long").alias("word"))
-    word = word.select("id", "body", "number", "key", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(ONES))).alias(f"s{s}") for s in range(FIELD)]
-    summed = word.groupBy("id", "body", "number", "key").agg(F.count("h").alias("words"), *sums)
-    # A field's top bit is borrowed exactly where twice the count exceeds the number of words.
-    top = ONES << (FIELD - 1)
-    spread = summed.withColumn("all", F.col("words") * ONES + F.lit(top))
-    sign = lambda s: F.shiftrightunsigned(F.bitwise_not(F.col("all") - 2 * F.col(f"s{s}")).bitwiseAND(F.lit(top)), FIELD - 1 - s)
-    simhash = reduce(Column.bitwiseOR, [sign(s) for s in range(FIELD)])
-    return spread.select("id", "body", "number", "key", F.col("words").cast("int").alias("words"), simhash.alias("simhash"))
+
+    def placed(g: Column) -> Column:
+        tier = F.lit(0).cast("long")
+        for n, some in enumerate(common, 1):
+            tier = F.when(g.isin(some), F.lit(n << 61)).otherwise(tier) if some else tier
+        return g.bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(tier)
+
+    # Tier 3 fills the top bits but the sign, so the order is that of plain numbers.
+    return F.slice(F.array_sort(F.array_distinct(F.transform(hashes, placed))), F.lit(1), (edits * size + 1).cast("int"))
+
+
+def parities(units: str) -> Column:
+    """64 parities of how often units of each hash occur: an edit changes two of them at most."""
+    return F.expr(f"aggregate({units}, 0L, (s, w) -> s ^ shiftleft(1L, CAST(pmod(xxhash64(w), 64) AS INT)))")
+
+
+def edits_of(size: Column, percent: int) -> Column:
+    return F.floor(size * percent / 100)
+
+
+def near(least: Column, most: Column, bits: Column) -> Column:
+    """Whether lines of these sizes whose parities differ in ``bits`` can be within the edits allowed; never false if they are."""
+    edits = F.when(most >= BY_LETTERS, edits_of(most - BY_LETTERS, LETTERS)).otherwise(edits_of(most, EDITS))
+    return (most - least <= edits) & (F.bit_count(bits) <= 2 * edits)
+
+
+def keyed(lines: DataFrame, common: list[list[int]]) -> DataFrame:
+    """(id, body, number, key, by_words, by_letters): each line's hash and, for either comparison, its size, parities and keys."""
+    size = F.size("words").cast("long")
+    # A partner may be longer, and then allows more edits.
+    most = lambda n, percent: edits_of(F.floor(n * 100 / (100 - percent)), percent)
+    by_words = F.struct(size.alias("size"), parities("words").alias("bits"), prefix(F.expr(grams("words", False)), most(size, EDITS), PAIR, common).alias("keys"))
+    length = F.length(F.array_join("words", " ")).cast("long")
+    letters = "transform(sequence(1, length(array_join(words, ' '))), i -> substring(array_join(words, ' '), i, 1))"
+    by_letters = F.struct((length + BY_LETTERS).alias("size"), parities(letters).alias("bits"), prefix(F.expr(grams("words", True)), most(length, LETTERS), RUN, common).alias("keys"))
+    out = [F.when(most(size, EDITS) > 0, by_words).alias("by_words"), F.when((size < WORDS) & (most(length, LETTERS) > 0), by_letters).alias("by_letters")]
+    return lines.select("id", "body", "number", F.xxhash64("words").alias("key"), *out)
 
 
 def word_string(words: Column) -> Column:
@@ -74,22 +112,20 @@ def block_keys(simhash: Column, agree: int) -> Column:
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, body, number, keep): each line with a word, and whether it is the one that stays of its group.
 
-    ``docs`` has id and text.  Lines belong together if they are equal when normalised, or if two
-    of five blocks of their SimHashes agree, the hashes differ in at most DISTANCE bits and at most
-    EDITS percent of the longer line's words are edited; and so do groups that such pairs connect.
-    Of each group the first occurrence by (id, body, number) stays.  Lines are told apart by a
-    64-bit hash.
+    ``docs`` has id and text.  Lines belong together if they are equal when normalised, or if at most
+    EDITS percent of the longer line's words are edited (where it has fewer than WORDS words, at most
+    LETTERS percent of its characters); and so do groups that such pairs connect.  Of each group the
+    first occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in
+    edit distances by one of 40,000 characters.
     """
-    lines = scratch.save(simhashes(lines_of(docs)), "lines")
+    lines = scratch.save(keyed(lines_of(docs), common_grams(docs)), "lines")
     place = F.struct("id", "body", "number")
-    classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("simhash").alias("simhash")), "classes")
-    fuzzy = classes.where(F.col("words") >= FUZZY_WORDS)
-    rows = fuzzy.select(F.explode(block_keys(F.col("simhash"), AGREE)).alias("key"), F.col("key").alias("id"), F.col("words").alias("size"), F.col("simhash").alias("bits"))
+    classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("by_words").alias("by_words"), F.any_value("by_letters").alias("by_letters")), "classes")
+    of = lambda c: classes.select(F.explode(f"{c}.keys").alias("g"), F.col("key").alias("id"), f"{c}.size", f"{c}.bits").withColumnRenamed("g", "key")
+    rows = of("by_words").unionByName(of("by_letters").withColumn("key", F.xxhash64("key")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda c: fuzzy.select(F.col("key").alias(c), F.col("simhash").alias(f"{c}_hash"))
-        near = pairs.join(of("a"), "a").join(of("b"), "b").where(F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= DISTANCE).select("a", "b")
-        near = scratch.save(near, "near")
+        near = pairs.select("a", "b").distinct()
         wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
         homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
@@ -97,24 +133,15 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes, (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"))
+        norm = F.when(F.size("w.words") < WORDS, F.array_join("w.words", " "))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), norm.alias("norm"))
         texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
-        both = near.join(texts.select(F.col("key").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("code").alias("y")), "b")
-        most = f"CAST(greatest(length(x), length(y)) * {EDITS} DIV 100 AS INT)"
-        return both.where(f"abs(length(x) - length(y)) <= {most} AND levenshtein(x, y, {most}) >= 0").select("a", "b")
-
-    finer = iter((BLOCKS - 1,))
-
-    def refine(members: DataFrame) -> DataFrame | None:
-        """The same lines by all blocks but one, once."""
-        n = next(finer, None)
-        ids = members.select("leader", "id").unionByName(members.select("leader", F.col("leader").alias("id"))).distinct()
-        if n is None:
-            return None
-        keyed = ids.join(fuzzy.select(F.col("key").alias("id"), "simhash", "words"), "id")
-        return keyed.select(F.explode(block_keys(F.col("simhash"), n)).alias("key"), "id", F.col("words").alias("size"), F.col("simhash").alias("bits"))
-
-    groups = link(rows, verify, refine, scratch, lambda least, most, bits: F.bit_count(bits) <= DISTANCE)
+        side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
+        both = near.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        within = lambda x, y, percent: f"levenshtein({x}, {y}, CAST(greatest(length({x}), length({y})) * {percent} DIV 100 AS INT)) >= 0"
+        return both.where(f"IF(greatest(length(x), length(y)) < {WORDS}, {within('x_norm', 'y_norm', LETTERS)}, {within('x', 'y', EDITS)})").select("a", "b")
+
+    groups = link(rows, verify, lambda members: None, scratch, near)
     named = classes.join(groups.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.
     stays = named.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))

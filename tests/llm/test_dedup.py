@@ -152,6 +152,27 @@ def test_lines_against_brute_force(spark):
     assert len({line for _, line in kept}) == len(kept) <= 50 and len({line for _, line in gone}) >= 50
 
 
+def test_lines_equal_all_pairs(spark):
+    """Every line within the permitted edits of another goes: one word or the most allowed, in a large bucket, short, or without blanks."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    lines, gone = [], 0
+    for n, copies in ((60, 12), (20, 6), (8, 3)):
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            lines.append(" ".join(base))
+            for c in range(copies):
+                copy = list(base)
+                for k in rng.sample(range(n), n * 15 // 100 if c else 1):
+                    copy[k] = word() + "x"
+                lines.append(" ".join(copy))
+                gone += 1
+    lines += ["to be or not so", "to be or not sa", "一二三四五六七八九十甲乙丙丁", "一二三四五六七八九十甲乙丙戊", "of it", "of us"]
+    docs = [(1, "\n".join(lines))]
+    removed = dedup_lines(spark.createDataFrame(docs, DOCS)).first().removed
+    assert len(removed) == gone + 2 and not {len(lines) - 1, len(lines) - 2} & set(removed)
+
+
 def test_lines_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b\nc", 1, 2), (None, "a b", 3, 4), (2, "a b", 5, 6)], "doc_id long, text string, id int, removed int")
     rows = {r.record.doc_id: r.text for r in dedup_lines(df).collect()}
