@@ -58,6 +58,17 @@ def test_stages(spark, tmp_path):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").collect()) == sorted(tuple(r)[:5] for r in pieces)
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(4)
+    some = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    vocab = some("aeioustnrlh", 150).split(" ")
+    docs = [(i, " ".join(rng.choices(vocab, k=80)), "en") for i in range(20)] + [(20, vocab[0], "en")]
+    docs += [(100 + i, some("αβγδεζηθικλμνξοπρστυφχψω", 80), None) for i in range(20)]
+    docs += [(200 + i, some("abcdefghijklmnopqrstuvwxyz", 80), None) for i in range(20)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), "").collect()
+    assert {r.doc_id for r in kept} == set(range(21))
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
