@@ -184,8 +184,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.score", "b.first_word", "b.end_word")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold a copy of a test item."""
-    (gone,) = free_columns(docs, "gone_id")
-    out = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(out, docs[id_col].cast("long").eqNullSafe(out[gone]), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that hold a copy of a test item; told apart by text, whatever their ids."""
+    (gone,) = free_columns(docs, "gone_text")
+    hashed = F.xxhash64(docs[text_col].cast("string"))
+    texts = docs.select(hashed.alias("id"), F.col(text_col).alias("text"))
+    out = contaminated(texts, benchmark, "id", **options).select(F.col("id").alias(gone)).distinct()
+    return docs.join(out, hashed == out[gone], "left_anti")

@@ -69,6 +69,14 @@ def test_texts_of_no_learned_language_go(spark):
     assert {r.doc_id for r in kept} == set(range(21))
 
 
+def test_contaminated_rows_go_alone(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = [(None, item), (None, "clean"), (None, None), (5, f"so {item}"), (5, "clean as well")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), f"file://{tmp_path}").collect()
+    assert {tuple(r) for r in kept} == {(None, "clean"), (None, None), (5, "clean as well")}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
