@@ -1,28 +1,36 @@
-"""Fuzzy line deduplication in DataFrame operations only: pigeonhole keys of rare word pairs, edit distance."""
+"""Fuzzy line deduplication in DataFrame operations only: pigeonhole blocks of words, edit similarity, components."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.linkage import SMALL, link
+from folio.llm.components import connected_components
+from folio.llm.linkage import first_pairs, open_pairs, shared_buckets
 from folio.llm.runtime import Scratch
 
-#: Words edited (replaced, added, left out) at most, in percent of the longer line's.
-EDITS = 15
-#: Pairs whose longer line has fewer words are compared by characters instead, of which so many percent may be edited.
-WORDS, LETTERS = 7, 10
-#: Words, or characters, of a gram.
-PAIR, RUN = 2, 4
-#: Added to the sizes of lines that are compared by characters.
-BY_LETTERS = 1 << 40
-#: Documents sampled for common grams, and how many of those are held at most. They only decide the grams' order.
-SAMPLE, COMMON = 2000, 4096
+#: Percent of the longer line's words that may be edited (replaced, added or left out), one at least; shorter lines than LEAST are equal or not.
+EDITS, LEAST = 15, 4
+#: (words, percent): in lines of fewer words no more of the longer line's characters may be edited, either.
+LETTERS = ((6, 10), (32, 25))
+#: (words, length): from so many words on, a line's keys are blocks of so many words; below, it leaves out a word each time.
+BLOCKS = ((14, 4), (20, 5))
+#: Blocks that are counted from the end of the line as well.
+BACK = 2
+#: Letters of scripts that have no blanks between words: each is a word.
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
-def words_of(line: Column) -> Column:
-    """The line's runs of letters and digits, lower-cased."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1), "")
+def words_of(line: Column, unspaced: bool = True) -> Column:
+    """The line's runs of letters and digits, lower-cased; letters of scripts without blanks one by one."""
+    pattern = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+" if unspaced else r"[\p{L}\p{N}]+"
+    return F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(0))
+
+
+def words_by_line(text: Column) -> Column:
+    """The words of each line; the slower pattern only where the text needs it."""
+    each = lambda unspaced: F.transform(F.split(text, "\n", -1), lambda x: words_of(x, unspaced))
+    return F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), each(True)).otherwise(each(False))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -32,68 +40,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
     the generator: each once, and no text is copied for every line.
     """
     each = docs.select("id", F.xxhash64("text").alias("body"), "text")
-    words = F.transform(F.split("text", "\n", -1), lambda x: words_of(x))
-    return each.select("id", "body", F.posexplode(words).alias("number", "words")).where("size(words) > 0")
+    return each.select("id", "body", F.posexplode(words_by_line("text")).alias("number", "words")).where("size(words) > 0")
 
 
-def grams(words: str, by_letters: bool) -> str:
-    """SQL for the hashes of pairs of neighbouring words, or of runs of characters; empty where there are none."""
-    if by_letters:
-        norm = f"array_join({words}, ' ')"
-        return f"IF(length({norm}) < {RUN}, array(), transform(sequence(1, greatest(1, length({norm}) - {RUN - 1})), i -> xxhash64(substring({norm}, i, {RUN}), {RUN})))"
-    return f"IF(size({words}) < {PAIR}, array(), transform(sequence(0, greatest(0, size({words}) - {PAIR})), i -> xxhash64(get({words}, i), get({words}, i + 1))))"
+def edits_of(size: Column) -> Column:
+    """Words that may be edited where the longer line has ``size``."""
+    return F.when(size < LEAST, 0).otherwise(F.greatest(F.lit(1), F.floor(size * EDITS / 100)))
 
 
-def common_grams(docs: DataFrame) -> list[list[int]]:
-    """Grams of many lines of a sample, the most common last, in three tiers."""
-    lines = lines_of(docs.limit(SAMPLE)).select(F.expr(f"array_distinct(concat({grams('words', False)}, IF(size(words) < {WORDS}, {grams('words', True)}, array())))").alias("all"))
-    counts = lines.select(F.explode("all").alias("g")).groupBy("g").count().where(F.col("count") > SMALL).orderBy(F.desc("count"), "g").limit(COMMON).collect()
-    return [[r["g"] for r in counts if low < r["count"] / SMALL <= high] for low, high in ((1, 10), (10, 100), (100, float("inf")))]
+def block_keys(length: int) -> str:
+    """SQL for the hashes of a line's blocks of ``length`` words: one more than may be edited from its start, BACK from its end."""
+    blocks = f"least(size(h) DIV {length}, CAST(edits AS INT) + 1)"
+    front = f"transform(sequence(0, {blocks} - 1), b -> xxhash64({length}, b, slice(h, {length} * b + 1, {length})))"
+    back = f"transform(sequence(1, {BACK}), b -> xxhash64({length}, -b, slice(h, size(h) - {length} * b + 1, {length})))"
+    return f"concat({front}, {back})"
 
 
-def prefix(hashes: Column, edits: Column, size: int, common: list[list[int]]) -> Column:
-    """The first grams of a line, rare ones first: one more than ``edits`` edits can change.
+def keyed(lines: DataFrame) -> DataFrame:
+    """(id, body, number, key, size, bits, keys): each line's hash, its number of words, parities of its words' hashes, and its keys.
 
-    In the same order of all grams, two lines within so many edits have the first gram that they
-    share among both lines' first ones: those before it are in one line only, so were changed.
+    Where one edit is permitted, a line's keys are its words whole and without each word in turn:
+    lines one edit apart share one.  Longer lines are cut into blocks, one more than the edits, so
+    with words replaced one block at least stays as it is, at its place.  A word added or left out
+    moves what comes after it; so blocks are counted from the end of the line, too.  A line whose
+    partner may have more words gives that one's kind of keys as well.
     """
+    hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.size("words").cast("long"))
+    # The longest partner of a line of n words: n' - n <= edits of n'.
+    hashed = hashed.withColumns({"most": F.greatest(F.col("size") + 1, F.floor(F.col("size") * 100 / (100 - EDITS))), "edits": edits_of(F.col("size"))})
+    without = "concat(array(xxhash64(0, h)), transform(sequence(0, size(h) - 1), i -> xxhash64(0, slice(h, 1, i), slice(h, i + 2, size(h)))))"
+    (few, short), (many, long) = BLOCKS
+    kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
+    keys = F.expr(f"array_distinct(concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)}))")
+    bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
+    return hashed.select("id", "body", "number", F.xxhash64("words").alias("key"), "size", bits.alias("bits"), keys.alias("keys"))
 
-    def placed(g: Column) -> Column:
-        tier = F.lit(0).cast("long")
-        for n, some in enumerate(common, 1):
-            tier = F.when(g.isin(some), F.lit(n << 61)).otherwise(tier) if some else tier
-        return g.bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(tier)
-
-    # Tier 3 fills the top bits but the sign, so the order is that of plain numbers.
-    return F.slice(F.array_sort(F.array_distinct(F.transform(hashes, placed))), F.lit(1), (edits * size + 1).cast("int"))
-
-
-def parities(units: str) -> Column:
-    """64 parities of how often units of each hash occur: an edit changes two of them at most."""
-    return F.expr(f"aggregate({units}, 0L, (s, w) -> s ^ shiftleft(1L, CAST(pmod(xxhash64(w), 64) AS INT)))")
-
-
-def edits_of(size: Column, percent: int) -> Column:
-    return F.floor(size * percent / 100)
 
-
-def near(least: Column, most: Column, bits: Column) -> Column:
-    """Whether lines of these sizes whose parities differ in ``bits`` can be within the edits allowed; never false if they are."""
-    edits = F.when(most >= BY_LETTERS, edits_of(most - BY_LETTERS, LETTERS)).otherwise(edits_of(most, EDITS))
-    return (most - least <= edits) & (F.bit_count(bits) <= 2 * edits)
-
-
-def keyed(lines: DataFrame, common: list[list[int]]) -> DataFrame:
-    """(id, body, number, key, by_words, by_letters): each line's hash and, for either comparison, its size, parities and keys."""
-    size = F.size("words").cast("long")
-    # A partner may be longer, and then allows more edits.
-    most = lambda n, percent: edits_of(F.floor(n * 100 / (100 - percent)), percent)
-    by_words = F.struct(size.alias("size"), parities("words").alias("bits"), prefix(F.expr(grams("words", False)), most(size, EDITS), PAIR, common).alias("keys"))
-    length = F.length(F.array_join("words", " ")).cast("long")
-    letters = "transform(sequence(1, length(array_join(words, ' '))), i -> substring(array_join(words, ' '), i, 1))"
-    by_letters = F.struct((length + BY_LETTERS).alias("size"), parities(letters).alias("bits"), prefix(F.expr(grams("words", True)), most(length, LETTERS), RUN, common).alias("keys"))
-    out = [F.when(most(size, EDITS) > 0, by_words).alias("by_words"), F.when((size < WORDS) & (most(length, LETTERS) > 0), by_letters).alias("by_letters")]
-    return lines.select("id", "body", "number", F.xxhash64("words").alias("key"), *out)
+def near(x: Column, y: Column) -> Column:
+    """Whether lines can be within the permitted edits; never false if they are.  An edit changes two parities at most."""
+    edits = edits_of(F.greatest(x["size"], y["size"]))
+    return (F.abs(x["size"] - y["size"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
 
 
 def word_string(words: Column) -> Column:
@@ -102,52 +88,60 @@ def word_string(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def block_keys(simhash: Column, agree: int) -> Column:
-    """A key for each choice of ``agree`` blocks: hashes that differ in at most BLOCKS - agree bits share one."""
-    edges = [round(BITS * b / BLOCKS) for b in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return F.array(*[F.xxhash64(F.lit(n), *[block[i] for i in some]) for n, some in enumerate(combinations(range(BLOCKS), agree))])
-
-
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, body, number, keep): each line with a word, and whether it is the one that stays of its group.
-
-    ``docs`` has id and text.  Lines belong together if they are equal when normalised, or if at most
-    EDITS percent of the longer line's words are edited (where it has fewer than WORDS words, at most
-    LETTERS percent of its characters); and so do groups that such pairs connect.  Of each group the
-    first occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in
-    edit distances by one of 40,000 characters.
+    """(id, body, number, stays): each line that occurs again or resembles another, and the place (id, body, number) of the
+    one that stays of its group.
+
+    ``docs`` has id and text.  Lines belong together if they are equal when normalised, or, from LEAST
+    words on, if at most EDITS percent of the longer line's words are edited, one at least (in lines of
+    few words also at most so many of its characters as LETTERS says); and so do groups that such
+    pairs connect.  Pairs are those that share a key; see ``keyed``.  Of each group the first
+    occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in edit
+    distances by one of 40,000 characters.
     """
-    lines = scratch.save(keyed(lines_of(docs), common_grams(docs)), "lines")
+    lines = scratch.save(keyed(lines_of(docs)), "lines")
     place = F.struct("id", "body", "number")
-    classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("by_words").alias("by_words"), F.any_value("by_letters").alias("by_letters")), "classes")
-    of = lambda c: classes.select(F.explode(f"{c}.keys").alias("g"), F.col("key").alias("id"), f"{c}.size", f"{c}.bits").withColumnRenamed("g", "key")
-    rows = of("by_words").unionByName(of("by_letters").withColumn("key", F.xxhash64("key")))
+    classes = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.any_value("keys").alias("keys"))
+    classes = scratch.save(classes, "classes")
+    scratch.tidy()
+    rows = classes.select(F.explode("keys").alias("key"), F.col("key").alias("id"), "size", "bits")
+    shared = scratch.save(shared_buckets(rows), "buckets")
+    scratch.tidy()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs.select("a", "b").distinct()
-        wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+        """Pairs (a, b) within the permitted edits; each line's text is read again where it first occurred."""
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
-        homes = scratch.save(homes, "homes")  # its size is known before the texts are moved
-        bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes, (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
+        bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
-        norm = F.when(F.size("w.words") < WORDS, F.array_join("w.words", " "))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), norm.alias("norm"))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), F.array_join("w.words", " ").alias("norm"))
         texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
         side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
-        both = near.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        within = lambda x, y, percent: f"levenshtein({x}, {y}, CAST(greatest(length({x}), length({y})) * {percent} DIV 100 AS INT)) >= 0"
-        return both.where(f"IF(greatest(length(x), length(y)) < {WORDS}, {within('x_norm', 'y_norm', LETTERS)}, {within('x', 'y', EDITS)})").select("a", "b")
-
-    groups = link(rows, verify, lambda members: None, scratch, near)
-    named = classes.join(groups.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        edits = lambda x, y, most: F.expr(f"levenshtein({x}, {y}, CAST({most} AS INT)) >= 0")
+        longer = F.greatest(F.length("x"), F.length("y"))
+        words = edits("x", "y", f"greatest(1, greatest(length(x), length(y)) * {EDITS} DIV 100)")
+        letters = F.lit(True)
+        for below, percent in reversed(LETTERS):
+            letters = F.when(longer < below, edits("x_norm", "y_norm", f"greatest(length(x_norm), length(y_norm)) * {percent} DIV 100")).otherwise(letters)
+        return scratch.save(both.where(F.when(words, letters).otherwise(False)).select("a", "b"), "links")
+
+    links = verify(scratch.save(first_pairs(shared, near, ["size", "bits"]), "pairs"))
+    scratch.tidy()
+    components = connected_components(links, scratch)
+    left = scratch.save(open_pairs(shared, components, near, ["size", "bits"], scratch), "pairs")
+    if not left.isEmpty():
+        components = connected_components(links.unionByName(verify(left)), scratch)
+    scratch.drop(shared)
+    scratch.tidy()
+    named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.
     stays = named.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
     again = named.where("component is null and n > 1").select("key", F.col("first").alias("stays"))
     again = again.unionByName(named.where("component is not null").join(stays, "component").select("key", "stays"))
-    return lines.join(again, "key", "left").select("id", "body", "number", (F.col("stays").isNull() | (F.col("stays") == place)).alias("keep"))
+    return lines.join(again, "key").select("id", "body", "number", "stays")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,11 +154,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     groups = line_groups(source, scratch)
-    gone = scratch.save(groups.where(~F.col("keep")).groupBy("id", "body").agg(F.array_sort(F.collect_set("number")).alias("removed")), "gone")
+    gone = groups.where(F.col("stays") != F.struct("id", "body", "number"))
+    gone = scratch.save(gone.groupBy("id", "body").agg(F.array_sort(F.collect_set("number")).alias("removed")), "gone")
     whole = docs.select(F.struct("*").alias("record"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     whole = whole.withColumn("body", F.xxhash64("text"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("body").alias("gone_body"), "removed")
-    both = whole.join(gone, (F.col("body") == F.col("gone_body")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    both = whole.join(gone.hint("shuffle_hash"), (F.col("body") == F.col("gone_body")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
     both = both.withColumn("lines", F.split("text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))

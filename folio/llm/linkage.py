@@ -3,127 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.components import connected_components
 from folio.llm.runtime import Scratch
 
 #: Up to so many members a bucket gives all its pairs: at most (SMALL - 1) / 2 pairs a row.
 SMALL = 8
-#: Leaders that a bucket's rest elects in its first round (times as many in each later one); up to so
-#: many pairs of a bucket are compared in one round whatever its leaders.
-WIDTH, AT_ONCE = 4, 4096
+#: Members of a large bucket outside its main component that one block holds, and members that one chunk holds.
+BLOCK, CHUNK = 256, 4096
+
+Near = Callable[[Column, Column], Column]
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame | None], scratch: Scratch, near: Callable[..., Column] | None = None) -> DataFrame:
-    """(id, component) of all ids that ``verify`` links to another; rows: (key, id), no repeats.
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) of keys that two or more rows have, with their number ``n``: one shuffle."""
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+
 
-    With ``near``, rows have ``size`` and ``bits``, too, and pairs for which near(least size, greatest
-    size, bits that differ) is false are dropped in their bucket; ``verify`` must not link such pairs.
+def first_pairs(shared: DataFrame, near: Near, traits: list[str]) -> DataFrame:
+    """(a, b): all pairs of small buckets; of a large one each member with its leader, the member whose buckets are fullest.
 
-    A small bucket gives all its pairs.  A large one gives a star: each member with the bucket's
-    leader, the member whose buckets are fullest (what a group of near copies derives from shares
-    most buckets with its copies).  Where members stay outside their leader's component, ``refine``
-    deals the bucket's members, given as (leader, id), to finer buckets, and these go the same way,
-    until no star leaves anyone outside or ``refine`` returns None.  Pairs that are connected by
-    then are not compared again.  What finer buckets missed is left to ``_finish``, so no pair of a
-    bucket that could join two components is lost.
+    What a group of near copies derives from shares most buckets with its copies, so the star around
+    it links most of them.  Pairs that ``near`` (of two structs of id and ``traits``) rules out are left out.
     """
-    edges = components = whole = done = None
-    tried: list[DataFrame] = []
-    traits = ["size", "bits"] if near is not None else []
     member = F.struct("id", *traits)
-    while rows is not None:
-        both = [F.min("size").alias("least"), F.max("size").alias("most"), F.bit_xor("bits").alias("apart")] if traits else []
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), *both).where("n > 1")
-        if traits:
-            sizes = sizes.where((F.col("n") > 2) | near(F.col("least"), F.col("most"), F.col("apart"))).drop("least", "most", "apart")
-        sizes = scratch.save(sizes, "sizes")
-        two = sizes.where("n = 2").select("a", "b")
-        hit = scratch.save(rows.select("key", "id", *traits).join(sizes.where("n > 2").select("key", "n").hint("merge"), "key"), "buckets")
-        scratch.tidy()
-        small = hit.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("all"))
-        small = small.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.slice("all", F.col("at") + 2, F.lit(SMALL))).alias("y"))
-        small = _sifted(small, near).select(*ordered("x.id", "y.id"))
-        large = hit.where(F.col("n") > SMALL)
-        fullness = hit.groupBy("id").agg(F.sum("n").alias("fullness"))
-        leaders = large.join(fullness, "id").groupBy("key").agg(F.max_by(member, F.struct("fullness", -F.col("id"))).alias("y"))
-        led = scratch.save(large.select("key", "n", member.alias("x")).join(leaders, "key"), "led")
-        stars = led.where("x.id <> y.id").select(F.col("y.id").alias("leader"), F.col("x.id").alias("id")).distinct()
-        star = _sifted(led.where("x.id <> y.id"), near).select(*ordered("y.id", "x.id"))
-        pairs = two.unionByName(small).unionByName(star).distinct()
-        if components is not None:
-            pairs = _apart(pairs, components)
-        pairs = scratch.save(pairs, "pairs")
-        tried.append(pairs)
-        found = scratch.save(verify(pairs), "links")
-        edges = found if edges is None else scratch.save(edges.unionByName(found), "edges")
-        scratch.tidy()
-        components = connected_components(edges, scratch)
-        placed = stars.join(_home(components, "id"), "id", "left").join(_home(components, "leader"), "leader", "left")
-        open_ = placed.where(F.coalesce("id_home", "id") != F.coalesce("leader_home", "leader")).select("leader").distinct()
-        members = scratch.save(stars.join(open_, "leader", "left_semi"), "members")
-        scratch.drop(sizes, hit)
-        if whole is None:
-            whole = led.select("key", "n", "x")
-            done = led.where("x.id = y.id").select("key", F.col("x.id").alias("id"))
-        rows = None if members.isEmpty() else refine(members)
-    return _finish(whole, done, edges, components, tried, verify, near, scratch)
-
-
-def _finish(whole: DataFrame, done: DataFrame, edges: DataFrame, components: DataFrame, tried: list[DataFrame], verify: Callable[[DataFrame], DataFrame], near: Callable[..., Column] | None, scratch: Scratch) -> DataFrame:
-    """The components once every pair of a large bucket is compared or within one component.
-
-    whole: (key, n, x) with all members; done: (key, id) of members compared with all others.
-    Of each bucket's other members, those outside the largest component among them elect leaders,
-    each compared with the whole bucket, a multiple in each round: a group that hangs together costs
-    few pairs for each member, and the last rounds compare all that doesn't.
+    small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("all"))
+    small = small.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.slice("all", F.col("at") + 2, F.lit(SMALL))).alias("y"))
+    large = shared.where(F.col("n") > SMALL)
+    fullness = shared.groupBy("id").agg(F.sum("n").alias("fullness"))
+    leaders = large.join(fullness, "id").groupBy("key").agg(F.max_by(member, F.struct("fullness", -F.col("id"))).alias("y"))
+    star = large.select("key", member.alias("x")).join(leaders, "key").where("x.id <> y.id").select("x", "y")
+    return small.unionByName(star).where(near(F.col("x"), F.col("y"))).select(*ordered("x.id", "y.id")).distinct()
+
+
+def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare of large buckets: members outside the bucket's main component, against all its members.
+
+    (key, block, chunk, x) twice: those outside, dealt to blocks of about BLOCK, and all members, dealt
+    to chunks of about CHUNK; every block meets every chunk of its bucket, so no task holds more
+    than a block and a chunk however large the bucket is.  ``x`` has id, the traits and ``home``, the
+    component.  Buckets within one component are done: a pair of theirs couldn't join two.
     """
-    width = WIDTH
-    while True:
-        home = F.coalesce("home", F.col("x.id"))
-        placed = whole.join(components.select(F.col("id").alias("of"), F.col("component").alias("home")), F.col("x.id") == F.col("of"), "left").select("key", "n", "x", home.alias("home"))
-        # Keys whose members are all in one component need nothing more.
-        split = placed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key")
-        placed = scratch.save(placed.join(split, "key", "left_semi"), "placed")
-        rest = placed.join(done.select("key", F.col("id").alias("of")).withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & (F.col("x.id") == F.col("of")), "left_anti")
-        counts = rest.groupBy("key", "home").agg(F.count("*").alias("c"))
-        main = counts.groupBy("key").agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
-        salt = F.when((F.col("all") - F.col("most")) * F.col("n") <= AT_ONCE, F.col("x.id")).otherwise(F.pmod(F.xxhash64("x.id", F.lit(width)), F.lit(width)))
-        outside = rest.join(main, "key").where("home <> main").withColumn("salt", salt)
-        next_ = scratch.save(outside.groupBy("key", "salt").agg(F.min(F.struct("x", "home")).alias("m")).select("key", F.col("m.x").alias("y"), F.col("m.home").alias("y_home")), "next")
-        if next_.isEmpty():
-            return components
-        pairs = _sifted(placed.join(next_, "key").where("home <> y_home"), near).select(*ordered("x.id", "y.id")).distinct()
-        pairs = scratch.save(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
-        tried.append(pairs)
-        edges = scratch.save(edges.unionByName(verify(pairs)), "edges")
-        done = scratch.save(done.unionByName(next_.select("key", F.col("y.id").alias("id"))), "done")
-        scratch.drop(placed)
-        scratch.tidy()
-        components = connected_components(edges, scratch)
-        width *= WIDTH
-
-
-def _sifted(pairs: DataFrame, near: Callable[..., Column] | None) -> DataFrame:
-    """Pairs of members (x, y) that ``near`` doesn't rule out."""
-    if near is None:
-        return pairs
-    return pairs.where(near(F.least("x.size", "y.size"), F.greatest("x.size", "y.size"), F.col("x.bits").bitwiseXOR(F.col("y.bits"))))
-
-
-def _home(components: DataFrame, c: str) -> DataFrame:
-    return components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_home"))
-
-
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b) of two components."""
-    apart = F.coalesce("a_home", "a") != F.coalesce("b_home", "b")
-    return pairs.join(_home(components, "a"), "a", "left").join(_home(components, "b"), "b", "left").where(apart).select("a", "b")
+    home = components.select(F.col("id").alias("_of"), F.col("component").alias("_home"))
+    placed = shared.where(F.col("n") > SMALL).join(home, F.col("id") == F.col("_of"), "left").select("key", "n", F.struct("id", *traits, F.coalesce("_home", "id").alias("home")).alias("x"))
+    split = placed.groupBy("key").agg(F.min("x.home").alias("lo"), F.max("x.home").alias("hi")).where("lo <> hi").select("key")
+    placed = scratch.save(placed.join(split, "key", "left_semi"), "placed")
+    counts = placed.groupBy("key", "x.home").agg(F.count("*").alias("c"))
+    main = counts.groupBy("key").agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("main"), (F.sum("c") - F.max("c")).alias("out"))
+    main = main.select(F.col("key").alias("k"), "main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"))
+    both = placed.join(main, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    mine = lambda n, seed: F.pmod(F.xxhash64("x.id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = both.where("x.home <> main").withColumn("block", mine("blocks", 1)).withColumn("chunk", every("chunks"))
+    members = both.withColumn("chunk", mine("chunks", 2)).withColumn("block", every("blocks"))
+    return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x")
+
+
+def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], scratch: Scratch) -> DataFrame:
+    """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing."""
+    outside, members = open_blocks(shared, components, traits, scratch)
+    held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
+    met = members.join(held, ["key", "block", "chunk"])
+    close = F.filter("block_members", lambda y: (y["home"] != F.col("x.home")) & near(F.col("x"), y))
+    return met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct()

@@ -9,22 +9,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions without ``spark.checkpoint.dir``, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset, a local master (tests) gets a folder of its own;
+    on a cluster that is an error, since no folder of one machine would do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return _own[application]
 
 
 class Scratch:
-    """Tables written once and read back, which cuts lineage and survives lost executors."""
+    """Tables written once and read back, which cuts lineage and survives lost executors; they go when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/folio-{uuid.uuid4().hex}"
         self.count = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def path(self, name: str = "table") -> str:
         self.count += 1
