@@ -30,7 +30,8 @@ def words_of(line: Column, unspaced: bool = True) -> Column:
 def words_by_line(text: Column) -> Column:
     """The words of each line; the slower pattern only where the text needs it."""
     each = lambda unspaced: F.transform(F.split(text, "\n", -1), lambda x: words_of(x, unspaced))
-    return F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), each(True)).otherwise(each(False))
+    wide = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(f"[{UNSPACED}]"))
+    return F.when(wide, each(True)).otherwise(each(False))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     the generator: each once, and no text is copied for every line.
     """
     each = docs.select("id", F.xxhash64("text").alias("body"), "text")
-    return each.select("id", "body", F.posexplode(words_by_line("text")).alias("number", "words")).where("size(words) > 0")
+    return each.select("id", "body", F.posexplode(words_by_line(F.col("text"))).alias("number", "words")).where("size(words) > 0")
 
 
 def edits_of(size: Column) -> Column:
@@ -68,12 +69,12 @@ def keyed(lines: DataFrame) -> DataFrame:
     hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.size("words").cast("long"))
     # The longest partner of a line of n words: n' - n <= edits of n'.
     hashed = hashed.withColumns({"most": F.greatest(F.col("size") + 1, F.floor(F.col("size") * 100 / (100 - EDITS))), "edits": edits_of(F.col("size"))})
-    without = "concat(array(xxhash64(0, h)), transform(sequence(0, size(h) - 1), i -> xxhash64(0, slice(h, 1, i), slice(h, i + 2, size(h)))))"
+    without = "array_distinct(concat(array(xxhash64(0, h)), transform(sequence(0, size(h) - 1), i -> xxhash64(0, slice(h, 1, i), slice(h, i + 2, size(h))))))"
     (few, short), (many, long) = BLOCKS
     kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
-    keys = F.expr(f"array_distinct(concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)}))")
+    keys = F.expr(f"concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)})")
     bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return hashed.select("id", "body", "number", F.xxhash64("words").alias("key"), "size", bits.alias("bits"), keys.alias("keys"))
+    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), "size", bits.alias("bits"), keys.alias("keys"))
 
 
 def near(x: Column, y: Column) -> Column:
@@ -99,14 +100,20 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in edit
     distances by one of 40,000 characters.
     """
-    lines = scratch.save(keyed(lines_of(docs)), "lines")
+    whole = scratch.save(keyed(lines_of(docs)), "lines")
     place = F.struct("id", "body", "number")
-    classes = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.any_value("keys").alias("keys"))
-    classes = scratch.save(classes, "classes")
+    classes = whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
+    wide = scratch.save(classes, "classes")
+    lines = scratch.save(whole.select("id", "body", "number", "key"), "places")
+    scratch.drop(whole)  # so that no line's keys are held twice
     scratch.tidy()
-    rows = classes.select(F.explode("keys").alias("key"), F.col("key").alias("id"), "size", "bits")
-    shared = scratch.save(shared_buckets(rows), "buckets")
+    # Most keys are one line's alone; only what is left gets the lines' sizes and parities.
+    rows = scratch.save(shared_buckets(wide.select(F.explode("keys").alias("key"), F.col("key").alias("id"))), "keys")
+    classes = scratch.save(wide.drop("keys"), "classes")
+    scratch.drop(wide)
     scratch.tidy()
+    shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits").hint("merge"), "id").select("key", "id", "n", "size", "bits"), "buckets")
+    scratch.drop(rows)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) within the permitted edits; each line's text is read again where it first occurred."""
@@ -156,12 +163,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = line_groups(source, scratch)
     gone = groups.where(F.col("stays") != F.struct("id", "body", "number"))
     gone = scratch.save(gone.groupBy("id", "body").agg(F.array_sort(F.collect_set("number")).alias("removed")), "gone")
-    whole = docs.select(F.struct("*").alias("record"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = whole.withColumn("body", F.xxhash64("text"))
+    whole = docs.select(F.struct("*").alias("record"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("body"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("body").alias("gone_body"), "removed")
     both = whole.join(gone.hint("shuffle_hash"), (F.col("body") == F.col("gone_body")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
-    both = both.withColumn("lines", F.split("text", "\n", -1))
+    text = F.col("record")[text_col].cast("string")
+    both = both.withColumn("lines", F.when(F.col("removed").isNotNull(), F.split(text, "\n", -1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    return both.select("record", text.alias("text"), n.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    left = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    n = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    return both.select("record", left.alias("text"), n.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
