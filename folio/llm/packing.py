@@ -16,50 +16,86 @@ from folio.llm.runtime import Scratch
 Pattern = tuple[tuple[int, ...], int]
 
 
+class Sums:
+    """Which available lengths, one, two or three of them, add up to a sum; counts only fall.
+
+    Pairs are indexed by their sum, the longest first, triples by their longest and the sum of the
+    pair beside it.  What has run out, or is longer than any piece to come, is passed for good.
+    """
+
+    def __init__(self, count: np.ndarray, capacity: int):
+        self.count = count.tolist()
+        self.longest = capacity
+        self.lengths = np.flatnonzero(count)[::-1].tolist()
+        lengths = np.array(self.lengths, np.int64)
+        a, b = (lengths[i] for i in np.triu_indices(len(lengths)))
+        some = np.flatnonzero(a + b <= capacity)
+        some = some[np.argsort((a + b)[some], kind="stable")]
+        self.a, self.b = a[some].tolist(), b[some].tolist()
+        first = np.searchsorted((a + b)[some], np.arange(capacity + 2)).tolist()
+        self.pair_at, self.pair_end = first[:-1], first[1:]
+        self.triple_at = [0] * (capacity + 1)
+
+    def has(self, *parts: int) -> bool:
+        return all(self.count[n] >= parts.count(n) for n in parts)
+
+    def gone(self, n: int) -> bool:
+        return n > self.longest or not self.count[n]
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """Two available lengths of that sum, the first as long as can be, with ``beside`` available as well."""
+        at, end = self.pair_at[total], self.pair_end[total]
+        while at < end and (self.gone(self.a[at]) or self.gone(self.b[at])):
+            at += 1
+        self.pair_at[total] = at
+        for k in range(at, end):
+            a, b = self.a[k], self.b[k]
+            if a <= self.longest and self.has(a, b, *beside):
+                return a, b
+        return None
+
+    def triple(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, int, int] | None:
+        at, passing = self.triple_at[total], True
+        for k in range(at, len(self.lengths)):
+            a = self.lengths[k]
+            if 3 * a < total:
+                break
+            if a + 2 <= total and not self.gone(a):
+                if (two := self.pair(total - a, (a, *beside))) and two[0] <= a:
+                    self.triple_at[total] = max(at, self.triple_at[total])
+                    return (a, *two)
+                passing = passing and self.pair_at[total - a] == self.pair_end[total - a]
+            if passing:
+                self.triple_at[total] = k + 1
+        return None
+
+    def filling(self, n: int, capacity: int) -> tuple[int, ...] | None:
+        """Available lengths up to ``n`` that fill a sequence beside one of ``n``."""
+        gap = capacity - n
+        if not gap:
+            return ()
+        if gap <= n and self.has(n, gap):
+            return (gap,)
+        return self.pair(gap, (n,)) or self.triple(gap, (n,))
+
+
 def exact_complements(count: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns that fill a sequence exactly, longest piece first, taken out of ``count``.
 
-    The gap beside a piece is looked up among single lengths, then sums of two and of three that
-    are still available; a combination is used as often as its scarcest length allows.
+    The gap beside a piece is looked up among single lengths, then sums of two and of three; a
+    combination is used as often as its scarcest length allows.
     """
     patterns: list[Pattern] = []
-
-    def use(parts: tuple[int, ...]) -> None:
-        need = np.bincount(parts, minlength=len(count))
-        times = int((count[need > 0] // need[need > 0]).min())
-        count[:] -= need * times
-        patterns.append((parts, times))
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        """The longest a <= most and its b <= a with a + b = gap, both available."""
-        low, high = (gap + 1) // 2, min(most, gap - 1)
-        if high < low:
-            return None
-        a = np.arange(high, low - 1, -1)
-        fits = np.flatnonzero((count[a] > 0) & (count[gap - a] > (a * 2 == gap)))
-        return (int(a[fits[0]]), int(gap - a[fits[0]])) if len(fits) else None
-
-    for longest in range(capacity, 0, -1):
-        gap = capacity - longest
-        while count[longest]:
-            count[longest] -= 1  # so that the rest is counted without it
-            rest: tuple[int, ...] | None = ()
-            if gap and gap <= longest and count[gap]:
-                rest = (gap,)
-            elif gap:
-                rest = pair(gap, longest)
-                for a in range(min(longest, gap - 2), (gap + 2) // 3 - 1, -1) if rest is None else ():
-                    if count[a]:
-                        count[a] -= 1
-                        two = pair(gap - a, a)
-                        count[a] += 1
-                        if two:
-                            rest = (a, *two)
-                            break
-            count[longest] += 1
-            if rest is None:
-                break
-            use((longest, *rest))
+    sums = Sums(count, capacity)
+    for longest in sums.lengths:
+        sums.longest = longest
+        while sums.count[longest] and (rest := sums.filling(longest, capacity)) is not None:
+            parts = (longest, *rest)
+            times = min(sums.count[n] // parts.count(n) for n in parts)
+            for n in parts:
+                sums.count[n] -= times
+            patterns.append((parts, times))
+    count[:] = sums.count
     return patterns
 
 
@@ -148,6 +184,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
         raise ValueError(f"lengths must be 1 to {capacity}")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = tagged.join(bases, ["part", "length"]).select("record", "length", (F.col("base") + F.col("nth")).alias("rank"))
+    # The bases grow with the tasks, so they are dealt out, not broadcast.
+    ranked = tagged.join(bases.hint("merge"), ["part", "length"]).select("record", "length", (F.col("base") + F.col("nth")).alias("rank"))
     placed = T.StructType([record, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(partial(_place, intervals=_intervals(plan(histogram, capacity), capacity)), placed)

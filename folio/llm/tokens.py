@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -20,8 +21,8 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: The same for texts within ASCII, where the standard library's patterns are quicker.
 ASCII_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: So many pre-tokens are remembered before the memory is cleared.
-REMEMBERED = 1_000_000
+#: So many characters of pre-tokens are remembered before the memory is cleared.
+REMEMBERED = 1 << 24
 #: Id after every document.
 END = b"\0\0\0\0"
 
@@ -35,7 +36,12 @@ def tokenizer_of(path: str) -> ByteTokenizer:
 
 
 class ByteTokenizer:
-    """Little-endian 32-bit ids of texts; merges never cross pre-tokens, so each pre-token is encoded once and remembered."""
+    """Little-endian 32-bit ids of texts, as the tokenizer gives them without special tokens of its own.
+
+    Where its file splits texts as PRE_TOKEN does, merges never cross pre-tokens, so each is encoded
+    once and remembered.  Texts that hold the string of an added token, and all texts if the file
+    has another way to split or normalise, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,14 +50,23 @@ class ByteTokenizer:
 
         self.split, self.split_ascii = regex.compile(PRE_TOKEN).findall, re.compile(ASCII_PRE_TOKEN, re.ASCII).findall
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        config = json.loads(self.tokenizer.to_str())
+        split = config["pre_tokenizer"] or {}
+        byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.whole = not byte_level or config["normalizer"] is not None or config["truncation"] is not None or config["padding"] is not None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def __call__(self, text: str) -> bytes:
+        if self.whole or self.holds_added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.split_ascii(text) if text.isascii() else self.split(text)
         if new := set(words).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known, new = {}, set(words)
+            if self.held > REMEMBERED:
+                self.known, new, self.held = {}, set(words), 0
+            self.held += sum(map(len, new))
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
 

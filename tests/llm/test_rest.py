@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -13,7 +14,7 @@ from folio.llm import chat
 from folio.llm.ann import search
 from folio.llm.decontam import align, contaminated, without_contaminated
 from folio.llm.langid import identify, learn_profiles
-from folio.llm.packing import pack, plan
+from folio.llm.packing import exact_complements, pack, plan
 from folio.llm.quality import learn, score_quality
 from folio.llm.sharding import shard_by_key
 from folio.llm.tokens import END, ByteTokenizer, best_fit_decreasing, packed_matrices, pieces_of, token_pieces
@@ -25,7 +26,6 @@ AWKWARD = [(1, None), (2, ""), (3, "same"), (3, "same"), (None, "no id"), (None,
 
 def encoder():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -38,6 +38,19 @@ def test_remembered_pre_tokens_give_the_tokenizer_s_ids(text):
 TOKENS, ENCODE = ByteTokenizer(PATH), encoder()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x" * 5000, "é" * 3000 + "<|endoftext|>"])
+def test_strings_of_added_tokens_are_the_tokenizer_s_own(text):
+    assert np.frombuffer(TOKENS(text), "<u4").tolist() == ENCODE(text)
+
+
+def test_files_that_split_otherwise_go_whole():
+    for name in ("word_bpe_49k", "byte_bpe_50k"):
+        path = public_tokenizers.path(f"{name}.json")
+        own, plain = ByteTokenizer(path), Tokenizer.from_file(path)
+        for text in ("It's 12 o'clock,  no?", "\u0085 ünd 漢字\n\n x"):
+            assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(1)
     docs = AWKWARD + [(i, " ".join(rng.choice(["the", "of", "zebra", "ünder"]) for _ in range(rng.randint(1, 900)))) for i in range(10, 60)]
@@ -66,6 +79,24 @@ def test_plan_uses_every_piece_once(histogram):
     assert used == histogram
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 3), max_size=10))
+def test_no_filling_of_up_to_three_is_overlooked(histogram):
+    """What the index leaves could not be filled beside its longest piece, by trying every combination."""
+    count = np.zeros(25, np.int64)
+    for n, c in histogram.items():
+        count[n] = c
+    exact_complements(count, 24)
+    left = [n for n in range(1, 25) for _ in range(count[n])]
+    longest = set(left)
+    for n in longest:
+        rest = list(left)
+        rest.remove(n)
+        some = [x for x in rest if x <= n]
+        for k in (1, 2, 3):
+            assert all(sum(c) != 24 - n for c in itertools.combinations(some, k))
+
+
 def test_plan_finds_exact_complements():
     assert sum(t for _, t in plan({60: 3, 4: 1, 1: 1, 3: 1, 2: 1, 30: 1}, 64)) == 4  # 60+4, 60+3+1, 60+2, 30
     assert plan({32: 4}, 64) == [((32, 32), 2)]
