@@ -11,29 +11,31 @@ from folio.llm.runtime import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); the component is its smallest id.
 
-    Each round sends every node to its smallest neighbour (or itself) and contracts the edges.
-    A node that isn't the least of its component moves within two rounds, so the rounds grow with
-    the logarithm of the diameter.  The neighbours of a hub meet in a minimum, combined before the
-    shuffle.  Self-loops are allowed; nulls must not occur.
+    Each round sends every node to the first of its neighbours and itself, in an order by hash that
+    is another one each time, and contracts the edges: a share of all nodes goes each time, whatever
+    the graph, so the rounds grow with the logarithm of the nodes and not with the length of paths.
+    The neighbours of a hub meet in a minimum, combined before the shuffle.  Self-loops are allowed;
+    nulls must not occur.
     """
     left = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    roots, turn = None, 0
     while True:
+        turn += 1
+        place = lambda c: F.xxhash64(F.lit(turn), c)
         both = left.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        step = scratch.save(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "step")
-        if labels is None:
-            labels = step
+        first = both.groupBy("id").agg(F.min_by("other", place("other")).alias("other"))
+        step = scratch.save(first.select("id", F.when(place("other") < place("id"), F.col("other")).otherwise(F.col("id")).alias("to")), "step")
+        to = lambda c: step.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
+        if roots is None:
+            roots = scratch.save(step.select("id", F.col("to").alias("root")), "roots")
         else:
-            moved = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-            new = scratch.save(labels.join(moved, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "labels")
-            if labels is not previous:
-                scratch.drop(labels)
-            labels = new
-        to = lambda c: step.select(F.col("id").alias(c), F.col("component").alias(f"{c}_to"))
-        shorter = scratch.save(
-            left.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges"
-        )
-        scratch.drop(left)
-        left, previous = shorter, step
+            new = scratch.save(roots.join(to("root"), "root", "left").select("id", F.coalesce("root_to", "root").alias("root")), "roots")
+            scratch.drop(roots)
+            roots = new
+        inner = left.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        shorter = scratch.save(inner.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        scratch.drop(left, step)
+        left = shorter
         if left.isEmpty():
-            return labels
+            least = roots.groupBy("root").agg(F.min("id").alias("component"))
+            return scratch.save(roots.join(least, "root").select("id", "component"), "components")

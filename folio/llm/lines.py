@@ -17,6 +17,8 @@ LETTERS = ((6, 10), (32, 25))
 BLOCKS = ((14, 4), (20, 5))
 #: Blocks that are counted from the end of the line as well.
 BACK = 2
+#: What a bucket's rows have of a line.
+TRAITS = ["size", "bits", "norm"]
 #: Letters of scripts that have no blanks between words: each is a word.
 UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 
@@ -58,7 +60,8 @@ def block_keys(length: int) -> str:
 
 
 def keyed(lines: DataFrame) -> DataFrame:
-    """(id, body, number, key, size, bits, keys): each line's hash, its number of words, parities of its words' hashes, and its keys.
+    """(id, body, number, key, size, bits, norm, keys): each line's hash, its number of words, parities of their hashes, the words
+    themselves where they are few, and the line's keys.
 
     Where one edit is permitted, a line's keys are its words whole and without each word in turn:
     lines one edit apart share one.  Longer lines are cut into blocks, one more than the edits, so
@@ -74,13 +77,25 @@ def keyed(lines: DataFrame) -> DataFrame:
     kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
     keys = F.expr(f"concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)})")
     bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), "size", bits.alias("bits"), keys.alias("keys"))
+    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), "size", bits.alias("bits"), F.when(F.col("size") < few, F.array_join("words", " ")).alias("norm"), keys.alias("keys"))
 
 
-def near(x: Column, y: Column) -> Column:
-    """Whether lines can be within the permitted edits; never false if they are.  An edit changes two parities at most."""
-    edits = edits_of(F.greatest(x["size"], y["size"]))
-    return (F.abs(x["size"] - y["size"]) <= edits) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= 2 * edits)
+def letters_within(x: str, y: str, longer: str) -> str:
+    """SQL for whether two lines' characters are within what lines of ``longer`` words allow."""
+    percent = "CASE " + " ".join(f"WHEN {longer} < {below} THEN {some}" for below, some in LETTERS) + " END"
+    return f"({longer} >= {LETTERS[-1][0]} OR levenshtein({x}, {y}, CAST(greatest(length({x}), length({y})) * {percent} DIV 100 AS INT)) >= 0)"
+
+
+def near(x: str, y: str) -> str:
+    """SQL for whether lines can be within the permitted edits; never false if they are.
+
+    An edit changes two parities at most.  Lines of few words have their words with them: many such
+    lines differ in one word, few of them as little as is permitted.
+    """
+    longer = f"greatest({x}.size, {y}.size)"
+    edits = f"greatest(1, {longer} * {EDITS} DIV 100)"
+    letters = letters_within(f"{x}.norm", f"{y}.norm", longer)
+    return f"(abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits} AND ({x}.norm IS NULL OR {y}.norm IS NULL OR {letters}))"
 
 
 def word_string(words: Column) -> Column:
@@ -102,7 +117,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     whole = scratch.save(keyed(lines_of(docs)), "lines")
     place = F.struct("id", "body", "number")
-    classes = whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
+    classes = whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"), F.any_value("norm").alias("norm"), F.any_value("keys").alias("keys"))
     wide = scratch.save(classes, "classes")
     lines = scratch.save(whole.select("id", "body", "number", "key"), "places")
     scratch.drop(whole)  # so that no line's keys are held twice
@@ -112,7 +127,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.save(wide.drop("keys"), "classes")
     scratch.drop(wide)
     scratch.tidy()
-    shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits").hint("merge"), "id").select("key", "id", "n", "size", "bits"), "buckets")
+    shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits", "norm").hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
     scratch.drop(rows)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -127,18 +142,14 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
         side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        edits = lambda x, y, most: F.expr(f"levenshtein({x}, {y}, CAST({most} AS INT)) >= 0")
-        longer = F.greatest(F.length("x"), F.length("y"))
-        words = edits("x", "y", f"greatest(1, greatest(length(x), length(y)) * {EDITS} DIV 100)")
-        letters = F.lit(True)
-        for below, percent in reversed(LETTERS):
-            letters = F.when(longer < below, edits("x_norm", "y_norm", f"greatest(length(x_norm), length(y_norm)) * {percent} DIV 100")).otherwise(letters)
-        return scratch.save(both.where(F.when(words, letters).otherwise(False)).select("a", "b"), "links")
-
-    links = verify(scratch.save(first_pairs(shared, near, ["size", "bits"]), "pairs"))
+        longer = "greatest(length(x), length(y))"
+        words = f"levenshtein(x, y, CAST(greatest(1, {longer} * {EDITS} DIV 100) AS INT)) >= 0"
+        return scratch.save(both.where(f"IF({words}, {letters_within('x_norm', 'y_norm', longer)}, false)").select("a", "b"), "links")
+
+    links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
     scratch.tidy()
     components = connected_components(links, scratch)
-    left = scratch.save(open_pairs(shared, components, near, ["size", "bits"], scratch), "pairs")
+    left = scratch.save(open_pairs(shared, components, near, TRAITS, scratch), "pairs")
     if not left.isEmpty():
         components = connected_components(links.unionByName(verify(left)), scratch)
     scratch.drop(shared)

@@ -14,7 +14,8 @@ SMALL = 8
 #: Members of a large bucket outside its main component that one block holds, and members that one chunk holds.
 BLOCK, CHUNK = 256, 4096
 
-Near = Callable[[Column, Column], Column]
+#: SQL for whether two structs, by name, may be linked.
+Near = Callable[[str, str], str]
 
 
 def ordered(a: str, b: str) -> list[Column]:
@@ -39,7 +40,7 @@ def first_pairs(shared: DataFrame, near: Near, traits: list[str]) -> DataFrame:
     fullness = shared.groupBy("id").agg(F.sum("n").alias("fullness"))
     leaders = large.join(fullness, "id").groupBy("key").agg(F.max_by(member, F.struct("fullness", -F.col("id"))).alias("y"))
     star = large.select("key", member.alias("x")).join(leaders, "key").where("x.id <> y.id").select("x", "y")
-    return small.unionByName(star).where(near(F.col("x"), F.col("y"))).select(*ordered("x.id", "y.id")).distinct()
+    return small.unionByName(star).where(near("x", "y")).select(*ordered("x.id", "y.id")).distinct()
 
 
 def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -70,5 +71,5 @@ def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: lis
     outside, members = open_blocks(shared, components, traits, scratch)
     held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
     met = members.join(held, ["key", "block", "chunk"])
-    close = F.filter("block_members", lambda y: (y["home"] != F.col("x.home")) & near(F.col("x"), y))
+    close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')})")
     return met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct()

@@ -183,8 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct() if bands > 1 else classes.select(F.col("keys")[0].alias("key"), F.col("rep").alias("id"))
 
     shared = scratch.save(shared_buckets(buckets), "buckets")
-    anything = lambda x, y: F.lit(True)
-    pairs = scratch.save(first_pairs(shared, anything, []), "pairs")
+    pairs = scratch.save(first_pairs(shared, lambda x, y: "true", []), "pairs")
     scratch.tidy()
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # The same plan at every size: texts are dealt by id once; only candidates' texts become sets.
