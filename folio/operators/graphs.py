@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.lineage import cut
+
 
 def pairs(items: DataFrame, key: str, value: str) -> DataFrame:
     """(key, a, b) for each unordered pair of different values of a record.
@@ -52,22 +54,31 @@ def coauthor_network(items: DataFrame, key: str, author: str, top: int = 30) ->
     return n.join(ends, author, "left_semi"), kept
 
 
-def components(edge_list: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, component) of a drawn graph of bounded size: the least id that is reachable.
+def components(edge_list: DataFrame) -> DataFrame:
+    """(id, component) for every id in ``edge_list`` (a, b): the least id that is reachable.
 
-    For graphs cut down to a figure's few dozen nodes; each round takes the least label around.
+    Each round contracts the edges: every node goes to the first of its neighbours and itself, in an
+    order by hash that is another one each time, so a share of all nodes goes whatever the graph is
+    like and however long its paths are.  Rounds go on until no edge is left.
     """
-    both = edge_list.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edge_list.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    label = both.select("id").distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        new = label.join(near, "id").select("id", F.least("component", "near").alias("component"))
-        new = label.sparkSession.createDataFrame(new.toArrow())  # a figure's nodes: a few dozen rows
-        moved = new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old")
-        label = new
-        if moved.isEmpty():
-            break
-    return label
+    left = cut(edge_list.select("a", "b").distinct())
+    label, turn = None, 0
+    while True:
+        turn += 1
+        place = lambda c: F.xxhash64(F.lit(turn), c)
+        both = left.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("other")))
+        first = both.groupBy("id").agg(F.min_by("other", place("other")).alias("other"))
+        step = cut(first.select("id", F.when(place("other") < place("id"), F.col("other")).otherwise(F.col("id")).alias("to")))
+        to = lambda c: step.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
+        if label is None:
+            label = step.select("id", F.col("to").alias("root"))
+        else:
+            label = cut(label.join(to("root"), "root", "left").select("id", F.coalesce("root_to", "root").alias("root")))
+        inner = left.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        left = cut(inner.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        if left.isEmpty():
+            least = label.groupBy("root").agg(F.min("id").alias("component"))
+            return label.join(least, "root").select("id", "component")
 
 
 def figure_graph(node_list: DataFrame, edge_list: DataFrame, node: str, top: int = 30, weight: int = 2, small: int = 2) -> tuple[DataFrame, DataFrame]:

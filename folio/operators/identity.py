@@ -1,67 +1,66 @@
-"""Author identity: constrained clustering of name occurrences.
+"""Author identity: constrained clustering of name occurrences, as edges between occurrences.
 
-The order of merges matters, because a merge may rule out another: so blocks that no legal merge
-can cross are found first, in DataFrame operations, and each block is then clustered by one task in
-the order of its occurrences.  Blocks are connected components over surname and first initial,
-shared ORCIDs and shared external ids; names and labels are computed outside.
+Whatever may link two occurrences is found by equi-joins: an id, a name, a shared co-author.  Where
+the components of those links hold no contradiction they are the clusters.  Only in components
+with one (two names of one paper, or first forenames that disagree) does the order of the links
+matter; there they are taken one by one, a component a task, and those that contradict are left out.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from folio.functions.names import (
-    INITIALS_MARK,
-    affiliation_words,
-    display_name_column,
-    either_starts,
-    first_forename,
-    fore_key,
-    fore_key_column,
-    forenames_compatible,
-    initials_column,
-    initials_compatible,
-    initials_of,
-    institution_key,
-    institutions_conflict,
-    is_junior,
-    jaccard,
-    key_forms,
-    norm_last_udf,
-    surnames_compatible,
-)
+
+from folio.functions import names as N
 from folio.functions.rules import COMMON_SURNAMES
+from folio.operators.graphs import components
 from folio.operators.lineage import cut
 
 #: Shared co-authors that merge; similarity of affiliations that merges with one shared co-author.
 SHARED_COAUTHORS, AFFILIATION_JACCARD = 2, 0.35
 COLLECTIVE = "__collective__"
+#: Authors that a record has at most: an occurrence's number is its record's times this, and its place.
+PLACES = 1 << 20
+#: The order in which links are taken where it matters.
+BY_ORCID, BY_ID, ACROSS_NAMES, WITHIN_NAME = range(4)
+NAME_GROUP = ("last_norm", "letter", "form", "junior")
 
 
 class Safelist:
-    """Names known to be different people.
+    """Names known to be different people, as conditions; the lists are curated by hand, so they are literals of a plan.
 
     ``distinct``: (surname, form, form); ``juniors``: (surname, forename) of a father and a child;
     ``marked``: (surname, forename, words of an affiliation) that set one namesake apart.
     """
 
     def __init__(self, distinct: Iterable[tuple[str, str, str]] = (), juniors: Iterable[tuple[str, str]] = (), marked: Iterable[tuple[str, str, str]] = ()):
-        self.distinct = {(last, frozenset((a, b))) for last, a, b in distinct}
-        self.juniors = {(last, form) for last, fore in juniors for form in (fore.lower(), initials_of(fore))}
-        self.marked = list(marked)
+        self.distinct, self.juniors, self.marked = list(distinct), list(juniors), list(marked)
+
+    @staticmethod
+    def any_of(conditions: Iterable[Column]) -> Column:
+        out = F.lit(False)
+        for c in conditions:
+            out = out | c
+        return F.coalesce(out, F.lit(False))
 
-    def apart(self, last: str, a: str, b: str) -> bool:
-        return any((last, frozenset((x, y))) in self.distinct for x in key_forms(a.lower()) for y in key_forms(b.lower()))
+    def apart(self, last: Column, a: Column, a_init: Column, b: Column, b_init: Column) -> Column:
+        """Whether two forms of a surname (with their initials) are listed as two people."""
+        is_form = lambda form, init, listed: (form == listed) | (init == listed)
+        both = lambda x, y: (is_form(a, a_init, x) & is_form(b, b_init, y)) | (is_form(a, a_init, y) & is_form(b, b_init, x))
+        return self.any_of((last == name) & both(x.lower(), y.lower()) for name, x, y in self.distinct)
 
-    def is_marked(self, last: str, key: str, affils: list[str]) -> bool:
-        fore = "" if key.startswith(INITIALS_MARK) else key.lower()
-        return any(last == surname and fore == name and any(word in a.lower() for a in affils) for surname, name, word in self.marked)
+    def is_junior(self, last: Column, fore: Column, init: Column, suffix: Column) -> Column:
+        """An explicit junior suffix on a name that is listed as a father's and a child's."""
+        name = F.array_join(N.without_suffixes(F.coalesce(fore, F.lit(""))), " ")
+        listed = self.any_of((last == surname) & ((name == given.lower()) | (init == "".join(w[0] for w in given.lower().split()))) for surname, given in self.juniors)
+        return N.says_junior(suffix) & listed
+
+    def is_marked(self, last: Column, full: Column, affils: Column) -> Column:
+        said = F.lower(F.array_join(affils, "\n"))
+        return self.any_of((last == surname) & (full == given) & F.contains(said, F.lit(word)) for surname, given, word in self.marked)
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -70,152 +69,186 @@ def occurrences(records: DataFrame) -> DataFrame:
     Co-authors are the different (surname, initials) of the record but for the author's own.
     """
     each = records.select("rec_seq", "pmid", F.posexplode("authors").alias("pos", "a")).select("rec_seq", "pmid", "pos", "a.*").where("coalesce(last, '') <> ''")
-    distinct = each.select("last").distinct().withColumn("last_norm", norm_last_udf("last"))
-    named = each.join(distinct, "last").withColumns({
-        "init": initials_column(F.col("fore"), F.col("initials")),
-        "fore_key": fore_key_column(F.col("fore"), F.col("initials")),
+    named = each.withColumns({
+        "last_norm": N.surname(F.col("last")),
+        "init": N.initials(F.col("fore"), F.col("initials")),
+        "full": N.forename(F.col("fore")),
+        "form": N.name_form(F.col("fore"), F.col("initials")),
         "affils": F.coalesce("affils", F.array().cast("array<string>")),
-    })
+    })
     own = F.concat_ws("\t", "last_norm", "init")
     all_ = F.collect_set(own).over(Window.partitionBy("rec_seq"))
-    return named.select("rec_seq", "pos", "pmid", "last", "fore", "initials", "suffix", "last_norm", "init", "fore_key", "affils", "orcid", "oa_id", F.array_sort(F.array_except(all_, F.array(own))).alias("coauthors"))
+    columns = ("rec_seq", "pos", "pmid", "last", "fore", "initials", "suffix", "last_norm", "init", "full", "form", "affils", "orcid", "oa_id")
+    return named.select(*columns, F.array_sort(F.array_except(all_, F.array(own))).alias("coauthors"))
+
 
+def first_fit(parts: DataFrame, group: tuple[str, ...], held: str) -> DataFrame:
+    """(node, to): of each group's parts (in order of ``node``) the later ones with the first earlier one they fit.
 
-def blocks(occ: DataFrame, rounds: int = 12) -> DataFrame:
-    """Adds ``block``: occurrences that could be linked, however indirectly.
+    A part that fits none is one that later parts may fit.  ``held`` names the rule: "id" needs
+    surnames that agree, equal flags, names not known as different people's (``known``, numbers of
+    the safelist's entries of either side) and for common surnames places that don't conflict;
+    "place" only the latter, and a part without a place takes the place of what joins it.
+    Parts are the different spellings of one id or places of one name, not its occurrences.
+    """
 
-    Names are nodes, an ORCID or external id joins the names it occurs with; the least name is passed
-    along until nothing changes.  The graph has a node for each surname and first initial, not for
-    each occurrence.
+    def fits(a: dict, b: dict) -> bool:
+        clash = a["common"] and a["place"] and b["place"] and a["place"] not in b["place"] and b["place"] not in a["place"]
+        if held == "place":
+            return not clash
+        names = a["last_norm"].endswith(b["last_norm"]) or b["last_norm"].endswith(a["last_norm"])
+        known = {tuple(sorted((x, y))) for x in a["known"] for y in b["known"] if x != y and x // 2 == y // 2}
+        return bool(names and a["junior"] == b["junior"] and a["marked"] == b["marked"] and not known and not clash)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, out = [], []
+        for part in rows.sort_values("node").to_dict("records"):
+            place = part["place"] if isinstance(part["place"], str) else None
+            part = {**part, "place": place, "known": list(part["known"]) if "known" in part else []}
+            home = next((k for k in kept if fits(part, k)), None)
+            if home is None:
+                kept.append(part)
+            else:
+                out.append((part["node"], home["node"]))
+                home["place"] = home["place"] or (part["place"] if held == "place" else None)
+        return pd.DataFrame(out, columns=["node", "to"])
+
+    several = Window.partitionBy(*group)
+    return parts.withColumn("_n", F.count("*").over(several)).where("_n > 1").drop("_n").groupBy(*group).applyInPandas(one, "node long, to long")
+
+
+def star(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``to``, the first node of those that agree in ``keys`` (nulls are alike)."""
+    return rows.withColumn("to", F.min("node").over(Window.partitionBy(*keys)))
+
+
+def id_links(here: DataFrame, column: str, kind: int, strict: bool) -> DataFrame:
+    """(kind, node, to) by a common id: what is spelled alike with the first such, and spellings by ``first_fit``."""
+    alike = (column, "last_norm", "junior") + (("form", "marked", "place") if strict else ())
+    spelled = star(here.where(F.coalesce(F.col(column), F.lit("")) != ""), alike)
+    parts = spelled.where("node = to").select(column, "node", "last_norm", "junior", *(("marked", "place", "common", "known") if strict else (F.lit(False).alias("marked"), F.lit(None).cast("string").alias("place"), F.lit(False).alias("common"), F.array().cast("array<int>").alias("known"))))
+    links = spelled.where("node <> to").select("node", "to").unionByName(first_fit(parts, (column,), "id"))
+    return links.select(F.lit(kind).alias("kind"), "node", "to")
+
+
+def name_groups(here: DataFrame) -> DataFrame:
+    """A row for each surname, first letter, form and junior flag: its first occurrence and what its first affiliation says."""
+    known = F.when(F.size("affils") > 0, F.struct("node", "affils", "place"))
+    groups = here.groupBy(*NAME_GROUP).agg(F.min("node").alias("first"), F.min_by("node", F.struct("marked", "node")).alias("plain"), F.min("init").alias("init"), F.first("full").alias("full"), F.min(known).alias("own"), F.bool_and("marked").alias("only_marked"), F.first("common").alias("common"))
+    return groups.select(*NAME_GROUP, "first", "plain", "init", "full", "only_marked", "common", N.affiliation_words(F.col("own.affils")).alias("words"), F.col("own.place").alias("place"))
+
+
+def name_links(here: DataFrame, rules: Safelist) -> DataFrame:
+    """(kind, node, to): pairs of name groups of one surname and letter that are one person's, by their first plain occurrences.
+
+    Full forenames merge if one abbreviates the other; what they have in common then is the join's
+    key.  Initials merge with what agrees with them and shares co-authors, which are the key.
     """
-    name = F.concat_ws("\t", "last_norm", F.left("init", F.lit(1)))
-    keyed = occ.withColumn("name", name)
-    ids = keyed.select("name", F.explode(F.array_compact(F.array(F.when(F.col("orcid") != "", F.concat(F.lit("o:"), "orcid")), F.when(F.col("oa_id") != "", F.concat(F.lit("x:"), "oa_id"))))).alias("link")).distinct()
-    shared = ids.join(ids.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link"), "link")
-    label = keyed.select("name").distinct().withColumn("block", F.col("name"))
-    for _ in range(rounds):
-        least = shared.join(label, "name").groupBy("link").agg(F.min("block").alias("near"))
-        near = shared.join(least, "link").groupBy("name").agg(F.min("near").alias("near"))
-        new = cut(label.join(near, "name", "left").select("name", F.least("block", F.coalesce("near", "block")).alias("block")))
-        settled = new.join(label.withColumnRenamed("block", "old"), "name").where("block <> old").isEmpty()
-        label = new
-        if settled:
-            break
-    return keyed.join(label, "name").drop("name")
-
-
-class Clusters:
-    """Union-find whose merges may be refused: two names of one paper, or first forenames that disagree."""
-
-    def __init__(self, papers: list, forenames: list[str]):
-        self.parent = list(range(len(papers)))
-        self.papers = [{p} for p in papers]
-        self.forenames = [{f} - {""} for f in forenames]
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def merge(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a == b or self.papers[a] & self.papers[b]:
+    groups = cut(name_groups(here))
+    block = ("last_norm", "letter", "junior")
+    side = lambda df, p: df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    same = lambda extra=(): [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*block, *extra)]
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        c = F.col
+        apart = rules.apart(c("a_last_norm"), c("a_form"), c("a_init"), c("b_form"), c("b_init"))
+        return pairs.where(~apart & ~N.institutions_conflict(c("a_place"), c("b_place")) & ~c("a_only_marked") & ~c("b_only_marked"))
+
+    full = groups.where("full is not null").withColumn("outline", N.outline(F.col("full")))
+    alike = side(full, "a").join(side(full, "b"), same(("outline",))).where("a_first < b_first")
+    alike = allowed(alike.where(N.abbreviates(F.col("a_full"), F.col("b_full"))))
+    with_ = here.select(*NAME_GROUP, F.explode("coauthors").alias("coauthor")).distinct()
+    met = side(with_, "a").join(side(with_, "b"), same(("coauthor",))).where("a_form <> b_form and (a_form like '.%' or b_form like '.%')")
+    met = met.groupBy(*[f"{p}_{c}" for p in "ab" for c in NAME_GROUP]).agg(F.count("*").alias("shared"))
+    met = met.join(side(groups, "a"), [f"a_{c}" for c in NAME_GROUP]).join(side(groups, "b"), [f"b_{c}" for c in NAME_GROUP]).where("a_first < b_first")
+    near = (F.col("shared") >= SHARED_COAUTHORS) | (~F.col("a_common") & (N.jaccard(F.col("a_words"), F.col("b_words")) >= AFFILIATION_JACCARD))
+    met = allowed(met.where(N.initials_agree(F.col("a_init"), F.col("b_init")) & near))
+    both = alike.select("a_plain", "b_plain").unionByName(met.select("a_plain", "b_plain"))
+    return both.select(F.lit(ACROSS_NAMES).alias("kind"), F.col("b_plain").alias("node"), F.col("a_plain").alias("to"))
+
+
+def group_links(here: DataFrame) -> DataFrame:
+    """(kind, node, to) within a name group: one person, but for common surnames where places conflict, and but for marked ones."""
+    keys = (*NAME_GROUP, "marked")
+    split = F.when(F.col("common"), F.col("place"))
+    placed = star(here.withColumn("spot", split), (*keys, "spot"))
+    parts = placed.where("node = to and common").select(*keys, "node", "common", F.col("spot").alias("place"))
+    links = placed.where("node <> to").select("node", "to").unionByName(first_fit(parts, keys, "place"))
+    return links.select(F.lit(WITHIN_NAME).alias("kind"), "node", "to")
+
+
+def settle(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """One component's clusters: its links in order, but those that put two names of a paper, or two first forenames, into one."""
+    of = {n: n for n in rows["node"]}
+    held = {n: ({n}, {p}, {f} - {""}) for n, p, f in zip(rows["node"], rows["pmid"], rows["given"], strict=True)}
+    groups = rows.groupby("name")["node"].apply(list).to_dict()
+    plain = dict(zip(rows["node"], rows["name"], strict=True))
+    marked = set(rows["node"][rows["marked"]])
+    block = rows.groupby("block")["node"].min().to_dict()
+    spot = {n: block[b] for n, b in zip(rows["node"], rows["block"], strict=True)}
+
+    def join(x: int, y: int) -> None:
+        x, y = of[x], of[y]
+        if x == y or held[x][1] & held[y][1]:
+            return
+        if any(not (a.startswith(b) or b.startswith(a)) for a in held[x][2] for b in held[y][2]):
             return
-        if all(either_starts(x, y) for x in self.forenames[a] for y in self.forenames[b]):
-            self.parent[a] = b
-            self.papers[b] |= self.papers[a]
-            self.forenames[b] |= self.forenames[a]
-
-
-def cluster_block(block: pd.DataFrame, safelist: Safelist, common: frozenset[str]) -> pd.DataFrame:
-    """(rec_seq, pos, cluster) of one block; a cluster's name is its root's place."""
-    block = block.sort_values(["rec_seq", "pos"], kind="stable").reset_index(drop=True)
-    last, fore, pmid = block["last_norm"].tolist(), block["fore"].fillna("").tolist(), block["pmid"].tolist()
-    init, oa, orcid = block["init"].fillna("").tolist(), block["oa_id"].fillna("").tolist(), block["orcid"].fillna("").tolist()
-    affils, coauthors = [list(a) for a in block["affils"]], [set(c) for c in block["coauthors"]]
-    junior = [is_junior(*x, safelist.juniors) for x in zip(block["last"], fore, block["initials"].fillna(""), block["suffix"], strict=True)]
-    key = [fore_key(f, i, j) for f, i, j in zip(fore, block["initials"].fillna(""), junior, strict=True)]
-    place = [institution_key(a) for a in affils]
-    marked = [safelist.is_marked(n, k, a) for n, k, a in zip(last, key, affils, strict=True)]
-    clusters = Clusters(pmid, [first_forename(k) for k in key])
-
-    def by_id(ids: list[str], allowed) -> None:
-        """Each occurrence joins the first earlier representative of its id that it may, or represents it, too."""
-        representatives = defaultdict(list)
-        for i, x in enumerate(ids):
-            if x:
-                for j in representatives[x]:
-                    if surnames_compatible(last[i], last[j]) and junior[i] == junior[j] and allowed(i, j):
-                        clusters.merge(i, j)
-                        break
-                else:
-                    representatives[x].append(i)
-
-    by_id(orcid, lambda i, j: True)
-    by_id(oa, lambda i, j: not safelist.apart(last[i], key[i], key[j]) and marked[i] == marked[j] and not (last[i] in common and institutions_conflict(place[i], place[j])))
-
-    buckets: dict[tuple[str, str], dict[str, list[int]]] = {}
-    for i in range(len(block)):
-        buckets.setdefault((last[i], init[i][:1]), {}).setdefault(key[i], []).append(i)
-    for (surname, _), groups in buckets.items():
-        facts = {}
-        for name, members in groups.items():
-            own = next((affils[k] for k in members if affils[k]), [])
-            facts[name] = (set().union(*(coauthors[k] for k in members)), affiliation_words(own), institution_key(own), any(junior[k] for k in members))
-        named = list(groups)
-        for x, a in enumerate(named):
-            for b in named[x + 1 :]:
-                if same_person(surname, a, b, facts[a], facts[b], safelist):
-                    for i in groups[a]:
-                        for j in groups[b]:
-                            if not (marked[i] or marked[j]):
-                                clusters.merge(i, j)
-        for members in groups.values():
-            for some in ([k for k in members if not marked[k]], [k for k in members if marked[k]]):
-                for part in by_institution(some, affils) if surname in common else [some]:
-                    for k in part[1:]:
-                        clusters.merge(k, part[0])
-    roots = [clusters.root(i) for i in range(len(block))]
-    cluster = [f"{block['rec_seq'][r]}:{block['pos'][r]}" for r in roots]
-    return pd.DataFrame({"rec_seq": block["rec_seq"], "pos": block["pos"], "cluster": cluster, "junior": junior})
-
-
-def same_person(surname: str, a: str, b: str, facts_a: tuple, facts_b: tuple, safelist: Safelist) -> bool:
-    """Whether two name groups of a bucket merge: blocks first, then names, then shared co-authors and places."""
-    (coauthors_a, words_a, place_a, junior_a), (coauthors_b, words_b, place_b, junior_b) = facts_a, facts_b
-    if junior_a != junior_b or safelist.apart(surname, a, b) or institutions_conflict(place_a, place_b):
-        return False
-    if not a.startswith(INITIALS_MARK) and not b.startswith(INITIALS_MARK):
-        return forenames_compatible(a, b)
-    if not initials_compatible(a, b):
-        return False
-    shared = len(coauthors_a & coauthors_b)
-    return shared >= SHARED_COAUTHORS or shared >= 1 and jaccard(words_a, words_b) >= AFFILIATION_JACCARD
-
-
-def by_institution(members: list[int], affils: list[list[str]]) -> list[list[int]]:
-    """Members in parts: each joins the first part whose affiliations so far don't conflict with its own."""
-    parts: list[tuple[list[int], list[str]]] = []
-    for k in members:
-        for part, known in parts:
-            if not institutions_conflict(institution_key(affils[k]), institution_key(known)):
-                part.append(k)
-                known.extend(affils[k])
-                break
-        else:
-            parts.append(([k], list(affils[k])))
-    return [part for part, _ in parts]
+        if len(held[x][0]) > len(held[y][0]):
+            x, y = y, x
+        for some, more in zip(held[y], held.pop(x), strict=True):
+            some |= more
+        for n in held[y][0]:
+            of[n] = y
+
+    def order(link) -> tuple:
+        return (link.kind, link.later, link.earlier) if link.kind < ACROSS_NAMES else (ACROSS_NAMES, spot[link.later], link.kind, link.earlier, link.later)
+
+    for link in sorted(links.itertuples(index=False), key=order):
+        if link.kind != ACROSS_NAMES:
+            join(link.later, link.earlier)
+            continue
+        tops = lambda n: {of[k]: k for k in reversed(groups[plain[n]]) if k not in marked}.values()
+        for x in tops(link.earlier):
+            for y in tops(link.later):
+                join(x, y)
+    least = {c: min(members) for c, (members, _, _) in held.items()}
+    return pd.DataFrame({"node": list(of), "least": [least[c] for c in of.values()]})
 
 
 def clusters(occ: DataFrame, safelist: Safelist | None = None, common: Iterable[str] = COMMON_SURNAMES) -> DataFrame:
-    """(rec_seq, pos, cluster, junior) of all occurrences."""
-    rules, names = safelist or Safelist(), frozenset(common)
-    return blocks(occ).groupBy("block").applyInPandas(lambda block: cluster_block(block, rules, names), "rec_seq long, pos int, cluster string, junior boolean")
-
-
-@F.pandas_udf(T.StringType())
-def place_udf(affil: pd.Series) -> pd.Series:
-    return affil.map(lambda a: institution_key([a]) if a else None)
+    """(rec_seq, pos, cluster, junior) of all occurrences; a cluster is named after its first one's place."""
+    rules = safelist or Safelist()
+    known = F.array(*[F.when((F.col("last_norm") == name) & ((F.col("form") == form.lower()) | (F.col("init") == form.lower())), F.lit(2 * i + side)) for i, (name, *two) in enumerate(rules.distinct) for side, form in enumerate(two)])
+    here = occ.withColumns({
+        "node": F.col("rec_seq") * PLACES + F.col("pos"),
+        "letter": F.left("init", F.lit(1)),
+        "junior": rules.is_junior(F.col("last_norm"), F.col("fore"), F.col("init"), F.col("suffix")),
+        "marked": rules.is_marked(F.col("last_norm"), F.col("full"), F.col("affils")),
+        "place": N.institution_key(F.col("affils")),
+        "given": N.first_forename(F.col("full")),
+        "common": F.col("last_norm").isin(list(common)),
+        "known": F.array_compact(known).cast("array<int>"),
+    })
+    here = cut(here.withColumn("given", F.coalesce("given", F.lit(""))))
+    links = id_links(here, "orcid", BY_ORCID, False).unionByName(id_links(here, "oa_id", BY_ID, True))
+    links = cut(links.unionByName(name_links(here, rules)).unionByName(group_links(here)))
+    home = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    placed = cut(here.join(home.select(F.col("id").alias("node"), "component"), "node").select("rec_seq", "pos", "node", "component", "pmid", "given", "marked", F.concat_ws("\t", *NAME_GROUP).alias("name"), F.concat_ws("\t", "last_norm", "letter").alias("block")))
+    given = F.collect_set(F.when(F.col("given") != "", F.col("given")))
+    per = placed.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("pmid").alias("papers"), F.min("node").alias("least"), given.alias("all"))
+    longest = F.element_at(F.array_sort(F.transform("all", lambda g: F.struct(F.length(g).alias("n"), g.alias("g")))), -1)["g"]
+    # One name is the start of the other for any two, if it is for each and the longest.
+    sound = (F.col("n") == F.col("papers")) & ((F.size("all") == 0) | F.forall("all", lambda g: F.startswith(longest, g)))
+    verdict = cut(per.select("component", "least", sound.alias("sound")))
+    open_ = verdict.where(~F.col("sound")).select("component")
+    # All members of two linked names are in one component, so a task has what it needs of both.
+    inner = links.join(placed.select("node", "component"), "node").join(open_, "component").select(F.col("component").alias("home"), "kind", F.col("node").alias("later"), F.col("to").alias("earlier"))
+    members = placed.join(open_, "component")
+    settled = members.groupBy("component").cogroup(inner.groupBy("home")).applyInPandas(lambda m, k: settle(m, k), "node long, least long")
+    least = placed.join(verdict.where("sound"), "component").select("node", "least").unionByName(settled)
+    cluster = F.concat_ws(":", F.floor(F.col("least") / PLACES).cast("string"), (F.col("least") % PLACES).cast("string"))
+    out = here.select("rec_seq", "pos", "node", "junior").join(least, "node", "left").withColumn("least", F.coalesce("least", "node"))
+    return out.select("rec_seq", "pos", cluster.alias("cluster"), "junior")
 
 
 def labels(occ: DataFrame, clustered: DataFrame, common: Iterable[str] = COMMON_SURNAMES) -> DataFrame:
@@ -236,13 +269,13 @@ def labels(occ: DataFrame, clustered: DataFrame, common: Iterable[str] = COMMON_
     suffix = r"(?iu)\b(j[uú]nior|jr|filho|neto|sobrinho|senior|sr)\b"
     usable = ranked.withColumn("twice", twice).where("n >= 2 or not twice").join(modal, "cluster").where((F.col("last") == F.col("best_last")) & (F.col("given") != "") & ~F.rlike("given", F.lit(suffix)))
     longest = usable.groupBy("cluster").agg(F.max_by("given", F.struct(F.length("given"), -F.col("at"))).alias("long"))
-    places = rows.where(F.size("affils") > 0).select("cluster", "seq", place_udf(F.get("affils", F.lit(0))).alias("place")).where("place is not null")
+    places = rows.where(F.size("affils") > 0).select("cluster", "seq", N.institution_key(F.slice("affils", 1, 1)).alias("place")).where("place is not null")
     spot = places.groupBy("cluster", "place").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "first"))
     spot = spot.withColumn("at", nth).where("at = 1").select("cluster", F.initcap("place").alias("place"))
     size = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("seq").alias("first"), F.max("junior").alias("junior"))
     each = modal.join(longest, "cluster", "left").join(spot, "cluster", "left").join(size, "cluster")
-    name = display_name_column(F.col("best_last"), F.col("long"), F.col("best_given"))
+    name = N.display_name(F.col("best_last"), F.col("long"), F.col("best_given"))
     name = F.concat(name, F.when(F.col("junior"), " Jr").otherwise(""))
     placed = F.col("best_norm").isin(list(common)) & F.col("place").isNotNull()
     each = each.withColumn("name", F.when(placed, F.concat(name, F.lit(" ("), "place", F.lit(")"))).otherwise(name))

@@ -53,21 +53,27 @@ def ids(spark, rows, **options):
     return [[a.author_id for a in r.authors] for r in got]
 
 
-def test_names():
-    assert N.norm_last("Spörl") == N.norm_last("Spoerl") == "spoerl" and N.norm_last("O'Brart") == "obrart" and N.norm_last("Sinha-Roy") == N.norm_last("Sinha Roy")
-    assert N.initials_of("Theo", "TG") == "tg" and N.initials_of("D P S", "DP") == "dps" and N.initials_of("Anna Maria") == "am"
-    assert N.fore_key("T G", "TG") == "__init__:tg" and N.fore_key("Theo", "T") == "theo"
-    assert N.forenames_compatible("theo g", "theo günter") and not N.forenames_compatible("theo", "theo günter")
-    assert N.initials_compatible("__init__:t", "theo") and not N.initials_compatible("__init__:tg", "anna")
-    assert N.institution_key(["Dept, Wenzhou Medical University, China"]) == "wenzhou" and N.institutions_conflict("a", "b") and not N.institutions_conflict(None, "b")
-    assert N.display_name("Zhang", "Lei Min") == "Zhang LM" and N.display_name("", "x") == "Unknown"
-
-
-def test_name_columns_equal_functions(spark):
-    rows = [("Spörl", "Theo Günter", "TG"), ("X", "D P S", "DP"), ("Y", None, "AB"), ("Z", "", None), ("Q", "anna-maria k.", "")]
-    got = spark.createDataFrame(rows, "last string, fore string, initials string").select("last", "fore", "initials", N.initials_column(F.col("fore"), F.col("initials")).alias("i"), N.fore_key_column(F.col("fore"), F.col("initials")).alias("k"), N.norm_last_udf("last").alias("n"), N.display_name_column(F.col("last"), F.col("fore"), F.col("initials")).alias("d")).collect()
-    for r in got:
-        assert r.i == N.initials_of(r.fore, r.initials) and r.k == N.fore_key(r.fore, r.initials) and r.n == N.norm_last(r.last) and r.d == N.display_name(r.last, r.fore, r.initials)
+def test_names(spark):
+    c = F.col
+    rows = [("Spörl", "Theo Günter", "TG"), ("Spoerl", "D P S", "DP"), ("O'Brart", None, "AB"), ("Sinha-Roy", "", None), ("Łą", "anna-maria k.", ""), ("Zhang", "Lei Min", None), ("", "x", None), ("de Ño", "T", "TG")]
+    columns = [N.surname(c("l")), N.initials(c("f"), c("i")), N.name_form(c("f"), c("i")), N.first_forename(N.forename(c("f"))), N.display_name(c("l"), c("f"), c("i"))]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "l string, f string, i string").select(*columns).collect()]
+    assert got == [
+        ("spoerl", "tg", "theo günter", "theo", "Spörl TG"), ("spoerl", "dps", ".dps", "", "Spoerl DPS"), ("obrart", "ab", ".ab", "", "O'Brart A"),
+        ("sinharoy", "", ".", "", "Sinha-Roy"), ("a", "ak", "anna-maria k.", "annamaria", "Łą AK"), ("zhang", "lm", "lei min", "lei", "Zhang LM"),
+        ("", "x", ".x", "", "Unknown"), ("deno", "tg", ".tg", "", "de Ño T"),
+    ]
+    pairs = [("theo g", "theo günter"), ("theo", "theo günter"), ("theo g.", "theo g"), ("anna b", "anna c"), ("li hua", "li h")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [tuple(r) for r in df.select(N.abbreviates(c("a"), c("b")), N.outline(c("a")) == N.outline(c("b"))).collect()] == [(True, True), (False, False), (True, True), (False, False), (True, True)]
+    agree = spark.createDataFrame([("t", "tg"), ("tg", "t"), ("tg", "a")], "a string, b string").select(N.initials_agree(c("a"), c("b"))).collect()
+    assert [r[0] for r in agree] == [True, True, False]
+    affils = spark.createDataFrame([(["Dept, Wenzhou Medical University, China"],), (["nothing", "University of Bern"],), ([],), (None,)], "a array<string>")
+    assert [r[0] for r in affils.select(N.institution_key(c("a"))).collect()] == ["wenzhou", "bern", None, None]
+    both = spark.createDataFrame([("a", "b"), (None, "b"), ("bern", "of bern")], "a string, b string").select(N.institutions_conflict(c("a"), c("b"))).collect()
+    assert [r[0] for r in both] == [True, False, False]
+    suffix = spark.createDataFrame([("Jr.",), ("JÚNIOR",), ("Sr",), (None,)], "s string").select(N.says_junior(c("s"))).collect()
+    assert [r[0] for r in suffix] == [True, True, False, False]
 
 
 def test_identity(spark):
@@ -89,6 +95,28 @@ def test_identity(spark):
     assert got[7][0] != got[7][1] and got[8] == ["__collective__"]
 
 
+def test_identity_refuses_links_in_order(spark):
+    """An initials-only name can't hold two forenames together; one place of two conflicting ones takes what names none."""
+    paper = lambda *a: {"authors": list(a)}
+    others = (author("Huber", "Bo", "B"), author("Koch", "Cy", "C"))
+    got = ids(spark, [
+        paper(author("Noll", "Yan", "Y"), *others), paper(author("Noll", "Y", "Y"), *others), paper(author("Noll", "Yiran", "Y"), *others),
+        paper(author("Chen", "Lu", "L", ["Fudan University"])), paper(author("Chen", "Lu", "L")), paper(author("Chen", "Lu", "L", ["Peking University"])), paper(author("Chen", "Lu", "L", ["Peking University"])),
+        paper(author("Adam", "Eva", "E", orcid="7"), author("Ott", "Eva", "E", orcid="7")),
+        paper(author("Zhou", "Lei", "L", ["Fudan University"], oa_id="9")), paper(author("Zhou", "Lei", "L", oa_id="9")), paper(author("Zhou", "Lei", "L", ["Peking University"], oa_id="9")),
+    ])
+    assert got[0][0] == got[1][0] != got[2][0]
+    assert got[3] == got[4] != got[5] == got[6]
+    assert got[7][0] != got[7][1]
+    assert got[8] == got[9] != got[10]
+
+
+def test_components_without_a_round_limit(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(1000, 2000), (5, 5)]
+    got = {r.id: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(101), 0), 1000: 1000, 2000: 1000}
+
+
 def test_identity_safelists(spark):
     rows = [{"authors": [author("Adler", "Paul", "P")]}, {"authors": [author("Adler", "Paul", "P", suffix="Jr")]}, {"authors": [author("Adler", "Paul", "P", suffix="Jr")]}]
     got = ids(spark, rows, safelist=Safelist(juniors=[("adler", "paul")]))
