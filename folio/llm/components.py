@@ -11,17 +11,16 @@ from folio.llm.runtime import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); the component is its smallest id.
 
-    Each round sends every node to the first of its neighbours and itself, in an order by hash that
-    is another one each time, and contracts the edges: a share of all nodes goes each time, whatever
-    the graph, so the rounds grow with the logarithm of the nodes and not with the length of paths.
+    Each round sends every node to the first of its neighbours and itself, in an order by hash, and
+    contracts the edges.  A star is one node after two rounds; of a path a share of the nodes goes
+    each time, so the rounds grow with the logarithm of the nodes and not with the length of paths.
     The neighbours of a hub meet in a minimum, combined before the shuffle.  Self-loops are allowed;
     nulls must not occur.
     """
     left = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    roots, turn = None, 0
+    roots = None
     while True:
-        turn += 1
-        place = lambda c: F.xxhash64(F.lit(turn), c)
+        place = lambda c: F.xxhash64(F.lit(1), c)
         both = left.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("other")))
         first = both.groupBy("id").agg(F.min_by("other", place("other")).alias("other"))
         step = scratch.save(first.select("id", F.when(place("other") < place("id"), F.col("other")).otherwise(F.col("id")).alias("to")), "step")
