@@ -51,7 +51,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "screen":
         manual = dims.manual_decisions(spark, args.manual) if args.manual else None
         done = screening.classify(read_stage(spark, args.stages, ["raw"]), manual).persist()
-        write_stage(screening.kept(done).drop("relevance"), args.stages, "screened")
+        write_stage(screening.kept(done).drop("relevance"), args.stages, "screened", "raw")
         log = screening.exclusion_log(done)
         if args.out:
             csv(log, f"{args.out}/exclusion_log")
@@ -63,7 +63,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.works:
             records = joins.with_works(records, read_works(spark, args.works))
         ready = analysis.prepared(records, dims.gazetteer(spark, args.countries), impute_within=None if args.no_imputation else 2)
-        write_stage(ready, args.stages, "enriched")
+        write_stage(ready, args.stages, "enriched", "screened")
         return 0
     records = with_year(read_stage(spark, args.stages, ["raw", "screened", "enriched"]))
     if args.command == "delta":

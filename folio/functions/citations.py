@@ -17,10 +17,10 @@ def cite_summary(count: Column, digits: int = 1) -> list[Column]:
         F.count(count).alias("n_cited_known"),
         F.count_if(count.isNull()).alias("n_cite_null"),
         F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("citation_total"),
-        F.round(F.avg(count), digits).alias("citations_mean"),
-        F.round(exact_quantile(count, 0.5), digits).alias("citations_median"),
-        F.round(exact_quantile(count, 0.25), digits).alias("citations_q1"),
-        F.round(exact_quantile(count, 0.75), digits).alias("citations_q3"),
+        F.bround(F.avg(count), digits).alias("citations_mean"),
+        F.bround(exact_quantile(count, 0.5), digits).alias("citations_median"),
+        F.bround(exact_quantile(count, 0.25), digits).alias("citations_q1"),
+        F.bround(exact_quantile(count, 0.75), digits).alias("citations_q3"),
     ]
 
 

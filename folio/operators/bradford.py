@@ -28,7 +28,7 @@ def bradford_curve(ranked: DataFrame, name: str, count: str, zones: int = 3, dig
         curve = curve.crossJoin(F.broadcast(cut.select(F.col("_cut.rank").alias(f"_rank{k}"), F.col("_cut.cumulative").alias(f"_sum{k}"))))
         zone = zone + F.coalesce((F.col("rank") > F.col(f"_rank{k}")).cast("int"), F.lit(0))
         before = F.coalesce(F.col(f"_sum{k}"), F.col("total"))
-    pct = F.round(100 * F.col("cumulative") / F.col("total"), digits)
+    pct = F.bround(100 * F.col("cumulative") / F.col("total"), digits)
     return curve.select("rank", name, count, "cumulative", pct.alias("cumulative_pct"), zone.alias("zone"))
 
 
@@ -38,6 +38,6 @@ def bradford_zones(curve: DataFrame, count: str) -> DataFrame:
     line = Window.orderBy("zone")
     total = F.sum("publications").over(Window.partitionBy())
     return per.withColumns({
-        "publication_pct": F.round(100 * F.col("publications") / total, 2),
-        "multiplier": F.round(F.col("names") / F.lag("names").over(line), 2),
+        "publication_pct": F.bround(100 * F.col("publications") / total, 2),
+        "multiplier": F.bround(F.col("names") / F.lag("names").over(line), 2),
     })

@@ -58,14 +58,13 @@ def components(edge_list: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edge_list`` (a, b): the least id that is reachable.
 
     Each round contracts the edges: every node goes to the first of its neighbours and itself, in an
-    order by hash that is another one each time, so a share of all nodes goes whatever the graph is
-    like and however long its paths are.  Rounds go on until no edge is left.
+    order by hash, so a star is one node after two rounds, and of a path a share of the nodes goes
+    each time however long it is.  Rounds go on until no edge is left.
     """
     left = cut(edge_list.select("a", "b").distinct())
-    label, turn = None, 0
+    label = None
     while True:
-        turn += 1
-        place = lambda c: F.xxhash64(F.lit(turn), c)
+        place = lambda c: F.xxhash64(F.lit(1), c)
         both = left.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("other")))
         first = both.groupBy("id").agg(F.min_by("other", place("other")).alias("other"))
         step = cut(first.select("id", F.when(place("other") < place("id"), F.col("other")).otherwise(F.col("id")).alias("to")))

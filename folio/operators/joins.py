@@ -144,7 +144,7 @@ def metric_diff(old: DataFrame, new: DataFrame, *others: tuple[str, DataFrame])
     for name, frame in others:
         out = out.join(frame.select("metric", F.col("value").alias(name)), "metric", "full_outer")
     number = lambda c: F.col(c).try_cast("double")
-    return out.withColumn("delta", F.round(number("new") - number("old"), 6))
+    return out.withColumn("delta", F.bround(number("new") - number("old"), 6))
 
 
 def yearly_diff(ours: DataFrame, theirs: DataFrame, year: str, large: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ by the time it is counted.  Each ranking is one or two hash aggregations; ties a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.citations import cite_summary, exact_quantile, h_estimate
@@ -66,7 +66,7 @@ def journal_stats(records: DataFrame, journal: str, cites: str, total: int | Non
     name = known_name(journal)
     extra = [F.min_by(abbr, seq).alias("abbreviation")] if abbr else []
     per = records.groupBy(name.alias("journal")).agg(F.count("*").alias("publications"), *extra, *cite_summary(F.col(cites)))
-    return per.withColumn("percentage", F.round(100 * F.col("publications") / F.sum("publications").over(Window.partitionBy()), 2))
+    return per.withColumn("percentage", F.bround(100 * F.col("publications") / F.sum("publications").over(Window.partitionBy()), 2))
 
 
 def country_stats(records: DataFrame, country: str, cites: str, population: DataFrame | None = None) -> DataFrame:
@@ -75,16 +75,16 @@ def country_stats(records: DataFrame, country: str, cites: str, population: Data
     whole = Window.partitionBy()
     n, resolved = F.col("publications"), F.col("country") != UNKNOWN
     per = per.withColumns({
-        "percentage": F.round(100 * n / F.sum(n).over(whole), 2),
-        "pct_of_resolved": F.when(resolved, F.round(100 * n / F.sum(F.when(resolved, n)).over(whole), 2)),
+        "percentage": F.bround(100 * n / F.sum(n).over(whole), 2),
+        "pct_of_resolved": F.when(resolved, F.bround(100 * n / F.sum(F.when(resolved, n)).over(whole), 2)),
     })
     ranked = with_competition_rank(per.where(resolved), "publications").unionByName(per.where(~resolved).withColumn("rank", F.lit(None).cast("string")))
     if population is None:
         return ranked
     rated = ranked.join(population.select("country", "population"), "country", "left")
     return rated.withColumns({
-        "pubs_per_million": F.round(n * 1e6 / F.col("population"), 2),
-        "cites_per_million": F.round(F.col("citation_total") * 1e6 / F.col("population"), 1),
+        "pubs_per_million": F.bround(n * 1e6 / F.col("population"), 2),
+        "cites_per_million": F.bround(F.col("citation_total") * 1e6 / F.col("population"), 1),
     })
 
 
@@ -105,8 +105,8 @@ def country_schemes(authorship: DataFrame, records: DataFrame, key: str, country
     for scheme, per in (("first", first), ("whole", whole), ("fractional", fractional)):
         one = per.select(F.lit(scheme).alias("scheme"), "country", F.col("v"))
         out = one if out is None else out.unionByName(one)
-    share = F.round(100 * F.col("v") / F.sum("v").over(Window.partitionBy("scheme")), 2)
-    return out.select("scheme", "country", F.round("v", 2).alias("publications"), share.alias("pct"))
+    share = F.bround(100 * F.col("v") / F.sum("v").over(Window.partitionBy("scheme")), 2)
+    return out.select("scheme", "country", F.bround("v", 2).alias("publications"), share.alias("pct"))
 
 
 def schemes_side_by_side(schemes: DataFrame, k: int = 30) -> DataFrame:
@@ -116,26 +116,35 @@ def schemes_side_by_side(schemes: DataFrame, k: int = 30) -> DataFrame:
     return each["first"].orderBy(F.desc("first"), "country").limit(k).join(each["whole"], "country", "left").join(each["fractional"], "country", "left")
 
 
-def institution_stats(resolved: DataFrame, key: str, pos: str, order: str, name: str, cites: str, scope: str = "all", counting: str = "whole", shortest: int = 4) -> DataFrame:
-    """Institutions by scope (first or all authors) and counting (primary, whole or fractional).
+SCOPES, COUNTINGS = ("first", "all"), ("primary", "whole", "fractional")
 
-    ``resolved`` has a row for each institution of each author of each record.  An author's weight
-    is 1, or 1 / the number of their institutions under fractional counting, before names
-    shorter than ``shortest`` are dropped; a record's weight for a name is its authors' greatest.
+
+def institution_rankings(resolved: DataFrame, levels: dict[str, Column], key: str, pos: str, order: str, cites: str, shortest: int = 4) -> DataFrame:
+    """(level, institution, scope, counting, publications, citations, n_cited_known): every level, scope and way of counting at once.
+
+    ``resolved`` has a row for each institution of each author of each record; a level is an expression
+    for its name, null where it has none.  Scope: the first author or all.  Counting: an author's first
+    institution, all of them, or each as 1 / their number, fixed before names shorter than ``shortest``
+    are dropped.  A record's weight for a name is its authors' greatest.  All weights are aggregated
+    side by side: one window and two aggregations, however many rankings.
     """
-    rows = resolved.where(F.col(pos) == 0) if scope == "first" else resolved
-    if counting == "primary":
-        rows = rows.where(F.col(order) == 0)
-    author = Window.partitionBy(key, pos)
-    weight = 1.0 / F.count("*").over(author) if counting == "fractional" else F.lit(1.0)
-    weighted = rows.withColumn("w", weight).where(F.length(name) >= shortest)
-    per_record = weighted.groupBy(key, name).agg(F.max("w").alias("w"), F.max(cites).alias("c"))
-    digits = 2 if counting == "fractional" else 0
-    return per_record.groupBy(F.col(name).alias("institution")).agg(
-        F.round(F.sum("w"), digits).alias("publications"),
-        F.round(F.coalesce(F.sum(F.col("w") * F.col("c")), F.lit(0.0)), 0).cast("long").alias("citations"),
-        F.count("c").alias("n_cited_known"),
-    )
+    names = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), name.alias("name")) for level, name in levels.items()]))
+    rows = resolved.select(key, pos, order, F.col(cites).alias("c"), names.alias("_n")).select("*", "_n.level", "_n.name").where("name is not null")
+    rows = rows.withColumn("share", 1.0 / F.count("*").over(Window.partitionBy(key, pos, "level"))).where(F.length("name") >= shortest)
+    weight = {"primary": F.when(F.col(order) == 0, 1.0), "whole": F.lit(1.0), "fractional": F.col("share")}
+    weights = {f"{s}_{c}": F.max(F.when(F.col(pos) == 0, weight[c]) if s == "first" else weight[c]).alias(f"{s}_{c}") for s in SCOPES for c in COUNTINGS}
+    per_record = rows.groupBy("level", "name", key).agg(*weights.values(), F.max("c").alias("c"))
+    sums = lambda w: F.struct(F.sum(w).alias("w"), F.sum(F.col(w) * F.col("c")).alias("wc"), F.count(F.when(F.col(w).isNotNull(), F.col("c"))).alias("known"))
+    per_name = per_record.groupBy("level", "name").agg(*[sums(w).alias(w) for w in weights])
+    long = F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(c).alias("counting"), F.col(f"{s}_{c}").alias("v")) for s in SCOPES for c in COUNTINGS]))
+    each = per_name.select("level", F.col("name").alias("institution"), long.alias("r")).select("level", "institution", "r.scope", "r.counting", "r.v.*").where("w is not null")
+    digits = F.when(F.col("counting") == "fractional", F.bround("w", 2)).otherwise(F.bround("w", 0))
+    return each.select("level", "institution", "scope", "counting", digits.alias("publications"), F.bround(F.coalesce("wc", F.lit(0.0)), 0).cast("long").alias("citations"), F.col("known").alias("n_cited_known"))
+
+
+def institution_stats(rankings: DataFrame, level: str = "canonical", scope: str = "all", counting: str = "whole") -> DataFrame:
+    """One of the rankings: (institution, publications, citations, n_cited_known)."""
+    return rankings.where((F.col("level") == level) & (F.col("scope") == scope) & (F.col("counting") == counting)).drop("level", "scope", "counting")
 
 
 def resolution_meta(records: DataFrame, authorship: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
@@ -147,21 +156,9 @@ def resolution_meta(records: DataFrame, authorship: DataFrame, resolved: DataFra
     return both.agg(F.count("*").alias("n_records"), F.count_if(~has).alias("n_no_affiliation"), F.count_if(has & ~ok).alias("n_unresolved"), F.count_if(has & ok).alias("n_resolved"))
 
 
-def all_schemes(resolved_levels: dict[str, DataFrame], **columns: str) -> DataFrame:
-    """Every scope, way of counting and level (18 rankings) as one long table."""
-    out = None
-    for level, resolved in resolved_levels.items():
-        for scope in ("first", "all"):
-            for counting in ("primary", "whole", "fractional"):
-                one = institution_stats(resolved, scope=scope, counting=counting, **columns)
-                one = one.select(F.lit(scope).alias("scope"), F.lit(counting).alias("counting"), F.lit(level).alias("level"), "*")
-                out = one if out is None else out.unionByName(one)
-    return out
-
-
 def per_capita(counts: DataFrame, population: DataFrame, minimum: int) -> DataFrame:
     """(rank, country, publications, population, pubs_per_million) of countries with enough publications and a known population."""
-    rated = counts.where(F.col("publications") >= minimum).join(population, "country").withColumn("pubs_per_million", F.round(F.col("publications") * 1e6 / F.col("population"), 2))
+    rated = counts.where(F.col("publications") >= minimum).join(population, "country").withColumn("pubs_per_million", F.bround(F.col("publications") * 1e6 / F.col("population"), 2))
     return with_competition_rank(rated, "pubs_per_million")
 
 
@@ -179,11 +176,11 @@ def citation_indicators(rows: DataFrame, entity: str, year: str, cites: str, min
     within = F.when(F.col(year).between(*fixed), F.col(cites))
     return known.groupBy(entity).agg(
         F.count("*").alias("n"),
-        F.round(F.avg(ratio), 3).alias("mncs"),
-        F.round(exact_quantile(ratio, 0.5), 3).alias("median_normalised"),
+        F.bround(F.avg(ratio), 3).alias("mncs"),
+        F.bround(exact_quantile(ratio, 0.5), 3).alias("median_normalised"),
         F.count(within).alias("n_window"),
-        F.round(F.avg(within), 2).alias("window_mean"),
-        F.round(exact_quantile(within, 0.5), 1).alias("window_median"),
+        F.bround(F.avg(within), 2).alias("window_mean"),
+        F.bround(exact_quantile(within, 0.5), 1).alias("window_median"),
     ).where(F.col("n") >= minimum)
 
 

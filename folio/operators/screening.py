@@ -132,7 +132,7 @@ def family_mix(tagged: DataFrame, by: tuple[str, ...], families: list[str] | Non
     """Records, number and percent of each family, and those of none, by year or window."""
     names = families or list(R.FAMILIES)
     n = lambda f: F.count_if(F.array_contains("families", f))
-    columns = [c for f in names for c in (n(f).alias(f"n_{f}"), F.round(100 * n(f) / F.count("*"), 1).alias(f"pct_{f}"))]
+    columns = [c for f in names for c in (n(f).alias(f"n_{f}"), F.bround(100 * n(f) / F.count("*"), 1).alias(f"pct_{f}"))]
     return tagged.groupBy(*by).agg(F.count("*").alias("records"), *columns, F.count_if(F.size("families") == 0).alias("none"))
 
 

@@ -27,7 +27,7 @@ def without_terms(terms: DataFrame, excluded: list[str]) -> tuple[DataFrame, Dat
 def coverage(records: DataFrame, has: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Records, and those that have a keyword, in number and percent."""
     n = F.count_if(F.col(has))
-    return records.groupBy(*by).agg(F.count("*").alias("n_records"), n.alias("n_with_keywords"), F.round(100 * n / F.count("*"), 1).alias("pct"))
+    return records.groupBy(*by).agg(F.count("*").alias("n_records"), n.alias("n_with_keywords"), F.bround(100 * n / F.count("*"), 1).alias("pct"))
 
 
 def trends(terms: DataFrame, records: DataFrame, key: str, year: str, has: str, wanted: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def trends(terms: DataFrame, records: DataFrame, key: str, year: str, has: str,
     grid = base.crossJoin(F.broadcast(wanted.select("term")))  # years x a figure's terms
     hits = terms.join(wanted, "term", "left_semi").join(records.select(key, year), key).groupBy(year, "term").agg(F.count("*").alias("n"))
     out = grid.join(hits, [year, "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select(year, "term", "n", F.when(F.col("d") > 0, F.round(F.col("n") / F.col("d"), 4)).alias("share"))
+    return out.select(year, "term", "n", F.when(F.col("d") > 0, F.bround(F.col("n") / F.col("d"), 4)).alias("share"))
 
 
 def trend_start(trend: DataFrame, denominators: DataFrame, year: str, floor: int = 100) -> DataFrame:

@@ -19,13 +19,13 @@ def temporal_trends(records: DataFrame, year: str = "year", cites: str = "citati
         F.count("*").alias("publications"),
         F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("total_citations"),
         F.count_if(c.isNull()).alias("n_cite_null"),
-        F.round(F.avg(c), 1).alias("citations_mean"),
-        F.round(exact_quantile(c, 0.5), 1).alias("citations_median"),
+        F.bround(F.avg(c), 1).alias("citations_mean"),
+        F.bround(exact_quantile(c, 0.5), 1).alias("citations_median"),
     )
     line = Window.partitionBy(*by).orderBy(year)
     return per.withColumns({
         "cumulative": F.sum("publications").over(line.rowsBetween(Window.unboundedPreceding, 0)),
-        "moving_avg_3yr": F.round(F.avg("publications").over(line.rowsBetween(-1, 1)), 1),
+        "moving_avg_3yr": F.bround(F.avg("publications").over(line.rowsBetween(-1, 1)), 1),
     })
 
 
@@ -48,7 +48,7 @@ def window_comparison(records: DataFrame, year: str, cites: str, distinct: dict[
         F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("total_citations"),
         F.count(c).alias("records_with_citation_count"),
         F.count_if(c.isNull()).alias("records_without_citation_count"),
-        F.round(F.avg(c), 2).alias("mean_cites_per_pub"),
+        F.bround(F.avg(c), 2).alias("mean_cites_per_pub"),
     )
     for name, column in distinct.items():  # each distinct count by itself: no row is expanded
         out = out.join(cut.select("window", column).distinct().groupBy("window").agg(F.count(column).alias(name)), "window", "left")
@@ -71,12 +71,12 @@ def year_spine(frame: DataFrame, year: str, start: int, end: int, fill: dict[str
 def share_of_field(corpus: DataFrame, field: DataFrame, year: str, start: int, end: int, per: int) -> DataFrame:
     """Per year: records, the field's total, and records per ``per`` of the field; years without records are 0."""
     counts = year_spine(corpus.groupBy(year).agg(F.count("*").alias("n")), year, start, end, {"n": 0})
-    return counts.join(field.select(year, "total"), year, "left").withColumn("rate", F.when(F.col("total") > 0, F.round(F.col("n") * per / F.col("total"), 3)))
+    return counts.join(field.select(year, "total"), year, "left").withColumn("rate", F.when(F.col("total") > 0, F.bround(F.col("n") * per / F.col("total"), 3)))
 
 
 def block_concentration(records: DataFrame, year: str, journal: str, named: list[str], width: int = 5) -> DataFrame:
     """Blocks of years: records, the share of the named journals, and how many journals there are."""
     block = (F.floor(F.col(year) / width) * width).cast("int")
     cut = records.withColumn("block", block)
-    base = cut.groupBy("block").agg(F.count("*").alias("n"), F.round(100 * F.count_if(F.col(journal).isin(named)) / F.count("*"), 2).alias("named_pct"))
+    base = cut.groupBy("block").agg(F.count("*").alias("n"), F.bround(100 * F.count_if(F.col(journal).isin(named)) / F.count("*"), 2).alias("named_pct"))
     return base.join(cut.select("block", journal).distinct().groupBy("block").agg(F.count(journal).alias("journals")), "block")

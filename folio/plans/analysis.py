@@ -61,8 +61,7 @@ def run_analysis(records: DataFrame, population: DataFrame, aliases: DataFrame,
     authorship = rankings.authorships(records, "rec_seq").withColumn("journal_key", F.coalesce(F.nullif("journal_abbr", F.lit("")), "journal"))
     named = authorship.where("author_id is not null and author_id <> '__collective__'")
     resolved = institutions_of(authorship, aliases)
-    levels = {level: resolved.select("rec_seq", "pos", "order", "citation_count", joins.at_level(level).alias("name")).where("name is not null") for level in ("canonical", "parent", "cluster")}
-    columns = {"key": "rec_seq", "pos": "pos", "order": "order", "name": "name", "cites": "citation_count"}
+    ranked = rankings.institution_rankings(resolved, {level: joins.at_level(level) for level in ("canonical", "parent", "cluster")}, "rec_seq", "pos", "order", "citation_count")
     keywords, dropped = terms.without_terms(terms.record_terms(records, "rec_seq", ("keywords",)), list(excluded))
     headings, _ = terms.without_terms(terms.record_terms(records, "rec_seq", ("mesh",)), list(excluded))
     has = F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0
@@ -90,9 +89,9 @@ def run_analysis(records: DataFrame, population: DataFrame, aliases: DataFrame,
         "keywords_excluded": dropped,
         "keyword_coverage": terms.coverage(flagged, "has_keywords", ("year_int",)),
         "mesh": graphs.nodes(headings, "rec_seq", "term").where(F.col("n") >= KEYWORD_FLOOR),
-        "institutions": rankings.institution_stats(levels["canonical"], **columns),
-        "institution_schemes": rankings.all_schemes(levels, **columns),
-        "institution_meta": rankings.resolution_meta(records, authorship, levels["canonical"], "rec_seq"),
+        "institutions": rankings.institution_stats(ranked),
+        "institution_schemes": ranked,
+        "institution_meta": rankings.resolution_meta(records, authorship, resolved.where(joins.at_level("canonical").isNotNull()), "rec_seq"),
         "pub_types": rankings.value_counts(records, "pub_types", "publication_type", many=True),
         "languages": with_language_names(rankings.value_counts(records, "language", "code")),
         "author_nodes": people,
@@ -178,11 +177,11 @@ def within(counts: DataFrame, most: int = 2) -> DataFrame:
 def journal_share(records: DataFrame, totals: DataFrame) -> DataFrame:
     """What share of each journal's whole output the corpus is."""
     counts = records.groupBy(F.coalesce(F.nullif("journal_abbr", F.lit("")), "journal").alias("journal")).agg(F.count("*").alias("n"))
-    return counts.join(totals, "journal").withColumn("pct", F.when(F.col("total") > 0, F.round(100 * F.col("n") / F.col("total"), 2)))
+    return counts.join(totals, "journal").withColumn("pct", F.when(F.col("total") > 0, F.bround(100 * F.col("n") / F.col("total"), 2)))
 
 
 def trial_share(records: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Share of randomised trials beside that of other topics (topic, n, trials)."""
     trials = F.exists(F.coalesce("pub_types", F.array().cast("array<string>")), lambda t: t == "Randomized Controlled Trial")
     own = records.agg(F.lit("corpus").alias("topic"), F.count("*").alias("n"), F.count_if(trials).alias("trials"))
-    return own.unionByName(benchmarks.select("topic", "n", "trials")).withColumn("pct", F.when(F.col("n") > 0, F.round(100 * F.col("trials") / F.col("n"), 2)))
+    return own.unionByName(benchmarks.select("topic", "n", "trials")).withColumn("pct", F.when(F.col("n") > 0, F.bround(100 * F.col("trials") / F.col("n"), 2)))

@@ -91,7 +91,7 @@ def figure(tables: dict[str, DataFrame], name: str) -> DataFrame:
         "fig4_citations": lambda: order(order(tables["authors"], "publications", "author_id", 20), "citation_total", "author_id", 20),
         "fig5": lambda: order(tables["keywords"], "n", "term", 50),
         "fig6": lambda: tables["pub_types"],
-        "fig9": lambda: order(tables["institutions"], "publications", "institution", 15).withColumn("mean_citations", F.round(F.col("citations") / F.col("publications"), 2)),
+        "fig9": lambda: order(tables["institutions"], "publications", "institution", 15).withColumn("mean_citations", F.bround(F.col("citations") / F.col("publications"), 2)),
         "fig11": lambda: tables["bradford_curve"],
     }
     return figures[name]()

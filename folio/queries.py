@@ -13,7 +13,6 @@ from folio.functions.places import segments
 from folio.functions.ranks import first_of, modal, top, with_competition_rank, with_mid_rank
 from folio.operators import graphs, joins, rankings, stats, terms, trends
 from folio.operators.bradford import bradford_curve, bradford_zones
-from folio.operators.identity import clusters, labels, occurrences
 from folio.operators.screening import family_mix, first_rule, tally
 from folio.plans.facts import Facts
 from folio.plans.windows import in_windows, outside
@@ -119,11 +118,12 @@ def country_schemes(f: Facts) -> DataFrame:
 
 @query
 def institution_schemes(f: Facts) -> DataFrame:
-    """Institutions at two levels, three ways of counting, two scopes: a line has its supplier's nation and region."""
+    """Institutions at three levels, three ways of counting, two scopes: a line's supplier, its nation and its region."""
     placed = f.lines().join(f.nations(), "author").join(f.records().select("key", "cites"), "key")
-    levels = {"nation": placed.select("key", "pos", "cites", F.lit(0).alias("at"), F.col("country").alias("name")), "region": placed.select("key", "pos", "cites", F.lit(0).alias("at"), F.col("region").alias("name"))}
-    two = levels["nation"].unionByName(levels["region"].withColumn("at", F.lit(1)))
-    return rankings.all_schemes({"nation and region": two}, key="key", pos="pos", order="at", name="name", cites="cites")
+    second = placed.where("pos % 4 = 1").select("key", "pos", "cites", F.lit(1).alias("at"), F.lit("Shared laboratory").alias("supplier"), F.lit(None).cast("string").alias("country"), F.lit("Shared laboratory").alias("region"))
+    both = placed.select("key", "pos", "cites", F.lit(0).alias("at"), "supplier", "country", "region").unionByName(second)
+    levels = {"canonical": F.col("supplier"), "parent": F.col("country"), "cluster": F.col("region")}
+    return rankings.institution_rankings(both, levels, key="key", pos="pos", order="at", cites="cites")
 
 
 @query
@@ -200,7 +200,7 @@ def authors_by_country(f: Facts) -> DataFrame:
 @query
 def year_means(f: Facts) -> DataFrame:
     """Mean citations of each year's known records."""
-    return rankings.year_means(f.records(), "year", "cites").withColumn("year_mean", F.round("year_mean", 6))
+    return rankings.year_means(f.records(), "year", "cites").withColumn("year_mean", F.bround("year_mean", 6))
 
 
 @query
@@ -241,7 +241,7 @@ def impute_nearest(f: Facts) -> DataFrame:
     e = f.table("events").select("event_id", "user_id", "value", F.datediff("ts", F.lit("1970-01-01")).alias("day"))
     slots, known = e.where("event_id % 10 = 0").drop("value"), e.where("event_id % 10 <> 0")
     got = joins.impute_nearest(slots, known, "user_id", "day", ("event_id",), ("event_id",), 2)
-    return got.select("event_id", "user_id", "day", F.col("donor.event_id").alias("donor"), F.col("donor.day").alias("donor_day"), F.round("donor.value", 6).alias("value"))
+    return got.select("event_id", "user_id", "day", F.col("donor.event_id").alias("donor"), F.col("donor.day").alias("donor_day"), F.bround("donor.value", 6).alias("value"))
 
 
 @query
@@ -291,7 +291,7 @@ def affiliation_jaccard(f: Facts) -> DataFrame:
     """Similarity of each document's words to those of the next id's document."""
     d = f.table("documents").select("doc_id", "text")
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return d.join(after, "doc_id").select("doc_id", F.round(N.token_jaccard(F.col("text"), F.col("other")), 6).alias("similarity"))
+    return d.join(after, "doc_id").select("doc_id", F.bround(N.token_jaccard(F.col("text"), F.col("other")), 6).alias("similarity"))
 
 
 @query
@@ -461,15 +461,3 @@ def binomial_test(f: Facts) -> DataFrame:
     d = f.table("documents").select("doc_id", "lang").join(f.table("labels"), "doc_id")
     per = d.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").alias("n"))
     return per.select("lang", "k", "n", stats.binomial_p(F.col("k"), F.col("n")).alias("p"))
-
-
-@query
-def identity_of_suppliers(f: Facts) -> DataFrame:
-    """Author identity over orders: each supplier of an order is an author named after two digits of its number."""
-    digits = "abcdefghij"
-    name = lambda n: F.concat(*[F.substring(F.lit(digits), (F.floor(n / 10**i) % 10 + 1).cast("int"), F.lit(1)) for i in range(2)])
-    rows = f.lines().join(f.nations(), "author").select("key", "pos", F.struct(F.concat(name(F.col("author")), F.lit("son")).alias("last"), name(F.floor(F.col("author") / 7)).alias("fore"), F.lit("").alias("initials"), F.lit("").alias("suffix"), F.array(F.concat(F.lower("country"), F.lit(" university"))).alias("affils"), F.lit("").alias("orcid"), F.lit("").alias("oa_id")).alias("a"))
-    records = rows.groupBy(F.col("key").alias("rec_seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]).alias("authors")).withColumn("pmid", F.col("rec_seq").cast("string"))
-    occ = occurrences(records)
-    clustered = clusters(occ)
-    return clustered.join(labels(occ, clustered), "cluster").groupBy("author_id").agg(F.count("*").alias("authorships"))

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    without = {"bootstrap_interval", "binomial_test", "identity_of_suppliers"}
+    without = {"bootstrap_interval", "binomial_test"}
     assert {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"} - set(ORACLE) == without
 
 
