@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import joins, screening
-from folio.plans import analysis, reports
+from folio.plans import analysis, reports, sensitivity
 from folio.plans.windows import in_windows, inside, window_rows
 from folio.sources import dims
 from folio.sources.records import read_ids, read_stage, read_works, read_xml, with_year, write_stage
@@ -27,10 +27,13 @@ def parser() -> argparse.ArgumentParser:
     window = (("--start-year", {"type": int, "default": 1988}), ("--end-year", {"type": int, "default": 2025}), ("--period", {"default": "all_time", "help": "a window's name, or all"}))
     command("ingest", ("--xml", {"required": True}), stage, ("--ids", {"help": "keep only these ids"}), help="parse XML batches into the raw stage")
     command("screen", stage, ("--manual", {}), ("--out", {}), ("--strict", {"action": "store_true", "help": "exit 2 while records wait for screening"}), help="apply the screening rules")
-    command("enrich", stage, ("--works", {}), ("--countries", {"required": True}), ("--no-imputation", {"action": "store_true"}), help="identity, places and external data")
-    command("analyse", stage, ("--aliases", {"required": True}), ("--populations", {"required": True}), ("--population-column", {"default": "population"}), ("--out", {"required": True}), *window, help="all tables of one or all windows")
+    command("enrich", stage, ("--works", {}), ("--countries", {"required": True}), ("--citations", {"help": "CSV of doi, citations"}), ("--no-imputation", {"action": "store_true"}), help="identity, places and external data")
+    lists = (("--aliases", {"required": True}), ("--populations", {"required": True}), ("--population-column", {"default": "population"}), ("--corrections", {"help": "CSV of pmid, author_id, institution"}), ("--out", {"required": True}))
+    command("analyse", stage, *lists, ("--synonyms", {"help": "CSV of variant, canonical"}), *window, help="all tables of one or all windows")
+    command("sensitivity", stage, *lists, ("--group", {"help": "CSV of author_id"}), ("--audit", {"help": "CSV of author_id"}), ("--recent-start", {"type": int, "default": 2021}), ("--recent-end", {"type": int, "default": 2025}), help="supplementary tables, for all years and a recent window")
+    command("snapshot", stage, *lists, ("--synonyms", {"help": "CSV of variant, canonical"}), help="the numbers of a run as (metric, value)")
     command("delta", stage, ("--reference", {"required": True}), ("--out", {"required": True}), help="records added and removed against an id list")
-    command("sample", stage, ("--size", {"type": int, "default": 200}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), help="a random sample for hand screening")
+    command("sample", stage, ("--size", {"type": int, "default": 200}), ("--seed", {"type": int, "default": 1}), ("--reference", {"help": "id list; also sample what it doesn't have"}), ("--out", {"required": True}), help="a random sample for hand screening")
     command("diff", ("--old", {"required": True}), ("--new", {"required": True}), ("--out", {"required": True}), help="compare two snapshots of metrics")
     return top
 
@@ -60,22 +63,31 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 2 if args.strict and not screening.screening_queue(log).isEmpty() else 0
     if args.command == "enrich":
         records = read_stage(spark, args.stages, ["raw", "screened"])
-        if args.works:
-            records = joins.with_works(records, read_works(spark, args.works))
-        ready = analysis.prepared(records, dims.gazetteer(spark, args.countries), impute_within=None if args.no_imputation else 2)
+        works = read_works(spark, args.works) if args.works else None
+        citations = dims.read_csv(spark, args.citations, "doi string, citations int") if args.citations else None
+        ready = analysis.prepared(records, dims.gazetteer(spark, args.countries), impute_within=None if args.no_imputation else 2, works=works, citations=citations)
         write_stage(ready, args.stages, "enriched", "screened")
         return 0
     records = with_year(read_stage(spark, args.stages, ["raw", "screened", "enriched"]))
     if args.command == "delta":
         csv(joins.delta(records, read_ids(spark, args.reference), "pmid"), args.out)
     elif args.command == "sample":
-        csv(joins.sample(records, "pmid", args.size, args.seed).select("pmid", "year", "journal", "title", "abstract"), args.out)
+        tagged = screening.query_arms(records).select("pmid", "year", "journal", F.left("title", F.lit(200)).alias("title"), F.left("abstract", F.lit(300)).alias("abstract"), "arm")
+        reference = read_ids(spark, args.reference) if args.reference else None
+        csv(joins.sample(tagged, "pmid", args.size, args.seed) if reference is None else joins.stratified_sample(tagged, reference, "pmid", args.size, args.seed), args.out)
     else:
-        population, aliases = dims.populations(spark, args.populations, args.population_column), dims.aliases(spark, args.aliases)
+        lists = {"population": dims.populations(spark, args.populations, args.population_column), "aliases": dims.aliases(spark, args.aliases), "corrections": dims.corrections(spark, args.corrections) if args.corrections else None}
+        if args.command == "sensitivity":
+            named = {k: dims.author_group(spark, path) for k, path in (("group", args.group), ("audit", args.audit)) if path}
+            sensitivity.write_all(records, args.out, (args.recent_start, args.recent_end), **lists, **named)
+            return 0
+        lists["synonyms"] = dims.synonyms(spark, args.synonyms) if args.synonyms else None
+        if args.command == "snapshot":
+            csv(analysis.snapshot(analysis.run_analysis(records, **lists), windows=analysis.run_all_windows(records)["comparison"], provenance=analysis.provenance(records)), args.out)
+            return 0
         rows = window_rows(args.start_year, args.end_year)
         for name, start, end in rows if args.period == "all" else [r for r in rows if r[0] == args.period]:
-            tables = analysis.run_analysis(inside(records, "year_int", start, end), population, aliases)
-            reports.write_reports(tables, f"{args.out}/{name}")
+            reports.write_reports(analysis.run_analysis(inside(records, "year_int", start, end), **lists), f"{args.out}/{name}")
         csv(analysis.run_all_windows(records, rows)["comparison"], f"{args.out}/period_comparison")
         csv(in_windows(records, "year_int", rows).groupBy("window").agg(F.count("*").alias("records")), f"{args.out}/windows")
     return 0

@@ -145,3 +145,27 @@ def text_overrides(country: Column, source: Column, external: Column) -> Column:
     china = ["China", "Hong Kong", "Taiwan", "Macau", "Macao"]
     outright = source.isin("affil_country_name", "affil_country_name_propagated")
     return F.coalesce((country != UNKNOWN) & (country != "") & outright & (country != F.coalesce(external, F.lit(""))) & ~(country.isin(china) & F.coalesce(external, F.lit("")).isin(china)), F.lit(False))
+
+
+def prefer_external(records: DataFrame, gazetteer: Gazetteer, generic: list[str]) -> DataFrame:
+    """Authors' countries from an external source where it has one, but where the affiliation names another outright.
+
+    The record's country is its first author's; ``country_source`` says which source it is.
+    """
+
+    def chosen(a: Column) -> Column:
+        text = F.array_join(F.coalesce(a["affils"], F.array().cast("array<string>")), "; ")
+        code = external_country(F.coalesce(a["oa_insts"], F.array().cast("array<struct<ror: string, name: string, cc: string>>")), F.coalesce(a["oa_countries"], F.array().cast("array<string>")), text, generic)
+        name = gazetteer.display(code)
+        use = code.isNotNull() & ~text_overrides(a["country"], a["country_source"], name)
+        placed = a.withField("oa_country_name", name)
+        return F.when(use, placed.withField("country", name).withField("country_source", F.lit("external"))).otherwise(placed)
+
+    out = records.withColumn("authors", F.transform("authors", lambda a: chosen(a).dropFields("oa_insts")))
+    first = F.get("authors", F.lit(0))
+    known = F.filter(F.transform("authors", lambda a: a["country"]), lambda c: c.isNotNull() & (c != "") & (c != UNKNOWN))
+    return out.withColumns({
+        "country": F.coalesce(first["country"], F.col("country")),
+        "country_source": F.coalesce(first["country_source"], F.col("country_source")),
+        "countries_all": F.coalesce(F.array_sort(F.array_distinct(known)), F.array().cast("array<string>")),
+    })

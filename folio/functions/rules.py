@@ -408,3 +408,18 @@ COUNTRY_WORDS = ['australia',
  'turkey',
  'uk',
  'usa']
+
+# The parts of the search, as patterns; the last one counts where no phrase before it does.
+QUERY_ARMS = [
+    ("corneal_cxl_phrase", r"corneal (collagen )?cross[\s-]?link"),
+    ("collagen_cxl_phrase", r"collagen cross[\s-]?link"),
+    ("stromal_cxl", r"stromal cross[\s-]?link"),
+    ("CXL_abbrev", r"\b(a-?cxl|pack-cxl|cxl)\b"),
+    ("epi_on_off", r"\bepi(?:thelium)?-?(on|off)\b"),
+    ("riboflavin_uv", r"(?s)riboflavin.{0,120}(ultraviolet|uv-?a\b|uv a\b)|(ultraviolet|uv-?a\b).{0,120}riboflavin"),
+    ("photoactivated_chromophore", r"photoactivated chromophore"),
+    ("KXL_C3R", r"\b(kxl|c3-r)\b"),
+    ("bare_crosslink+disease", r"cross[\s-]?link"),
+]
+STRONG_ARMS = ["corneal_cxl_phrase", "collagen_cxl_phrase", "stromal_cxl"]
+WEAK_ARM, MESH_ARM = "bare_crosslink+disease", ("mesh_CXL", "Corneal Cross-Linking")

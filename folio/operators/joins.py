@@ -17,14 +17,14 @@ def with_works(records: DataFrame, works: DataFrame, fill: bool = False) -> Data
     hit = F.col("w").isNotNull()
     authors = F.transform(
         "authors",
-        lambda a, i: a.withField("oa_id", F.get(F.col("w.authors"), i)["id"]).withField("oa_countries", F.get(F.col("w.authors"), i)["countries"]),
+        lambda a, i: a.withField("oa_id", F.get(F.col("w.authors"), i)["id"]).withField("oa_countries", F.get(F.col("w.authors"), i)["countries"]).withField("oa_insts", F.get(F.col("w.authors"), i)["insts"]),
     )
     second = F.col("citation_count_crossref") if fill else F.lit(None).cast("int")
     return both.withColumns({
         "oa_matched": hit,
         "citation_count": F.when(hit, F.col("w.cited_by")).otherwise(second),
         "citation_source": F.when(hit, "works").when(second.isNotNull(), "crossref"),
-        "authors": F.when(hit, authors).otherwise(F.col("authors")),
+        "authors": F.when(hit, authors).otherwise(F.transform("authors", lambda a: a.withField("oa_insts", F.lit(None).cast("array<struct<ror: string, name: string, cc: string>>")))),
         "institutions_oa": F.when(hit, F.array_distinct(F.filter(F.flatten(F.transform("w.authors", lambda a: F.transform(a["insts"], lambda x: x["name"]))), lambda n: n.isNotNull()))),
     }).drop("w")
 
@@ -32,7 +32,7 @@ def with_works(records: DataFrame, works: DataFrame, fill: bool = False) -> Data
 def with_citations(records: DataFrame, counts: DataFrame, exact_case: bool = True) -> DataFrame:
     """Citation counts by DOI; ``exact_case`` False compares lower-cased DOIs."""
     fold = (lambda c: F.col(c)) if exact_case else (lambda c: F.lower(c))
-    known = counts.select(fold("doi").alias("_doi"), "citations").groupBy("_doi").agg(F.max("citations").alias("citation_count_crossref"))
+    known = counts.select(fold("doi").alias("_doi"), "citations").where("_doi <> ''").groupBy("_doi").agg(F.max("citations").alias("citation_count_crossref"))
     return records.drop("citation_count_crossref").withColumn("_doi", fold("doi")).join(known, "_doi", "left").drop("_doi")
 
 
@@ -113,14 +113,18 @@ def imputation_summary(before: DataFrame, after: DataFrame, within: int = 2) ->
     return blank.crossJoin(filled.agg(F.count("*").alias("author_slots_imputed"))).crossJoin(filled.select("rec_seq").distinct().agg(F.count("*").alias("records_touched"))).withColumn("window_years", F.lit(within))
 
 
-def correct_institutions(resolved: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Curated institutions of (pmid, author_id) go first and supersede guesses of the fallback."""
+def correct_institutions(resolved: DataFrame, authorship: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Curated institutions of (pmid, author_id) go first and supersede guesses of the fallback.
+
+    ``resolved`` has a row for each institution of an author, in ``order`` from 0, with ``matched_by``;
+    several corrections of one author are several institutions, in order of name.
+    """
     key = ["pmid", "author_id"]
-    fixed = corrections.groupBy(*key).agg(F.collect_list("institution").alias("fixed"))
+    fixed = corrections.groupBy(*key).agg(F.array_sort(F.collect_set("institution")).alias("_fixed"))
     both = resolved.join(fixed, key, "left")
-    kept = F.filter("institutions", lambda x: x["matched_by"] != "fallback")
-    curated = F.transform("fixed", lambda n: F.struct(n.alias("name"), F.lit("curated").alias("matched_by")))
-    return both.withColumn("institutions", F.when(F.col("fixed").isNotNull(), F.array_distinct(F.concat(curated, kept))).otherwise(F.col("institutions"))).drop("fixed")
+    kept = both.where(F.col("_fixed").isNull() | (F.coalesce("matched_by", F.lit("")) != "fallback")).withColumn("order", F.col("order") + F.coalesce(F.size("_fixed"), F.lit(0)))
+    curated = authorship.join(fixed, key).select("*", F.posexplode("_fixed").alias("order", "canonical")).withColumn("matched_by", F.lit("curated"))
+    return kept.drop("_fixed").unionByName(curated.drop("_fixed"), allowMissingColumns=True)
 
 
 def delta(current: DataFrame, reference: DataFrame, key: str) -> DataFrame:
@@ -173,3 +177,24 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows at random without replacement, the same for the same seed: those of least hash."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def stratified_sample(df: DataFrame, reference: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(stratum, ...): ``n`` rows of the whole corpus and ``n`` of those that a reference list doesn't have."""
+    added = df.join(reference.select(key).distinct(), key, "left_anti")
+    return sample(df, key, n, seed).withColumn("stratum", F.lit("corpus")).unionByName(sample(added, key, n, seed).withColumn("stratum", F.lit("added")))
+
+
+def comparable_journal(name: Column) -> Column:
+    """A journal's name as two sources may both write it: lower case, cut at a bracket, without a last point."""
+    return F.rtrim(F.trim(F.substring_index(F.lower(F.coalesce(name, F.lit(""))), "(", 1)), F.lit("."))
+
+
+def ranked_side_by_side(ours: DataFrame, theirs: DataFrame, k: int) -> DataFrame:
+    """(rank, ours, n_ours, theirs, n_theirs): the first ``k`` values of two counts (value, n), by rank."""
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        best = df.orderBy(F.desc("n"), "value").limit(k)
+        return best.select(F.row_number().over(Window.orderBy(F.desc("n"), "value")).alias("rank"), F.col("value").alias(name), F.col("n").alias(f"n_{name}"))
+
+    return first(ours, "ours").join(first(theirs, "theirs"), "rank", "full_outer")

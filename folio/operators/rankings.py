@@ -22,7 +22,7 @@ def known_name(column: str):
 
 def authorships(records: DataFrame, key: str = "pmid") -> DataFrame:
     """One row for each author of each record: position, author's fields, year and citation count."""
-    keep = [c for c in (key, "rec_seq", "year_int", "journal", "journal_abbr", "citation_count") if c in records.columns]
+    keep = [c for c in dict.fromkeys((key, "rec_seq", "pmid", "year_int", "journal", "journal_abbr", "citation_count")) if c in records.columns]
     return records.select(*keep, F.posexplode("authors").alias("pos", "author")).select(*keep, "pos", "author.*")
 
 
@@ -162,6 +162,16 @@ def per_capita(counts: DataFrame, population: DataFrame, minimum: int) -> DataFr
     return with_competition_rank(rated, "pubs_per_million")
 
 
+def without_cluster(records: DataFrame, population: DataFrame, country: str, of: str, cluster: str, label: str) -> DataFrame:
+    """A row like those of ``per_capita``, unranked: one country's records without those whose first author is of a cluster.
+
+    ``records`` has ``country`` and ``cluster`` (true for those that are) of the first author.
+    """
+    n = records.where(F.col(country) == of).agg(F.count_if(~F.coalesce(F.col(cluster), F.lit(False))).alias("publications"))
+    both = n.withColumn("country", F.lit(of)).join(population, "country").withColumn("country", F.lit(label))
+    return both.withColumn("pubs_per_million", F.bround(F.col("publications") * 1e6 / F.col("population"), 2)).withColumn("rank", F.lit(""))
+
+
 def without_population(counts: DataFrame, population: DataFrame) -> DataFrame:
     return counts.join(population, "country", "left_anti")
 

@@ -136,12 +136,13 @@ def family_mix(tagged: DataFrame, by: tuple[str, ...], families: list[str] | Non
     return tagged.groupBy(*by).agg(F.count("*").alias("records"), *columns, F.count_if(F.size("families") == 0).alias("none"))
 
 
-def query_arms(records: DataFrame, arms: list[tuple[str, str]], weak: str, mesh_pattern: str | None = None) -> DataFrame:
-    """Adds ``arm``: which parts of the query a record answers to, joined by "|"; the weak one only where no other does."""
+def query_arms(records: DataFrame, arms: list[tuple[str, str]] = R.QUERY_ARMS, weak: str = R.WEAK_ARM, strong: list[str] = R.STRONG_ARMS, mesh: tuple[str, str] | None = R.MESH_ARM) -> DataFrame:
+    """Adds ``arm``: the parts of the search that a record answers to, joined by "|"; the weak one only where no strong one does."""
     whole = F.concat_ws(" ", text("title"), text("abstract"), F.concat_ws(" ", many("keywords")))
     tags = [F.when(F.rlike(whole, rx(p)), F.lit(name)) for name, p in arms]
-    if mesh_pattern:
-        tags.append(F.when(F.exists(many("mesh"), lambda m: F.rlike(m, rx(mesh_pattern))), F.lit("mesh")))
+    if mesh:
+        tags.append(F.when(F.array_contains(many("mesh"), mesh[1]), F.lit(mesh[0])))
     hits = F.filter(F.array(*tags), lambda t: t.isNotNull())
-    strong = F.array_except(hits, F.array(F.lit(weak)))
-    return records.withColumn("arm", F.array_join(F.when(F.size(strong) > 0, strong).otherwise(hits), "|"))
+    said = F.arrays_overlap(hits, F.array(*[F.lit(s) for s in strong]))
+    kept = F.when(said, F.array_except(hits, F.array(F.lit(weak)))).otherwise(hits)
+    return records.withColumn("arm", F.when(F.size(kept) > 0, F.array_join(kept, "|")).otherwise("none_in_text"))

@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.keywords import normalised
+
+
+#: Headings that say nothing about a record's topic.
+EXCLUDED_TERMS = ["cornea", "humans", "adult", "female", "male", "aged", "middle aged", "prospective studies", "retrospective studies", "treatment outcome", "follow-up studies", "visual acuity", "refraction, ocular", "young adult", "adolescent", "child", "aged, 80 and over", "animals"]
+
 
 def record_terms(records: DataFrame, key: str, columns: tuple[str, ...], synonyms: DataFrame | None = None) -> DataFrame:
-    """(key, term), once each; ``synonyms`` (variant, canonical) replaces variants.
+    """(key, term), once each; with ``synonyms`` (variant, canonical) in their normal form.
 
-    Terms are resolved once for every different one, then joined back.
+    Terms are normalised once for every different one, then joined back.
     """
     arrays = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns])
     terms = records.select(key, F.explode(F.array_distinct(arrays)).alias("term")).where("term is not null and term <> ''")
     if synonyms is None:
         return terms.distinct()
-    return terms.join(synonyms.select(F.col("variant").alias("term"), "canonical"), "term", "left").select(key, F.coalesce("canonical", "term").alias("term")).distinct()
+    forms = normalised(terms, "term", synonyms).where("normal is not null")
+    return terms.join(forms, "term").select(key, F.col("normal").alias("term")).distinct()
 
 
-def without_terms(terms: DataFrame, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
+def without_terms(terms: DataFrame, excluded: list[str] = EXCLUDED_TERMS) -> tuple[DataFrame, DataFrame]:
     """Terms to count, and how often the excluded ones occurred."""
-    out = F.col("term").isin(excluded)
+    out = F.lower("term").isin(excluded)
     return terms.where(~out), terms.where(out).groupBy("term").agg(F.count("*").alias("n"))
 
 

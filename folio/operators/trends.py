@@ -40,18 +40,28 @@ def field_h_index(records: DataFrame, cites: str, by: tuple[str, ...] = ()) -> D
     return found.groupBy(*by).agg(F.coalesce(F.max("h"), F.lit(0)).cast("long").alias("h_index"))
 
 
-def window_comparison(records: DataFrame, year: str, cites: str, distinct: dict[str, str], rows: list[tuple[str, int, int]]) -> DataFrame:
-    """One row for each window: totals, known and unknown citations, mean of the known, distinct values, field h-index."""
+def window_comparison(records: DataFrame, year: str, cites: str, distinct: dict[str, str], rows: list[tuple[str, int, int]], country: str | None = None, authorship: DataFrame | None = None, key: str = "key", author: str = "author", minimum: int = 3) -> DataFrame:
+    """One row for each window: totals, known and unknown citations, mean of the known, distinct values, field h-index.
+
+    With ``country`` also records whose country isn't known; with ``authorship`` (key, author) also
+    the authors of ``minimum`` records or more.
+    """
     c, cut = F.col(cites), in_windows(records, year, rows)
+    unresolved = [F.count_if(F.coalesce(F.nullif(F.col(country), F.lit("")), F.lit("Unknown")) == "Unknown").alias("records_country_unresolved")] if country else []
     out = cut.groupBy("window", "win_start", "win_end").agg(
         F.count("*").alias("total_publications"),
         F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("total_citations"),
         F.count(c).alias("records_with_citation_count"),
         F.count_if(c.isNull()).alias("records_without_citation_count"),
-        F.bround(F.avg(c), 2).alias("mean_cites_per_pub"),
+        F.bround(F.avg(c), 1).alias("mean_cites_per_pub"),
+        *unresolved,
     )
     for name, column in distinct.items():  # each distinct count by itself: no row is expanded
-        out = out.join(cut.select("window", column).distinct().groupBy("window").agg(F.count(column).alias(name)), "window", "left")
+        known = F.count_if(F.col(column).isNotNull() & (F.col(column).cast("string") != "Unknown"))
+        out = out.join(cut.select("window", column).distinct().groupBy("window").agg(known.alias(name)), "window", "left")
+    if authorship is not None:
+        people = cut.select("window", key).join(authorship.select(key, author), key).groupBy("window", author).agg(F.count("*").alias("n"))
+        out = out.join(people.where(F.col("n") >= minimum).groupBy("window").agg(F.count("*").alias("unique_authors")), "window", "left").fillna(0, ["unique_authors"])
     h = field_h_index(cut, cites, ("window",)).withColumnRenamed("h_index", "h_index_field")
     return out.join(h, "window", "left").withColumn("h_index_field", F.coalesce("h_index_field", F.lit(0).cast("long")))
 

@@ -78,7 +78,7 @@ SELECT *, CAST(sum(publications) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING) A
     "nested_windows": f"""WITH {REC}, {WIN}, h AS (
   SELECT "window", max(least(cites, r)) AS h FROM (SELECT "window", cites, row_number() OVER (PARTITION BY "window" ORDER BY cites DESC) AS r FROM cut WHERE cites > 0) GROUP BY 1)
 SELECT "window", win_start, win_end, count(*) AS total_publications, CAST(coalesce(sum(cites), 0) AS BIGINT) AS total_citations, count(cites) AS records_with_citation_count,
-  count(*) FILTER (cites IS NULL) AS records_without_citation_count, round_even(avg(cites), 2) AS mean_cites_per_pub, count(DISTINCT cust) AS unique_customers, CAST(coalesce(any_value(h), 0) AS BIGINT) AS h_index_field
+  count(*) FILTER (cites IS NULL) AS records_without_citation_count, round_even(avg(cites), 1) AS mean_cites_per_pub, count(DISTINCT cust) AS unique_customers, CAST(coalesce(any_value(h), 0) AS BIGINT) AS h_index_field
 FROM cut LEFT JOIN h USING ("window") GROUP BY 1, 2, 3""",
     "outside_window": f"WITH {REC} SELECT year, count(*) AS n FROM rec WHERE NOT coalesce(year BETWEEN 1996 AND 1998, false) GROUP BY year",
     "field_h_index": f"""WITH {REC}, {WIN}

@@ -86,8 +86,14 @@ EXTERNAL_CASES = [
 ]
 #: (parsed country, its source, external country; whether the text overrules it).
 OVERRIDE_CASES = [("China", "affil_country_name", "Taiwan", False), ("Korea", "affil_country_name", "China", True), ("Korea", "affil_city_hint", "China", False)]
-#: (title; arms that a record answers to).
-ARM_CASES = [("LASIK for myopia", "lasik"), ("Photorefractive keratectomy", "surface"), ("Excimer laser ablation", "excimer"), ("Nothing of it", "")]
+#: (title, headings, arms that a record answers to).
+ARM_CASES = [
+    ("Corneal collagen cross-linking", [], "corneal_cxl_phrase|collagen_cxl_phrase"),
+    ("Crosslinking of polymers", [], "bare_crosslink+disease"),
+    ("CXL, epi-off", ["Corneal Cross-Linking"], "CXL_abbrev|epi_on_off|mesh_CXL"),
+    ("Riboflavin and\nUV-A light", [], "riboflavin_uv"),
+    ("Nothing of it", [], "none_in_text"),
+]
 
 
 def dealt(keys: DataFrame, key: str, cases: list[tuple], schema: str) -> DataFrame:

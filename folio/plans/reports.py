@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.ranks import top
+from folio.operators import graphs, terms
 from folio.plans import analysis as A
 
+# Publication types that are study designs.
+FIGURE_TYPES = ["Journal Article", "Case Reports", "Comparative Study", "Review", "Letter", "Comment", "Observational Study", "Multicenter Study", "Randomized Controlled Trial", "Clinical Trial", "Systematic Review", "Meta-Analysis", "Editorial"]
+
 #: Table, order, limit and columns of each report.
 REPORTS = {
     "temporal": ("temporal", ["year_int"], None),
@@ -33,9 +37,11 @@ def report(tables: dict[str, DataFrame], name: str) -> DataFrame:
     table, order, limit = REPORTS[name]
     columns = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
     df = tables[table]
-    if limit is None:
-        return df.orderBy(*columns)
-    return top(df.drop("rank"), limit, *columns)
+    rows = df.orderBy(*columns) if limit is None else top(df.drop("rank"), limit, *columns)
+    if {"citation_total", "publications"} <= set(rows.columns):
+        known = F.col("n_cited_known") if "n_cited_known" in rows.columns else F.col("publications")
+        rows = rows.withColumn("cites_per_pub", F.when(known > 0, F.bround(F.col("citation_total") / known, 1)))
+    return rows.withColumnRenamed("year_int", "year")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -90,7 +96,16 @@ def figure(tables: dict[str, DataFrame], name: str) -> DataFrame:
         "fig4_volume": lambda: order(tables["authors"], "publications", "author_id", 20),
         "fig4_citations": lambda: order(order(tables["authors"], "publications", "author_id", 20), "citation_total", "author_id", 20),
         "fig5": lambda: order(tables["keywords"], "n", "term", 50),
-        "fig6": lambda: tables["pub_types"],
+        "fig6": lambda: order(tables["pub_types"].where(F.col("publication_type").isin(FIGURE_TYPES)), "n", "publication_type", len(FIGURE_TYPES)),
+        "fig7": lambda: graphs.matrix(tables["country_nodes"], tables["country_edges"], "country", 20),
+        "fig8": lambda: terms.trend_start(tables["keyword_trends"], tables["keyword_coverage"], "year_int", A.TREND_FLOOR),
+        "fig4_median": lambda: order(order(tables["authors"], "publications", "author_id", 20), "citations_median", "author_id", 20),
+        "fig10_nodes": lambda: graphs.figure_graph(tables["author_nodes"], tables["author_edges"], "author_id")[0].join(tables["authors"].select("author_id", "citation_total"), "author_id", "left").fillna(0, ["citation_total"]),
+        "fig10_edges": lambda: graphs.figure_graph(tables["author_nodes"], tables["author_edges"], "author_id")[1],
+        "fig12": lambda: tables["comparison"].orderBy("win_start"),
+        "manuscript_yearly": lambda: tables["temporal"].select("year_int", "publications", "cumulative").orderBy("year_int"),
+        "manuscript_families": lambda: tables["family_mix"].orderBy("year_int"),
+        "manuscript_countries": lambda: order(tables["countries"].where("country <> 'Unknown'"), "publications", "country", 15),
         "fig9": lambda: order(tables["institutions"], "publications", "institution", 15).withColumn("mean_citations", F.bround(F.col("citations") / F.col("publications"), 2)),
         "fig11": lambda: tables["bradford_curve"],
     }

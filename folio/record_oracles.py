@@ -33,7 +33,7 @@ SELECT supplier AS last, CAST(CASE WHEN key % 5 = 0 THEN year - 1 ELSE year END
   CASE WHEN doc_id % 16 = 6 THEN 'manual.exclude' ELSE {outcome('doc_id', column(C.SCREENING, 2))} END AS rule_id, doc_id % 8 IN (1, 3, 7) AS queued FROM documents""",
     "screening_summary": f"""SELECT CASE WHEN {outcome('doc_id', column(C.SCREENING, 1))} THEN 'include' ELSE 'exclude' END AS decision, {outcome('doc_id', column(C.SCREENING, 2))} AS rule_id, count(*) AS n FROM documents GROUP BY ALL""",
     "families_in_context": f"SELECT doc_id, {outcome('doc_id', column(C.FAMILY_CASES, 2))} AS families FROM documents",
-    "query_arms": f"SELECT doc_id, {outcome('doc_id', column(C.ARM_CASES, 1))} AS arm FROM documents",
+    "query_arms": f"SELECT doc_id, {outcome('doc_id', column(C.ARM_CASES, 2))} AS arm FROM documents",
     "affiliation_countries": f"SELECT c_custkey, {outcome('c_custkey', column(C.COUNTRY_CASES, 1))} AS country, {outcome('c_custkey', column(C.COUNTRY_CASES, 2))} AS source FROM customer",
     "record_countries": f"""WITH {LINES}, {PEOPLE}, a AS (SELECT key, pos, CASE WHEN pos % 2 = 0 THEN array_to_string(list_transform(string_split(lower(country), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS c FROM lines JOIN places USING (author))
 SELECT key AS rec_seq, any_value(c) FILTER (pos = 0) AS country, 'affil_country_name' AS country_source, array_to_string(list_sort(list_distinct(list(c) FILTER (c IS NOT NULL))), '|') AS countries FROM a GROUP BY key""",

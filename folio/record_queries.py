@@ -95,9 +95,8 @@ def families_in_context(f: Facts) -> DataFrame:
 @query
 def query_arms(f: Facts) -> DataFrame:
     """The parts of the search that a record answers to."""
-    rows = C.records(f.table("documents").select("doc_id"), "doc_id", [{"title": t} for t, _ in C.ARM_CASES])
-    arms = [("lasik", "lasik"), ("surface", "photorefractive"), ("excimer", "excimer|lasik")]
-    return screening.query_arms(rows, arms, "excimer").select(F.col("rec_seq").alias("doc_id"), "arm")
+    rows = C.records(f.table("documents").select("doc_id"), "doc_id", [{"title": t, "mesh": m} for t, m, _ in C.ARM_CASES])
+    return screening.query_arms(rows).select(F.col("rec_seq").alias("doc_id"), "arm")
 
 
 @query
