@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import partial
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.hashing import U64, fmix, segments, utf8
+from folio.llm.hashing import U64, ascii_words, fmix, segments, shingles, utf8
 
-#: Cells of the feature space; every n-gram falls into one by its hash. The last ones say how large
-#: a share of a text's word bigrams are one word twice.
-HASHED, DOUBLED = 1 << 18, (0.0, 0.05, 0.2, 0.5)
-CELLS = HASHED + len(DOUBLED)
+#: Cells of the feature space: every byte n-gram falls into one of the first HASHED by its hash, every pair of words in a row into
+#: one of the next. The last ones are for runs of two to four words by which of them are equal (AA, AB, AAB, ABAB and so on).
+HASHED = 1 << 18
+EQUAL = {2: 2 * HASHED, 3: 2 * HASHED + 2, 4: 2 * HASHED + 10}
+CELLS = 2 * HASHED + 74
 #: Orders of the byte n-grams.
 ORDERS = (2, 3, 4)
 #: At most so many labelled texts of each label are learned from, whole.
@@ -25,21 +25,33 @@ PER_LABEL = 3000
 DECISION = 0.3
 
 
+def equalities(words: np.ndarray, n: int) -> np.ndarray:
+    """For each run of ``n`` words a number that says which of them are equal."""
+    runs = max(0, len(words) - n + 1)
+    out = np.zeros(runs, np.int64)
+    for a in range(n):
+        for b in range(a + 1, n):
+            out = 2 * out + (words[a : a + runs] == words[b : b + runs])
+    return out
+
+
 class Indicators:
-    """The sorted cells of all n-grams of a text."""
+    """The sorted cells of all n-grams of a text: of bytes, of words, and of words by which are equal."""
 
     def __init__(self):
         self.mark = np.zeros(CELLS, bool)
         self.table = (fmix(np.arange(1, 257, dtype=U64)) & U64(0xFFFFFFFF)).astype(np.uint32)
+        self.hasher = ascii_words()
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
         if len(data):
             for first in range(0, len(data), 1 << 20):
                 self.fill(self.table[data[first : first + (1 << 20) + max(ORDERS) - 1]])
-            words = data.tobytes().split()
-            twice = sum(map(eq, words, words[1:]))
-            for k, share in enumerate(DOUBLED):
-                self.mark[HASHED + k] = twice > share * (len(words) - 1)
+            _, _, words, _ = self.hasher.words(np.array([0, len(data)]), data)
+            if len(words) > 1:
+                self.mark[HASHED + (shingles(words, 2) >> U64(64 - 18)).astype(np.int64)] = True
+            for n, cell in EQUAL.items():
+                self.mark[cell + np.unique(equalities(words, n))] = True
         cells = np.flatnonzero(self.mark).astype(np.int32)
         self.mark[cells] = False
         return cells
@@ -126,16 +138,19 @@ def _fit_task(batches):
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> tuple[np.ndarray, float, float] | None:
     """A model from at most ``per_label`` labelled texts of each label, those with the least hash of their id.
 
-    The bound holds for every table, so the sample's ids can be broadcast and one task can fit.
-    Rows of ``labels`` with nulls are left out; ``None`` unless both labels occur.
+    The bound holds for every table, so the sample's ids can be broadcast and one task can fit.  Of the
+    texts of one id the least by hash is taken, so an id that repeats on many rows is one text.
+    Rows of ``labels`` with nulls are left out, and ids with both labels; ``None`` unless both labels occur.
     """
-    clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    clean = clean.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_other")).where("y = _other").drop("_other")
     chosen = None
     for y in (0, 1):
         some = clean.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    sample = texts.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text").select("id", "text", "y")
+    texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = texts.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("id", "text", "y")
     found = sample.mapInArrow(_fit_task, "weights array<double>, cut double, scale double").first()
     return (np.array(found["weights"]), found["cut"], found["scale"]) if found else None
 
