@@ -55,6 +55,8 @@ def shuffle_shards(docs: DataFrame, shard: Column, size: Column, seed: int = 0,
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = first.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     second = first.join(bases, ["shard", "bucket"]).select("record", "shard", "bucket", "row", "scatter", "base")
+    # As many partitions as there are buckets, so that a task reads about one however much there is.
+    second = second.repartition(max(1, bases.count()), "shard", "bucket")
     schema = T.StructType([first.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     return second.groupBy("shard", "bucket").applyInArrow(lambda bucket: _fisher_yates(bucket, seed), schema)
 
@@ -63,7 +65,8 @@ def shard_by_key(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     """(record, shard, slot, grown_shard): the id and the number of shards alone decide on the shard.
 
     Rendezvous hashing spreads ids evenly; ``grown_shard`` is the shard if there were one more,
-    either the same or the new one.  Null ids count as one key.
+    either the same or the new one.  Null ids count as one key.  All rows of one id are in one shard, as
+    the law says, so an id that repeats on many rows makes a large one; it is shuffled in buckets like any.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8
     out = shuffle_shards(docs, rendezvous(F.col(id_col), shards, seed), size, seed, **options)
