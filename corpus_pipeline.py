@@ -24,10 +24,14 @@ FOUND, TELLING = 0.2, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no learned language is found go: no letters, or a cosine as low as chance gives (below FOUND)."""
+    """Documents in which no learned language is found go: no letters, or a cosine as low as chance gives (below FOUND).
+
+    Of those that stay the rows without a language get the one that was found.
+    """
     named = identify(docs, learn_profiles(docs))
     letters = F.length(F.regexp_replace("record.text", r"\P{L}+", ""))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") > 0) & ((F.col("score") >= FOUND) | (letters < TELLING))).select("record.*")
+    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") > 0) & ((F.col("score") >= FOUND) | (letters < TELLING)))
+    return kept.select(*[F.coalesce(F.col("record")[c], F.col("lang_pred")).alias(c) if c == "lang" else F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
