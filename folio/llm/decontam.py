@@ -18,6 +18,8 @@ GRAM, BLOCK_WORDS, SEED_SHARE = 3, 1 << 21, 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Alignment score, as a share of the item's words, from which a passage is a copy.
 THRESHOLD = 0.5
+#: Score from which a passage is a copy however long the item is.
+LONG = 40
 
 
 def word_hasher() -> WordHasher:
@@ -120,7 +122,7 @@ def _find(batches, seeds, threshold: float):
                         if score > best[0]:
                             back = align(target[::-1], words[a : a + end][::-1])
                             best = (score, a + end - back[1], a + end)
-                    if best[0] >= threshold * len(target):
+                    if best[0] >= min(threshold * len(target), LONG):
                         rows.append((first + i, names[item], best[0] / len(target), *best[1:]))
         picked = pa.array([r[0] for r in rows], pa.int64())
         columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32()))]
@@ -147,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are lower-cased runs of letters and digits.  ``score`` is the Smith-Waterman score of the
     best passage over the item's words: 1 for a verbatim copy, less with each word changed, added or
-    left out; pairs below ``threshold`` are left out.  A passage is aligned where it has one of the
+    left out; pairs below ``threshold`` are left out, unless the passage alone scores LONG words.  A passage is aligned where it has one of the
     item's rare 3-grams (the rarer half, by the number of texts that have them, counted over all of
     ``docs``) or two of its common ones close together.
 
