@@ -10,14 +10,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folio.llm import chat
+from folio.llm import ann, chat
 from folio.llm.ann import search
 from folio.llm.decontam import align, contaminated, without_contaminated
 from folio.llm.langid import identify, learn_profiles
 from folio.llm.packing import exact_complements, pack, plan
 from folio.llm.quality import learn, score_quality
-from folio.llm.sharding import shard_by_key
-from folio.llm.tokens import END, ByteTokenizer, best_fit_decreasing, packed_matrices, pieces_of, token_pieces
+from folio.llm.sharding import shard_by_key, write_shards
+from folio.llm.tokens import END, ByteTokenizer, best_fit_decreasing, packed_matrices, pieces_of, token_pieces, write_matrices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string"
@@ -246,6 +246,65 @@ def test_decontamination_finds_edited_copies_and_spares_clean_texts(spark):
     assert contaminated(df, benchmark.limit(0)).collect() == [] == contaminated(df.limit(0), benchmark).collect()
 
 
+def test_a_long_passage_of_a_longer_item_is_found(spark):
+    rng = random.Random(17)
+    item = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs = [(1, " ".join(["x"] * 20 + item[100:160] + ["y"] * 20)), (2, " ".join(item[:20])), (None, " ".join(item[200:250])), (1, "again"), (3, "a b c " * 40_000)]
+    df = spark.createDataFrame([(*d, 0) for d in docs], f"{DOCS}, gone_text int")
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(300 * r.score)) for r in contaminated(df, benchmark).collect()}
+    assert got == {(1, 7, 60), (None, 7, 50)}
+    kept = without_contaminated(df, benchmark)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3} and kept.count() == 3
+
+
+def test_search_splits_large_cells_and_walks_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 100)
+    monkeypatch.setattr(ann, "SAMPLE", 64)
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((600, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1.0, 2) for i, v in enumerate(x)] + [(3, x[5].tolist(), 0.0, 0)], "vec_id long, embedding array<double>, vec double, id int")
+    rows = search(df, df.where("vec_id % 60 = 1")).collect()
+    hits = 0
+    for q in range(1, 600, 60):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        best = [i for i in np.argsort(d) if i != q][:10]
+        hits += len({r.vec_id for r in rows if r.query_id == q} & set(best))
+    assert hits >= 90
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, f"t{i}") for i in range(200)] + [(7, "hot")] * 300, DOCS)
+    write_shards(shard_by_key(df, 5, bucket_bytes=400), f"file://{tmp_path}/s")
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert back.count() == 500 and back.select("shard").distinct().count() <= 5
+    assert sorted(r.slot for r in back.where("record.doc_id = 7").collect()) == sorted(r.slot for r in shard_by_key(df, 5, bucket_bytes=400).collect() if r.record.doc_id == 7)
+
+
+def test_matrices_are_written(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, DOCS)
+    write_matrices(packed_matrices(df, PATH, width=256), f"file://{tmp_path}/m")
+    rows = spark.read.parquet(f"file://{tmp_path}/m").collect()
+    assert all(len(r.ids) == 1024 for r in rows) and sum(r.cu_seqlens[-1] for r in rows) == sum(len(ENCODE(t or "")) + 1 for _, t in AWKWARD)
+
+
+def test_quality_of_conflicting_and_repeated_labels(spark):
+    docs = [(i, "plain words of prose" if i % 2 else "BUY!! NOW$$ BUY!!") for i in range(60)] + [(1, "another text"), (1, "plain words of prose")]
+    df = spark.createDataFrame([(*d, 5, "x") for d in docs], f"{DOCS}, y int, record string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(2, 1), (1, 1), (None, 0)], "doc_id long, quality int")
+    one, two = learn(df, labels), learn(df.repartition(7), labels.repartition(3))
+    assert (one[0] == two[0]).all() and one[1] == two[1]
+    got = {r.record.doc_id: r.score for r in score_quality(df, one).collect()}
+    assert got[3] > 0.3 > got[4] and got[2] < 0.3
+
+
+def test_language_of_long_texts_and_ties(spark):
+    rows = [(1, "lorem dolor amet " * 60_000, "aa", 1), (2, "krzy szcz wski", "bb", 2), (3, "krzy szcz wski", "cc", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    got = {r.record.doc_id: r.lang_pred for r in identify(df, learn_profiles(df)).collect()}
+    assert got == {1: "aa", 2: "bb", 3: "bb"}
+
+
 def test_search_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 24)).astype(np.float32)
