@@ -177,6 +177,13 @@ TRACKED = {
 }
 
 
+def plain_number(df: DataFrame, column: str) -> Column:
+    """A number as text without an exponent or closing zeros."""
+    if dict(df.dtypes)[column] != "double":
+        return F.col(column).cast("string")
+    return F.regexp_replace(F.col(column).cast("decimal(30, 6)").cast("string"), r"\.?0+$", "")
+
+
 def snapshot(tables: dict[str, DataFrame], k: int = 20, windows: DataFrame | None = None, provenance: DataFrame | None = None) -> DataFrame:
     """(metric, value) of a run: the summary, the numbers of each table's first ``k`` names (all years), its size, and what windows and provenance say."""
     out = tables["summary"].select(F.concat(F.lit("summary."), "metric").alias("metric"), "value")
@@ -185,7 +192,7 @@ def snapshot(tables: dict[str, DataFrame], k: int = 20, windows: DataFrame | Non
             continue
         first = next(iter(numbers.values()))
         rows = tables[name] if name == "temporal" else tables[name].orderBy(F.desc(first), F.asc(label)).limit(k)
-        each = F.array(*[F.struct(F.concat(F.lit(f"{prefix}."), F.col(label).cast("string"), F.lit(end)).alias("metric"), F.col(c).cast("string").alias("value")) for end, c in numbers.items()])
+        each = F.array(*[F.struct(F.concat(F.lit(f"{prefix}."), F.col(label).cast("string"), F.lit(end)).alias("metric"), plain_number(rows, c).alias("value")) for end, c in numbers.items()])
         out = out.unionByName(rows.select(F.explode(each).alias("m")).select("m.*"))
         out = out.unionByName(long(tables[name].agg(F.count("*").alias(f"n_{name}")), [f"n_{name}"]))
     if windows is not None:
