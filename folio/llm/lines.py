@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.linkage import first_pairs, open_pairs, shared_buckets
+from folio.llm.linkage import first_pairs, joined_up, shared_buckets, split_buckets
 from folio.llm.runtime import Scratch
 
 #: Percent of the longer line's words that may be edited (replaced, added or left out), one at least; shorter lines than LEAST are equal or not.
@@ -98,6 +98,15 @@ def near(x: str, y: str) -> str:
     return f"(abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits} AND ({x}.norm IS NULL OR {y}.norm IS NULL OR {letters}))"
 
 
+def linked(x: str, y: str) -> str:
+    """SQL for whether lines are within the permitted edits: the quick test first, then word by word, then their characters."""
+    longer = f"greatest({x}.size, {y}.size)"
+    edits = f"greatest(1, {longer} * {EDITS} DIV 100)"
+    quick = f"abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits}"
+    words = f"levenshtein({x}.code, {y}.code, CAST({edits} AS INT)) >= 0"
+    return f"(CASE WHEN NOT ({quick}) THEN false WHEN NOT ({words}) THEN false ELSE {letters_within(f'{x}.norm', f'{y}.norm', longer)} END)"
+
+
 def word_string(words: Column) -> Column:
     """One character for each word (by a hash to 40,000 of them), so that Levenshtein distances count words."""
     code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(40_000)) + 256), 4, "0"))
@@ -130,28 +139,32 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits", "norm").hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
     scratch.drop(rows)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) within the permitted edits; each line's text is read again where it first occurred."""
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(key, code, norm) of lines: their words as a string of one character each, and written out where there are few; read again where they first occurred."""
+        homes = classes.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
         bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), F.array_join("w.words", " ").alias("norm"))
-        texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
-        side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        longer = "greatest(length(x), length(y))"
-        words = f"levenshtein(x, y, CAST(greatest(1, {longer} * {EDITS} DIV 100) AS INT)) >= 0"
-        return scratch.save(both.where(f"IF({words}, {letters_within('x_norm', 'y_norm', longer)}, false)").select("a", "b"), "links")
-
-    links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
+        few = F.when(F.size("w.words") < LETTERS[-1][0], F.array_join("w.words", " "))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), few.alias("norm"))
+        return scratch.save(texts.dropDuplicates(["key"]), "texts")
+
+    pairs = scratch.save(first_pairs(shared, near, TRAITS), "pairs")
+    scratch.tidy()
+    texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    side = lambda c, x: texts.join(classes.select("key", "size", "bits"), "key").select(F.col("key").alias(c), F.struct("size", "bits", "code", "norm").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    links = scratch.save(both.where(linked("x", "y")).select("a", "b"), "links")
+    scratch.drop(texts)
     scratch.tidy()
     components = connected_components(links, scratch)
-    left = scratch.save(open_pairs(shared, components, near, TRAITS, scratch), "pairs")
+    left = scratch.save(split_buckets(shared, components).drop("norm"), "left")
     if not left.isEmpty():
-        components = connected_components(links.unionByName(verify(left)), scratch)
+        texts = texts_of(left.select("id").distinct())
+        rows = scratch.save(left.join(texts.withColumnRenamed("key", "id").hint("merge"), "id"), "left")
+        scratch.tidy()
+        components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm"], scratch)
     scratch.drop(shared)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
