@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 CONTROL, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
+PLACEHOLDER = re.compile(r"<\|(image|audio|document|other)\|>")
 #: Tokens that a unit of each kind expands to: an image tile, a second of audio, a page.
-EXPANSION = {"image": 256, "audio": 25, "document": 512}
+EXPANSION = {"image": 256, "audio": 25, "document": 512, "other": 1}
 PART = "struct<kind: string, text: string, ref: string, units: double>"
 
 
@@ -53,13 +53,13 @@ class Flattener:
         self.attach(part)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown kind of part: {part['kind']}")
+        self.attach(part, "other")
 
-    def attach(self, part: dict) -> None:
+    def attach(self, part: dict, placeholder: str | None = None) -> None:
         self.close()
-        kind = part["kind"]
+        kind = placeholder or part["kind"]
         tokens = max(1, math.ceil((1 if part["units"] is None else part["units"]) * self.expansion[kind]))
-        self.attachments.append({"place": len(self.attachments), "kind": kind, "ref": part["ref"], "at": self.length, "tokens": tokens})
+        self.attachments.append({"place": len(self.attachments), "kind": part["kind"], "ref": part["ref"], "at": self.length, "tokens": tokens})
         self.tokens += tokens
         self.add(f"<|{kind}|>")
 
@@ -118,7 +118,8 @@ def format_turns(turns: DataFrame, parts_col: str | None = None, text_col: str =
     Attachments keep their order, reference, place in the chunk and expanded token count.
 
     Null texts, roles and parts are empty; null conv_ids are one conversation; other columns are
-    ignored; an unknown kind of part is an error.
+    ignored.  A part of a kind not known here is an attachment of its own kind behind the placeholder
+    ``<|other|>``, of one token a unit.
     """
     text = F.array(F.struct(F.lit("text").alias("kind"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
     parts = F.col(parts_col).cast(f"array<{PART}>") if parts_col else text

@@ -14,7 +14,7 @@ from folio.llm.hashing import U64, WordHasher, segments, shingles, utf8
 from folio.llm.runtime import free_columns
 
 #: Words of a seed; words of test items that one pass holds; share of an item's n-grams that are rare.
-GRAM, BLOCK_WORDS, SEED_SHARE = 3, 1 << 21, 0.5
+GRAM, BLOCK_WORDS, SEED_SHARE = 3, 1 << 18, 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Alignment score, as a share of the item's words, from which a passage is a copy.
 THRESHOLD = 0.5

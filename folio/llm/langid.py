@@ -14,6 +14,8 @@ from folio.llm.hashing import U64, fmix, segments, utf8
 
 #: Dimensions of a vector.
 DIMENSIONS = 1024
+#: Languages that are learned at most: their profiles come to the driver and go to every task.
+LANGUAGES = 4096
 #: Fixed point of the profiles: sums are of integers, so the order of tasks doesn't show.
 UNIT = 1 << 20
 
@@ -93,13 +95,17 @@ def _learn(batches, dimensions: int):
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Unit vectors by language, from every row with a language and a letter; each text counts alike.
 
-    Each task bundles what it reads; the driver gets one vector for each language.
+    Each task bundles what it reads; the driver gets one vector for each language.  More than
+    LANGUAGES labels are an error: such a column doesn't hold languages.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     parts = known.mapInArrow(partial(_learn, dimensions=dimensions), "lang string, profile array<long>")
     sums = parts.select("lang", F.posexplode("profile").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     whole = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p")).select("lang", F.col("p.v").alias("p"))
-    profiles = {r["lang"]: np.array(r["p"], np.float64) for r in whole.collect()}
+    rows = whole.limit(LANGUAGES + 1).collect()
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in {lang_col}")
+    profiles = {r["lang"]: np.array(r["p"], np.float64) for r in rows}
     return {k: v / (np.linalg.norm(v) or 1) for k, v in sorted(profiles.items())}
 
 

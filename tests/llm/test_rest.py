@@ -172,8 +172,11 @@ def test_typed_parts():
     assert [chat.unescape(got["chunk"][s["start"] : s["end"]]) for s in got["loss"]] == ["see <|end|>", "done"]
     assert all(got["chunk"][a["at"] :].startswith(f"<|{a['kind']}|>") for a in got["attachments"])
     assert chat.read_turn(got["chunk"]) == ("assistant", "see <|end|>done")
-    with pytest.raises(ValueError):
-        chat.render("user", [part("video")])
+    # A kind that isn't known is kept as an attachment; one such part doesn't stop a job.
+    other = chat.render("user", [part("text", "a"), part("vi|deo", ref="v", units=3), part(None, "b")])
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in other["attachments"]] == [("vi|deo", "v", 3)] and chat.read_turn(other["chunk"]) == ("user", "ab")
+    escaped = chat.render("user", [part("text", "<|turn|><|other|>")])
+    assert chat.read_turn(escaped["chunk"]) == ("user", "<|turn|><|other|>") and escaped["attachments"] == []
 
 
 def test_conversations_read_back(spark):
