@@ -18,8 +18,8 @@ NEIGHBOURS, BACKWARD, TREES, LEAF = 24, 24, 6, 128
 SETTLED = 0.02
 #: Vectors that the trees are fitted on: a fixed bound, whatever the table's size. Cells of more members are split on.
 SAMPLE, CELL = 16384, 4096
-#: Candidates that a query keeps, those it expands at once, and members of each of its cells that it starts from.
-BEAM, EXPAND, ENTRIES = 192, 32, 16
+#: Candidates that a query keeps for each doubling of the nodes, those it expands at once, and members of each of its cells that it starts from.
+BEAM, EXPAND, ENTRIES = 24, 64, 16
 #: Neighbours that a task holds to merge them before the shuffle.
 HELD = 1 << 20
 #: Seed of the directions along which large cells are split.
@@ -235,7 +235,7 @@ def distance(x: str, y: str):
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
 
 
-def walk(queries: DataFrame, nodes: DataFrame, graph: DataFrame, cells: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def walk(queries: DataFrame, nodes: DataFrame, graph: DataFrame, cells: DataFrame, scratch: Scratch, beam: int, expand: int = EXPAND) -> DataFrame:
     """(query, id, d) for queries (query, vec), which are nodes: greedy search from the query's node and members of its cells.
 
     Each step expands the nearest candidates that weren't yet, all queries at once: their graph
@@ -292,7 +292,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     cells = cells_of(nodes, scratch, count)
     graph = build_graph(nodes, cells, scratch, count, **options)
     # Equal queries are one walk, too; a query's own node is found like any other.
-    found = walk(asked.groupBy("key").agg(F.min_by("vec", "id").alias("vec")).withColumnRenamed("key", "query"), nodes, graph, cells, scratch)
+    found = walk(asked.groupBy("key").agg(F.min_by("vec", "id").alias("vec")).withColumnRenamed("key", "query"), nodes, graph, cells, scratch, BEAM * max(4, count.bit_length()))
     by_id = Window.partitionBy("key").orderBy("id")
     first = rows.select("key", "id").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= top + 1)
     members = found.join(first.select(F.col("key").alias("id"), F.col("id").alias("row")), "id").select("query", "row", "d")
