@@ -17,6 +17,9 @@ LETTERS = ((6, 10), (32, 25))
 BLOCKS = ((14, 4), (20, 5))
 #: Blocks that are counted from the end of the line as well.
 BACK = 2
+#: Lines of so many words have a sketch, the least hashes of their pairs of words. Lines within the edits share 40 of 64 on
+#: average, 4 more or less, so fewer than COMMON rule a link out.
+LONG, SKETCH, COMMON = 64, 64, 10
 #: What a bucket's rows have of a line.
 TRAITS = ["size", "bits", "norm"]
 #: Letters of scripts that have no blanks between words: each is a word.
@@ -99,12 +102,20 @@ def near(x: str, y: str) -> str:
 
 
 def linked(x: str, y: str) -> str:
-    """SQL for whether lines are within the permitted edits: the quick test first, then word by word, then their characters."""
+    """SQL for whether lines are within the permitted edits: quick tests first, then word by word, then their characters.
+
+    64 parities say nothing of long lines; these are told apart by their sketches before the costly
+    distance.  Sketches that hold all pairs of words (few different ones) are compared exactly: an
+    edit changes two pairs of either line at most.
+    """
     longer = f"greatest({x}.size, {y}.size)"
     edits = f"greatest(1, {longer} * {EDITS} DIV 100)"
     quick = f"abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits}"
+    most, least = (f"{f}(size({x}.sketch), size({y}.sketch))" for f in ("greatest", "least"))
+    need = f"CASE WHEN {least} = {SKETCH} THEN {COMMON} WHEN {most} < {SKETCH} THEN {most} - 2 * {edits} ELSE 0 END"
+    alike = f"({x}.sketch IS NULL OR {y}.sketch IS NULL OR size(array_intersect({x}.sketch, {y}.sketch)) >= {need})"
     words = f"levenshtein({x}.code, {y}.code, CAST({edits} AS INT)) >= 0"
-    return f"(CASE WHEN NOT ({quick}) THEN false WHEN NOT ({words}) THEN false ELSE {letters_within(f'{x}.norm', f'{y}.norm', longer)} END)"
+    return f"(CASE WHEN NOT ({quick}) THEN false WHEN NOT {alike} THEN false WHEN NOT ({words}) THEN false ELSE {letters_within(f'{x}.norm', f'{y}.norm', longer)} END)"
 
 
 def word_string(words: Column) -> Column:
@@ -140,20 +151,22 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(rows)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """(key, code, norm) of lines: their words as a string of one character each, and written out where there are few; read again where they first occurred."""
+        """(key, code, norm, sketch) of lines: their words as a string of one character each, and written out where there are few; read again where they first occurred."""
         homes = classes.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
         bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
         few = F.when(F.size("w.words") < LETTERS[-1][0], F.array_join("w.words", " "))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), few.alias("norm"))
+        pairs = F.expr("transform(sequence(0, size(w.words) - 2), i -> xxhash64(w.words[i], w.words[i + 1]))")
+        sketch = F.when(F.size("w.words") >= LONG, F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), few.alias("norm"), sketch.alias("sketch"))
         return scratch.save(texts.dropDuplicates(["key"]), "texts")
 
     pairs = scratch.save(first_pairs(shared, near, TRAITS), "pairs")
     scratch.tidy()
     texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    side = lambda c, x: texts.join(classes.select("key", "size", "bits"), "key").select(F.col("key").alias(c), F.struct("size", "bits", "code", "norm").alias(x))
+    side = lambda c, x: texts.join(classes.select("key", "size", "bits"), "key").select(F.col("key").alias(c), F.struct("size", "bits", "code", "norm", "sketch").alias(x))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     links = scratch.save(both.where(linked("x", "y")).select("a", "b"), "links")
     scratch.drop(texts)
@@ -164,7 +177,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         texts = texts_of(left.select("id").distinct())
         rows = scratch.save(left.join(texts.withColumnRenamed("key", "id").hint("merge"), "id"), "left")
         scratch.tidy()
-        components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm"], scratch)
+        components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm", "sketch"], scratch)
     scratch.drop(shared)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")

@@ -263,6 +263,23 @@ def test_one_edited_word_in_plain_vocabulary_is_found(spark):
         assert removed == [i for i, r in enumerate(plain_groups(lines)) if r != i] and len(removed) >= 54
 
 
+def test_long_lines_in_a_large_bucket(spark):
+    """Long lines that end alike are one bucket; those within the edits go, the others and lines of few different words are told apart."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    end = [word() for _ in range(12)]
+    bases = [[word() for _ in range(rng.randint(90, 200))] for _ in range(14)] + [["of"] * 100, ["of", "the"] * 60]
+    lines = []
+    for base in bases:
+        lines.append(" ".join(base + end))
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), (len(copy) + 12) * 15 // 100):
+            copy[at] = word()
+        lines.append(" ".join(copy + end))
+    removed = dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], DOCS)).first().removed
+    assert removed == [i for i, r in enumerate(plain_groups(lines)) if r != i] == list(range(1, len(lines), 2))
+
+
 def test_very_long_lines(spark):
     text = " ".join(f"w{i}" for i in range(30_000))
     docs = [(1, text), (2, text.replace("w77 ", "other ")), (3, text[: len(text) // 2])]
