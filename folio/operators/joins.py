@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +46,43 @@ def zipped(a: DataFrame, b: DataFrame, key: str, pos: str, same_length: bool = F
     return a.join(b, [key, pos], "left")
 
 
-def resolve_by_pattern(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """(text, canonical, parent, cluster, tier, pattern): the best alias that a text contains.
+#: Aliases that one expression may hold.
+ALIASES = 10_000
+
+
+def best_alias(text: Column, aliases: DataFrame) -> Column:
+    """struct(canonical, parent, cluster, tier, pattern) of the best alias that a text contains; null without one.
 
-    The least tier wins, then the longest match, then the first alias listed.  Each different text is
-    resolved once.  The aliases (pattern, is_regex, tier, seq, ...) are a curated list, matched
-    inside one expression; they must fit a broadcast, which is checked.
+    The least tier wins, then the longest match, then the first alias listed.  The aliases (pattern,
+    is_regex, tier, seq, ...) are a curated list of bounded size, so they are literals of one
+    expression that moves no row; a text without any of a tier's aliases is passed over at once.
     """
-    rows = aliases.orderBy("seq").collect() if aliases.count() <= 10_000 else None
-    if rows is None:
-        raise ValueError("more than 10,000 aliases: split the list")
-    lower = F.lower(F.col(text))
+    rows = aliases.orderBy("seq").limit(ALIASES + 1).collect()
+    if len(rows) > ALIASES:
+        raise ValueError(f"more than {ALIASES} aliases: split the list")
+    lower = F.lower(text)
+    fields = ("canonical", "parent", "cluster", "tier", "pattern")
+    is_regex = lambda r: str(r["is_regex"]).lower() in ("1", "true", "yes")
 
     def candidate(r) -> Column:
-        rx = r["pattern"] if str(r["is_regex"]).lower() in ("1", "true", "yes") else None
-        hit = F.regexp_extract(lower, f"(?U)({rx})", 0) if rx else F.when(F.contains(lower, F.lit(r["pattern"].lower())), F.lit(r["pattern"].lower())).otherwise("")
-        return F.when(hit != "", F.struct(F.lit(-r["tier"]).alias("t"), F.length(hit).alias("n"), F.lit(-r["seq"]).alias("s")))
+        hit = F.regexp_extract(lower, f"(?U)({r['pattern']})", 0) if is_regex(r) else F.when(F.contains(lower, F.lit(r["pattern"].lower())), F.lit(r["pattern"].lower())).otherwise("")
+        named = F.struct(*[F.lit(r[c]).alias(c) for c in fields])
+        return F.when(hit != "", F.struct(F.length(hit).alias("n"), F.lit(-r["seq"]).alias("s"), named.alias("a")))
 
+    tiers = {}
+    for r in rows:
+        tiers.setdefault(r["tier"], []).append(r)
+    best = []
+    for tier in sorted(tiers):
+        any_ = "|".join(f"(?:{r['pattern']})" if is_regex(r) else re.escape(r["pattern"].lower()) for r in tiers[tier])
+        best.append(F.when(F.rlike(lower, F.lit(f"(?U){any_}")), F.array_max(F.array(*[candidate(r) for r in tiers[tier]]))["a"]))
+    return F.coalesce(*best) if best else F.lit(None).cast("struct<canonical: string, parent: string, cluster: string, tier: int, pattern: string>")
+
+
+def resolve_by_pattern(texts: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
+    """(text, canonical, parent, cluster, tier, pattern): the best alias of each different text, which is resolved once."""
     once = texts.select(text).where(F.col(text).isNotNull()).distinct()
-    best = once.withColumn("best", F.array_max(F.array(*[candidate(r) for r in rows])))
-    names = F.broadcast(aliases.select(F.col("seq"), "canonical", "parent", "cluster", "tier", "pattern"))
-    return best.withColumn("seq", -F.col("best.s")).join(names, "seq", "left").drop("best", "seq")
+    return once.select(text, best_alias(F.col(text), aliases).alias("a")).select(text, "a.*")
 
 
 def at_level(level: str) -> Column:

@@ -37,18 +37,18 @@ def with_places(authorship: DataFrame, key: str, pos: str = "pos", author: str =
 def author_stats(authorship: DataFrame, key: str, author: str, year: str, cites: str, journal: str, pos: str = "pos", minimum: int = 3) -> DataFrame:
     """Per author with ``minimum`` authorships or more: counts by place, citations, years and journals."""
     placed = with_places(authorship, key, pos, author).where("named")
-    c, counted = F.col(cites), placed.groupBy(author)
-    stats = counted.agg(
+    c, known = F.col(cites), F.when(F.col(year) > 0, F.col(year))
+    # Years and journals of one author are few, so sets of them spare passes of their own.
+    both = placed.groupBy(author).agg(
         F.count("*").alias("publications"),
         F.count_if("is_first").alias("first_author"),
         F.count_if("is_last").alias("last_author"),
         *[x for x in cite_summary(c)],
-        F.min(F.when(F.col(year) > 0, F.col(year))).alias("year_first"),
-        F.max(F.when(F.col(year) > 0, F.col(year))).alias("year_last"),
+        F.min(known).alias("year_first"),
+        F.max(known).alias("year_last"),
+        F.size(F.collect_set(known)).cast("long").alias("years_active"),
+        F.size(F.collect_set(journal)).cast("long").alias("journal_count"),
     ).where(F.col("publications") >= minimum)
-    spans = placed.where(F.col(year) > 0).select(author, year).distinct().groupBy(author).agg(F.count("*").alias("years_active"))
-    titles = placed.select(author, journal).distinct().groupBy(author).agg(F.count("*").alias("journal_count"))
-    both = stats.join(spans, author, "left").join(titles, author, "left").fillna({"years_active": 0})
     return both.withColumn("h_index_estimate", h_estimate(F.col("citation_total"), F.col("publications")))
 
 

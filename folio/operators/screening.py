@@ -20,9 +20,17 @@ def many(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
-def first_rule(value: Column, rules: list[tuple[str, str]]) -> Column:
-    """The id of the first rule whose pattern the value has; null if none."""
-    return F.coalesce(*[F.when(F.rlike(value, rx(p)), F.lit(rule)) for rule, p in rules])
+def first_rule(value: Column, rules: list[tuple]) -> Column:
+    """The id of the first rule whose pattern the value has; null if none.
+
+    A rule is (id, pattern) or (id, pattern, text that every match has), which is looked for first.
+    """
+
+    def applies(pattern: str, must: str | None = None) -> Column:
+        has = F.rlike(value, rx(pattern))
+        return has if must is None else F.contains(value, F.lit(must)) & has
+
+    return F.coalesce(*[F.when(applies(*rest), F.lit(rule)) for rule, *rest in rules])
 
 
 def any_matches(values: Column, pattern: str) -> Column:

@@ -37,7 +37,7 @@ def tied(value: str, over: str = "") -> str:
     return f"CASE WHEN count(*) OVER (PARTITION BY {over}{value}) > 1 THEN '=' ELSE '' END || CAST(rank() OVER ({'PARTITION BY ' + over.rstrip(', ') + ' ' if over else ''}ORDER BY {value} DESC) AS VARCHAR)"
 
 
-RULE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}', 'i') THEN '{r}'" for r, p in RULES) + " END"
+RULE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}', 'i') THEN '{r}'" for r, p, *_ in RULES) + " END"
 FAMILY = {n: f"regexp_matches(lower(text), '{p}')" for n, p in FAMILIES.items()}
 TOKENS = lambda t: f"list_distinct(regexp_extract_all(lower({t}), '([a-z]{{4,}})', 1))"
 COLLAB = "SELECT a.country AS a, b.country AS b, count(*) AS weight FROM pc a JOIN pc b ON a.key = b.key AND a.country < b.country GROUP BY 1, 2"

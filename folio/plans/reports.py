@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,18 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_manifest(spark: SparkSession, path: str, values: dict) -> None:
-    """One JSON row of schema, query, window and counts; the write is committed as a whole."""
-    spark.createDataFrame([(json.dumps(values, sort_keys=True, default=sorted),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """One JSON row of schema, query, window and counts; readers see the old one or the new one, never a part."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, draft = jvm_path(path), jvm_path(f"{path}.{uuid.uuid4().hex}")
+    spark.createDataFrame([(json.dumps(values, sort_keys=True, default=sorted),)], "value string").coalesce(1).write.text(draft.toString())
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    fs.rename(draft, target)
+
+
+def comparison_markdown(tables: dict[str, DataFrame], limit: int = 20) -> str:
+    """Two sources side by side, one section a table."""
+    return "\n".join(markdown(df, name.capitalize(), limit) for name, df in tables.items())
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:

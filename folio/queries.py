@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 #: Nested windows that end in the data's last year.
 WINDOWS = [("all_time", 1992, 2001), ("last_5yr", 1997, 2001), ("last_3yr", 1999, 2001), ("last_1yr", 2001, 2001)]
 #: Ordered rules, families and aliases for documents, in patterns that SQL engines share.
-RULES = [("rule.reserved", "all rights reserved"), ("rule.licence", "licen[cs]e"), ("rule.mail", "[a-z0-9._-]+@[a-z0-9.-]+"), ("rule.shout", "!!"), ("rule.table", " [|] ")]
+RULES = [("rule.reserved", "all rights reserved"), ("rule.licence", "licen[cs]e"), ("rule.mail", "[a-z0-9._-]+@[a-z0-9.-]+", "@"), ("rule.shout", "!!"), ("rule.table", " [|] ")]
 FAMILIES = {"junk": "[*$%&#][*$%&#]", "notice": "rights reserved|licen[cs]e|released under", "function words": "(^| )(the|der|les|los) "}
 ALIASES = [("general public license", "GPL", 1), ("mit license", "MIT", 1), ("apache license", "Apache", 1), ("license", "other", 2), ("rights reserved", "proprietary", 2)]
 
@@ -289,9 +289,9 @@ def email_free_segments(f: Facts) -> DataFrame:
 @query
 def affiliation_jaccard(f: Facts) -> DataFrame:
     """Similarity of each document's words to those of the next id's document."""
-    d = f.table("documents").select("doc_id", "text")
-    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return d.join(after, "doc_id").select("doc_id", F.bround(N.token_jaccard(F.col("text"), F.col("other")), 6).alias("similarity"))
+    d = f.table("documents").select("doc_id", N.affiliation_words(F.array(F.coalesce("text", F.lit("")))).alias("words"))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("other"))
+    return d.join(after, "doc_id").select("doc_id", F.bround(N.jaccard(F.col("words"), F.col("other")), 6).alias("similarity"))
 
 
 @query
@@ -299,8 +299,8 @@ def alias_resolution(f: Facts) -> DataFrame:
     """The best alias that a document's text contains: least tier, then longest."""
     rows = [(p, "0", c, c, "", "", t, "", i) for i, (p, c, t) in enumerate(ALIASES)]
     aliases = f.spark.createDataFrame(rows, "pattern string, is_regex string, canonical string, parent string, cluster string, country string, tier int, note string, seq int")
-    d = f.table("documents").select("doc_id", F.lower("text").alias("text"))
-    return d.join(joins.resolve_by_pattern(d, "text", aliases), "text").where("canonical is not null").select("doc_id", "canonical", "tier")
+    best = joins.best_alias(F.col("text"), aliases)
+    return f.table("documents").select("doc_id", best.alias("a")).where("a is not null").select("doc_id", "a.canonical", "a.tier")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.places import Gazetteer
@@ -21,14 +21,16 @@ def populations(spark: SparkSession, path: str, column: str) -> DataFrame:
     return rows.select("country", F.col(column).try_cast("long").alias("population")).where("population is not null")
 
 
-def aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Institution aliases, numbered in the order of the file."""
-    return numbered(read_csv(spark, path, ALIAS))
+def ordered_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a small CSV file, whose columns are the schema's in order, with ``seq``, their number in the file."""
+    text = spark.read.text(path, wholetext=True)
+    lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).where("seq > 0 and trim(line) <> ''")
+    return lines.select(F.from_csv("line", schema, {"escape": '"'}).alias("r"), "seq").select("r.*", "seq")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Adds ``seq``, the order of a file that one task reads."""
-    return rows.coalesce(1).withColumn("_m", F.monotonically_increasing_id()).withColumn("seq", F.row_number().over(Window.orderBy("_m"))).drop("_m")
+def aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Institution aliases, numbered in the order of the file."""
+    return ordered_csv(spark, path, ALIAS)
 
 
 def synonyms(spark: SparkSession, path: str) -> DataFrame:
@@ -59,3 +61,9 @@ def gazetteer(spark: SparkSession, path: str) -> Gazetteer:
 def benchmark_counts(queries: DataFrame, cached: DataFrame) -> DataFrame:
     """Counts by query text from a cache; null where a query was never asked."""
     return queries.join(cached.select("query", "n"), "query", "left")
+
+
+def gazetteer_table(spark: SparkSession, known: Gazetteer) -> DataFrame:
+    """(spelling, country, kind) of all that stands for a country: the table that goes with a paper."""
+    rows = [(v, c, "name") for v, c in known.names.items()] + [(v, c, "hint") for v, c in known.hints.items()]
+    return spark.createDataFrame(rows, "spelling string, country string, kind string")

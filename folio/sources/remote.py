@@ -5,6 +5,7 @@ Without a network they read the caches that a client would have left; a client r
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
@@ -31,31 +32,52 @@ def slices(total: int, start: int, end: int, width: int = 10) -> list[tuple[int,
 
 
 class Slice(InputPartition):
-    def __init__(self, first: int, last: int):
-        super().__init__((first, last))
-        self.first, self.last = first, last
+    """So many rows of the cache from a byte on; with years, those of them alone."""
+
+    def __init__(self, offset: int, rows: int, years: tuple[int, int] | None = None):
+        super().__init__((offset, rows, years))
+        self.offset, self.rows, self.years = offset, rows, years
+
+
+def opened(path: str):
+    """A binary file on this machine or, by a URI, in a store that Arrow reads."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(store.open_input_file(name))
 
 
 class CachedReader(DataSourceReader):
-    """Rows of a JSON-lines cache, dealt in batches as a client would request them."""
+    """Rows of a JSON-lines cache, dealt in batches as a client would request them.
+
+    With ``start`` and ``end`` a search of more rows than one may return is asked by ranges of years,
+    as rows' ``year`` says; each id comes once all the same, since a row has one year.
+    """
 
     def __init__(self, options: dict, names: list[str]):
         self.path, self.names = options["path"], names
         self.batch = int(options.get("batch", BATCH))
+        self.span = (int(options["start"]), int(options["end"])) if "start" in options and "end" in options else None
 
     def partitions(self) -> list[Slice]:
-        with open(self.path) as file:
-            total = sum(1 for _ in file)
-        return [Slice(i, min(total, i + self.batch)) for i in range(0, total, self.batch)] or [Slice(0, 0)]
+        starts, total, offset = [], 0, 0
+        with opened(self.path) as file:
+            for line in iter(file.readline, b""):
+                if total % self.batch == 0:
+                    starts.append(offset)
+                offset, total = offset + len(line), total + 1
+        if self.span:
+            return [Slice(0, total, years) for years in slices(total, *self.span)]
+        return [Slice(at, min(self.batch, total - i * self.batch)) for i, at in enumerate(starts)] or [Slice(0, 0)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        yield from self.rows(partition.first, partition.last)
-
-    def rows(self, first: int, last: int) -> Iterator[tuple]:
-        with open(self.path) as file:
-            for i, line in enumerate(file):
-                if first <= i < last:
-                    row = json.loads(line)
+        with opened(self.path) as file:
+            file.seek(partition.offset)
+            for _ in range(partition.rows):
+                row = json.loads(file.readline())
+                if partition.years is None or partition.years[0] <= int(row.get("year") or 0) <= partition.years[1]:
                     yield tuple(row.get(n) for n in self.names)
 
 

@@ -1,10 +1,14 @@
 """The library over small records of our own."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+from folio import config, serve
 from folio.functions import names as N
 from folio.functions.keywords import normalised
 from folio.functions.places import Gazetteer, attributed_segments, enrich_countries, external_country, fallback_institution, text_overrides
@@ -12,13 +16,13 @@ from folio.functions.ranks import top, with_competition_rank
 from folio.operators import graphs, joins, rankings, screening, stats
 from folio.operators.bradford import bradford_curve
 from folio.operators.identity import Safelist, assign_author_ids, disagreements
-from folio.plans import analysis, reports
+from folio.plans import analysis, reports, sensitivity
 from folio.plans.windows import in_windows, outside, window_rows
 from folio.schemas import RECORD, WORK
-from folio.sources.dims import numbered
+from folio.sources.dims import aliases, gazetteer_table
 from folio.sources.records import missing_keys, organisation_works, read_ids, read_stage, read_xml, write_stage
 from folio.sources.remote import query_between, register, slices
-from folio.streaming.incremental import current, enrich, stale
+from folio.streaming.incremental import current, enrich, keep_first, stale
 
 GAZETTEER = Gazetteer([
     ("CH", "Switzerland", "Switzerland; Schweiz; Suisse", "Zurich; Basel"),
@@ -165,7 +169,6 @@ def test_segments_and_institutions(spark):
     assert got == {"Dept, University of Bern": "University of Bern", "Univ Bern": "first tier", "Rome": None}
     levels = alias.select("seq", *[joins.at_level(x).alias(x) for x in ("canonical", "parent", "cluster")]).orderBy("seq").collect()
     assert [r.parent if r.seq == 0 else None for r in levels][0] == "Bern"
-    assert numbered(alias.drop("seq")).count() == 3
 
 
 def test_keywords(spark):
@@ -264,7 +267,7 @@ def test_graphs(spark):
     assert {r.id: r.component for r in graphs.components(path).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
     shown, kept = graphs.figure_graph(spark.createDataFrame([(x, 5) for x in "abcxy"], "v string, n int"), path, "v")
     assert {r.v for r in shown.collect()} == {"a", "b", "c"} and kept.count() == 2
-    assert graphs.label_propagation(path).count() == 5
+    assert graphs.communities(path).count() == 5
     wide = graphs.wide(graphs.matrix(graphs.nodes(items, "k", "v"), graphs.edges(items, "k", "v"), "v", 2), ["a", "b"]).orderBy("name").collect()
     assert (wide[0]["b"], wide[1]["a"]) == (2, 2)
 
@@ -322,11 +325,89 @@ def test_files_and_stages(spark, tmp_path):
         read_stage(spark, f"file://{tmp_path}/s", ["other"])
 
 
+def test_an_old_stage_doesnt_win(spark, tmp_path):
+    """What was made from a table that was written again since is out of date."""
+    at, rec = f"file://{tmp_path}/s", lambda t: records(spark, [{"title": t}])
+    write_stage(rec("one"), at, "raw")
+    write_stage(rec("one screened"), at, "screened", "raw")
+    write_stage(rec("one enriched"), at, "enriched", "screened")
+    stages = ["raw", "screened", "enriched"]
+    assert read_stage(spark, at, stages).first().title == "one enriched"
+    write_stage(rec("two"), at, "raw")
+    assert read_stage(spark, at, stages).first().title == "two"
+    write_stage(rec("two screened"), at, "screened", "raw")
+    assert read_stage(spark, at, stages).first().title == "two screened"
+
+
+def test_dimension_files(spark, tmp_path):
+    (tmp_path / "aliases.csv").write_text('pattern,is_regex,canonical,parent,cluster,country,tier,note\n"b, c",0,Second,,,CH,2,\na,0,First,,,CH,1,"x"\n')
+    got = aliases(spark, f"file://{tmp_path}/aliases.csv").orderBy("seq").collect()
+    assert [(r.pattern, r.canonical, r.tier) for r in got] == [("b, c", "Second", 2), ("a", "First", 1)]
+    table = gazetteer_table(spark, GAZETTEER)
+    assert table.where("spelling = 'schweiz'").first().country == "Switzerland" and table.where("kind = 'hint'").count() == 9
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"end_year": 2020, "spans": [5], "recent": [2018, 2020]}')
+    loaded = config.load(spark, f"file://{tmp_path}/c.json")
+    assert loaded.windows() == [("all_time", 1988, 2020), ("last_5yr", 2016, 2020)] and loaded.recent == (2018, 2020) and config.load(spark, None) == config.Config()
+    assert json.loads(loaded.with_values(seed=None).to_json())["seed"] == 1
+    with pytest.raises(ValueError):
+        loaded.with_values(colour=1)
+
+
+def test_http(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "name string, n int").coalesce(1).write.option("header", True).csv(f"file://{tmp_path}/all_time/fig1")
+    ran = threading.Event()
+    service = serve.Service(spark, f"file://{tmp_path}", lambda argv: ran.set() or len(argv) - 1)
+    httpd = serve.server(service, 0)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    ask = lambda path, body=None: json.load(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{httpd.server_port}{path}", None if body is None else json.dumps(body).encode())))
+    assert ask("/api/results") == {"tables": ["all_time/fig1"]} == ask("/api/figures") and ask("/api/download?name=all_time/fig1") == [{"name": "a", "n": "1"}]
+    assert ask("/api/status") == {"state": "idle"} and ask("/api/run", {"argv": ["x"]}) == {"started": True} and ran.wait(10)
+    assert ask("/api/validate_query", {"query": '("a" OR b)'}) == {"ok": True} and ask("/api/validate_query", {"query": "("}) == {"ok": False}
+    with pytest.raises(urllib.error.HTTPError):
+        ask("/api/download?name=../secret")
+    httpd.shutdown()
+    assert ask is not None and service.lines[0] == "start x"
+
+
+def test_sensitivity_tables(spark):
+    rows = [
+        {"year": str(2018 + i % 4), "journal": "Cornea", "citation_count": i, "citation_count_crossref": i + 1, "keywords": ["myopia"], "pub_types": ["Review"], "pmid": str(i),
+         "authors": [author("Roth", "Ada", "A", ["University of Basel, Basel, Switzerland"]), author("Koch", "Ben", "B", ["Moorfields, London, UK"])]}
+        for i in range(24)
+    ]
+    ready = analysis.prepared(records(spark, rows), GAZETTEER, impute_within=None).persist()
+    alias = spark.createDataFrame([("university of basel", "0", "University of Basel", "", "swiss", "", 1, "", 0)], "pattern string, is_regex string, canonical string, parent string, cluster string, country string, tier int, note string, seq int")
+    population = spark.createDataFrame([("Switzerland", 9_000_000)], "country string, population long")
+    one = spark.createDataFrame([("Koch B",)], "author_id string")
+    got = sensitivity.tables(ready, alias, population, group=one, audit=one, members=(["University of Basel"], "swiss"), home=("Switzerland", "swiss"), journal_totals=spark.createDataFrame([("Cornea", 48)], "journal string, total long"), trials=spark.createDataFrame([("other", 10, 1)], "topic string, n long, trials long"))
+    assert len([t for t in got if t.startswith("institutions_")]) == 18
+    assert got["per_capita_without_cluster"].first().publications == 0 and got["per_capita_min20"].first().publications == 24
+    assert {(r.table, r.name): r.publications for r in got["rankings_without_group"].collect()}[("records", "without author group")] == 0
+    assert {(r.treatment, r.institution): r.publications for r in got["cluster_apart_and_merged"].where("scope = 'all' and counting = 'whole'").collect()} == {("separate", "University of Basel"): 24, ("merged", "swiss"): 24}
+    assert got["journal_share"].first().pct == 50.0 and got["trial_share"].count() == 2 and got["identity_audit"].first().n == 24
+    assert got["indicators_countries"].first().country == "Switzerland" and got["paired_sources"].first().n == 24
+    ready.unpersist()
+
+
+def test_modularity(spark):
+    edges = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 5), ("y", "z", 5), ("x", "z", 5), ("c", "x", 1)]
+    got = {r.id: r.community for r in graphs.communities(spark.createDataFrame(edges, "a string, b string, weight long")).collect()}
+    assert got == {**dict.fromkeys("abc", "a"), **dict.fromkeys("xyz", "x")}
+    with pytest.raises(ValueError):
+        graphs.communities(spark.createDataFrame(edges, "a string, b string, weight long"), most=3)
+
+
 def test_remote_stand_ins(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("".join(json.dumps({"doi": f"d{i}", "citations": i}) + "\n" for i in range(7)))
     register(spark)
     df = spark.read.format("citation_counts").option("path", f"{tmp_path}/c.jsonl").option("batch", 3).load()
     assert df.count() == 7 and df.agg(F.sum("citations")).first()[0] == 21
+    (tmp_path / "i.jsonl").write_text("".join(json.dumps({"pmid": str(i), "year": 1988 + i % 40}) + "\n" for i in range(10_050)))
+    found = spark.read.format("article_ids").option("path", f"file://{tmp_path}/i.jsonl").option("start", 1988).option("end", 2025).load()
+    assert found.rdd.getNumPartitions() == 4 and found.count() == sum(i % 40 <= 37 for i in range(10_050)) and found.distinct().count() == found.count()
     assert slices(100, 1988, 2025) == [(1988, 2025)] and slices(20_000, 1988, 2025)[-1] == (2018, 2025)
     assert query_between(query_between("x", 1990, 1999), 2000, 2009) == 'x AND ("2000"[PDAT] : "2009"[PDAT])'
 
@@ -346,6 +427,15 @@ def test_streaming(spark, tmp_path):
     assert [r.pmid for r in stale(current(spark, table), "pmid", "fetched", "2020-01-01").collect()] == ["2"]
 
 
+def test_first_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"pmid": "1", "t": "2020-01-01T00:00:00"}\n{"pmid": "1", "t": "2020-01-01T01:00:00"}\n{"pmid": "2", "t": "2020-01-01T00:00:00"}\n')
+    stream = spark.readStream.schema("pmid string, t timestamp").json(f"file://{tmp_path}/in")
+    for name, first in (("plain", keep_first(stream, "pmid")), ("late", keep_first(stream, "pmid", "t"))):
+        first.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.pmid for r in spark.table(name).collect()) == ["1", "2"]
+
+
 def test_whole_analysis(spark, tmp_path):
     rows = [
         {"year": str(2018 + i % 4), "journal": "Cornea" if i % 2 else "Eye", "journal_abbr": "C" if i % 2 else "E", "citation_count": None if i % 5 == 0 else i, "language": "eng",
