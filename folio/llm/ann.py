@@ -19,7 +19,7 @@ SETTLED = 0.02
 #: Vectors that the trees are fitted on: a fixed bound, whatever the table's size. Cells of more members are split on.
 SAMPLE, CELL = 16384, 4096
 #: Candidates that a query keeps for each doubling of the nodes, those it expands at once, and members of each of its cells that it starts from.
-BEAM, EXPAND, ENTRIES = 24, 64, 16
+BEAM, EXPAND, ENTRIES = 24, 96, 16
 #: Neighbours that a task holds to merge them before the shuffle.
 HELD = 1 << 20
 #: Seed of the directions along which large cells are split.
@@ -226,6 +226,7 @@ def build_graph(nodes: DataFrame, cells: DataFrame, scratch: Scratch, count: int
         before = graph.select("id", F.col("near.id").alias("before"))
         changed = new.join(before, "id").agg(F.sum(F.size(F.array_except("near.id", "before")))).first()[0] or 0
         scratch.drop(graph)
+        scratch.tidy()
         graph = new
         if changed <= SETTLED * k * count:
             return graph
@@ -268,6 +269,7 @@ def walk(queries: DataFrame, nodes: DataFrame, graph: DataFrame, cells: DataFram
         unseen = F.array_except("others", "seen")
         new = scratch.save(asks.join(state.select("query", "seen"), "query").select("query", unseen.alias("fresh")), "fresh")
         scratch.drop(fresh)
+        scratch.tidy()
         fresh = new
 
 
