@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import partial
 
 import numpy as np
@@ -16,6 +17,8 @@ from folio.llm.hashing import U64, fmix, segments, utf8
 DIMENSIONS = 1024
 #: Languages that are learned at most: their profiles come to the driver and go to every task.
 LANGUAGES = 4096
+#: Bytes of texts, and different trigrams, that a worker bundles at once.
+RUN, AT_ONCE = 1 << 18, 2048
 #: Fixed point of the profiles: sums are of integers, so the order of tasks doesn't show.
 UNIT = 1 << 20
 
@@ -63,10 +66,10 @@ def bundles(texts: list[str], letters: np.ndarray, dimensions: int) -> tuple[np.
     order = np.unique(doc[whole] * np.int64(max(1, len(used))) + at, return_counts=True)
     cell, count = order
     row, col = np.divmod(cell, max(1, len(used)))
-    for first in range(0, len(used), 8192):  # so that a text of many letters takes bounded memory
-        g = used[first : first + 8192]
+    for first in range(0, len(used), AT_ONCE):  # so that a text of many letters takes bounded memory
+        g = used[first : first + AT_ONCE]
         bound = np.roll(vectors[g // (n * n)], 2, axis=1) * np.roll(vectors[g // n % n], 1, axis=1) * vectors[g % n]
-        part = (col >= first) & (col < first + 8192)
+        part = (col >= first) & (col < first + AT_ONCE)
         counts = np.zeros((len(texts), len(g)), np.float32)
         counts[row[part], col[part] - first] = count[part]
         out += counts @ bound.astype(np.float32)
@@ -75,12 +78,20 @@ def bundles(texts: list[str], letters: np.ndarray, dimensions: int) -> tuple[np.
 
 def _runs(column: pa.Array, letters: np.ndarray, dimensions: int):
     offsets, data = utf8(column)
-    for first, last in segments(offsets, 1 << 19):
+    for first, last in segments(offsets, RUN):
         raw = data[offsets[first] : offsets[last]].tobytes()
         texts = [raw[offsets[i] - offsets[first] : offsets[i + 1] - offsets[first]].decode("utf-8", "replace") for i in range(first, last)]
         yield first, *bundles(texts, letters, dimensions)
 
 
+def _released() -> None:
+    """Gives memory that is done with back to the system: a worker that waits shouldn't hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _learn(batches, dimensions: int):
     letters, sums = _letters(), {}
     for batch in batches:
@@ -89,6 +100,7 @@ def _learn(batches, dimensions: int):
             share = np.rint(vectors * (UNIT / np.maximum(total, 1))[:, None]).astype(np.int64)
             for i in np.flatnonzero(total):
                 sums.setdefault(langs[first + i], np.zeros(dimensions, np.int64))[:] += share[i]
+    _released()
     yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "profile"])
 
 
@@ -120,6 +132,7 @@ def _predict(batches, langs: list[str], profiles: np.ndarray, dimensions: int):
             names = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
             score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(total)), pa.array(names, pa.string()), pa.array(score)], ["record", "lang_pred", "score"])
+    _released()
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", carried: Column | None = None) -> DataFrame:
