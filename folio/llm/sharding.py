@@ -55,7 +55,9 @@ def shuffle_shards(docs: DataFrame, shard: Column, size: Column, seed: int = 0,
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = first.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     # As many partitions as there are buckets, so that a task reads about one however much there is; dealt once, for the join as for the shuffle.
-    dealt = first.repartition(max(1, bases.count()), "shard", "bucket")
+    # Fewer than the session's own number would make the join deal them again.
+    parts = max(bases.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = first.repartition(parts, "shard", "bucket")
     second = dealt.join(bases, ["shard", "bucket"]).select("record", "shard", "bucket", "row", "scatter", "base")
     schema = T.StructType([first.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     return second.groupBy("shard", "bucket").applyInArrow(lambda bucket: _fisher_yates(bucket, seed), schema)
