@@ -17,9 +17,8 @@ LETTERS = ((6, 10), (32, 25))
 BLOCKS = ((14, 4), (20, 5))
 #: Blocks that are counted from the end of the line as well.
 BACK = 2
-#: Lines of so many words have a sketch, the least hashes of their pairs of words. Lines within the edits share 40 of 64 on
-#: average, 4 more or less, so fewer than COMMON rule a link out.
-LONG, SKETCH, COMMON = 64, 64, 10
+#: From so many words on, a line's keys are two each of its LEAST_PAIRS pairs of neighbouring words of least hash.
+LONG, LEAST_PAIRS = 100, 9
 #: What a bucket's rows have of a line.
 TRAITS = ["size", "bits", "norm"]
 #: Letters of scripts that have no blanks between words: each is a word.
@@ -62,6 +61,13 @@ def block_keys(length: int) -> str:
     return f"concat({front}, {back})"
 
 
+def long_keys() -> str:
+    """SQL for the hashes of each two of the least hashes of a line's pairs of neighbouring words."""
+    at = [(i, j) for j in range(LEAST_PAIRS) for i in range(j)]
+    one, two = (f"array({', '.join(str(p[k]) for p in at)})" for k in (0, 1))
+    return f"transform(sequence(0, {len(at) - 1}), k -> xxhash64(1, chosen[{one}[k]], chosen[{two}[k]]))"
+
+
 def keyed(lines: DataFrame) -> DataFrame:
     """(id, body, number, key, size, bits, norm, keys): each line's hash, its number of words, parities of their hashes, the words
     themselves where they are few, and the line's keys.
@@ -69,15 +75,26 @@ def keyed(lines: DataFrame) -> DataFrame:
     Where one edit is permitted, a line's keys are its words whole and without each word in turn:
     lines one edit apart share one.  Longer lines are cut into blocks, one more than the edits, so
     with words replaced one block at least stays as it is, at its place.  A word added or left out
-    moves what comes after it; so blocks are counted from the end of the line, too.  A line whose
-    partner may have more words gives that one's kind of keys as well.
+    moves what comes after it; so blocks are counted from the end of the line, too.  A line of LONG
+    words or more would share a block with any other that holds the same passage; its keys are
+    two common pairs of words, of those of least hash: lines at the limit of edits share 60 % of them
+    and two or more in 996 of 1,000 cases.  (Not so lines of which most words repeat in a row or so.)
+    A line whose partner may have more words gives that one's kind of keys as well.
     """
     hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.size("words").cast("long"))
     # The longest partner of a line of n words: n' - n <= edits of n'.
     hashed = hashed.withColumns({"most": F.greatest(F.col("size") + 1, F.floor(F.col("size") * 100 / (100 - EDITS))), "edits": edits_of(F.col("size"))})
     without = "array_distinct(concat(array(xxhash64(0, h)), transform(sequence(0, size(h) - 1), i -> xxhash64(0, slice(h, 1, i), slice(h, i + 2, size(h))))))"
+    pairs = f"IF(most >= {LONG}, array_distinct(transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1]))), NULL)"
+    hashed = hashed.withColumn("pairs", F.expr(pairs))
+    # Lines that use few different words have few pairs for keys; these keep their blocks.
+    varied = f"(most >= {LONG} AND 2 * size(pairs) >= size)"
+    hashed = hashed.withColumn("chosen", F.expr(f"IF({varied}, slice(sort_array(pairs), 1, {LEAST_PAIRS}), NULL)"))
     (few, short), (many, long) = BLOCKS
-    kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
+    kinds = [
+        (f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)),
+        (f"most >= {many} AND (size < {LONG} OR chosen IS NULL)", block_keys(long)), ("chosen IS NOT NULL", long_keys()),
+    ]
     keys = F.expr(f"concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)})")
     bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
     return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), "size", bits.alias("bits"), F.when(F.col("size") < few, F.array_join("words", " ")).alias("norm"), keys.alias("keys"))
@@ -102,20 +119,12 @@ def near(x: str, y: str) -> str:
 
 
 def linked(x: str, y: str) -> str:
-    """SQL for whether lines are within the permitted edits: quick tests first, then word by word, then their characters.
-
-    64 parities say nothing of long lines; these are told apart by their sketches before the costly
-    distance.  Sketches that hold all pairs of words (few different ones) are compared exactly: an
-    edit changes two pairs of either line at most.
-    """
+    """SQL for whether lines are within the permitted edits: the quick test first, then word by word, then their characters."""
     longer = f"greatest({x}.size, {y}.size)"
     edits = f"greatest(1, {longer} * {EDITS} DIV 100)"
     quick = f"abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits}"
-    most, least = (f"{f}(size({x}.sketch), size({y}.sketch))" for f in ("greatest", "least"))
-    need = f"CASE WHEN {least} = {SKETCH} THEN {COMMON} WHEN {most} < {SKETCH} THEN {most} - 2 * {edits} ELSE 0 END"
-    alike = f"({x}.sketch IS NULL OR {y}.sketch IS NULL OR size(array_intersect({x}.sketch, {y}.sketch)) >= {need})"
     words = f"levenshtein({x}.code, {y}.code, CAST({edits} AS INT)) >= 0"
-    return f"(CASE WHEN NOT ({quick}) THEN false WHEN NOT {alike} THEN false WHEN NOT ({words}) THEN false ELSE {letters_within(f'{x}.norm', f'{y}.norm', longer)} END)"
+    return f"(CASE WHEN NOT ({quick}) THEN false WHEN NOT ({words}) THEN false ELSE {letters_within(f'{x}.norm', f'{y}.norm', longer)} END)"
 
 
 def word_string(words: Column) -> Column:
@@ -151,22 +160,20 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(rows)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """(key, code, norm, sketch) of lines: their words as a string of one character each, and written out where there are few; read again where they first occurred."""
+        """(key, code, norm) of lines: their words as a string of one character each, and written out where there are few; read again where they first occurred."""
         homes = classes.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
         bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
         few = F.when(F.size("w.words") < LETTERS[-1][0], F.array_join("w.words", " "))
-        pairs = F.expr("transform(sequence(0, size(w.words) - 2), i -> xxhash64(w.words[i], w.words[i + 1]))")
-        sketch = F.when(F.size("w.words") >= LONG, F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), few.alias("norm"), sketch.alias("sketch"))
+        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), few.alias("norm"))
         return scratch.save(texts.dropDuplicates(["key"]), "texts")
 
     pairs = scratch.save(first_pairs(shared, near, TRAITS), "pairs")
     scratch.tidy()
     texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    side = lambda c, x: texts.join(classes.select("key", "size", "bits"), "key").select(F.col("key").alias(c), F.struct("size", "bits", "code", "norm", "sketch").alias(x))
+    side = lambda c, x: texts.join(classes.select("key", "size", "bits"), "key").select(F.col("key").alias(c), F.struct("size", "bits", "code", "norm").alias(x))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     links = scratch.save(both.where(linked("x", "y")).select("a", "b"), "links")
     scratch.drop(texts)
@@ -177,7 +184,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         texts = texts_of(left.select("id").distinct())
         rows = scratch.save(left.join(texts.withColumnRenamed("key", "id").hint("merge"), "id"), "left")
         scratch.tidy()
-        components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm", "sketch"], scratch)
+        components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm"], scratch)
     scratch.drop(shared)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
