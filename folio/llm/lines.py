@@ -18,7 +18,7 @@ BLOCKS = ((14, 4), (20, 5))
 #: Blocks that are counted from the end of the line as well.
 BACK = 2
 #: From so many words on, a line's keys are two each of its LEAST_PAIRS pairs of neighbouring words of least hash.
-LONG, LEAST_PAIRS = 100, 9
+LONG, LEAST_PAIRS = 100, 7
 #: What a bucket's rows have of a line.
 TRAITS = ["size", "bits", "norm"]
 #: Letters of scripts that have no blanks between words: each is a word.
@@ -78,7 +78,7 @@ def keyed(lines: DataFrame) -> DataFrame:
     moves what comes after it; so blocks are counted from the end of the line, too.  A line of LONG
     words or more would share a block with any other that holds the same passage; its keys are
     two common pairs of words, of those of least hash: lines at the limit of edits share 60 % of them
-    and two or more in 996 of 1,000 cases.  (Not so lines of which most words repeat in a row or so.)
+    and two or more in 98 of 100 cases, one tenth of their words apart in nearly all.  (Not so lines of which most words repeat in a row or so.)
     A line whose partner may have more words gives that one's kind of keys as well.
     """
     hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.size("words").cast("long"))
@@ -183,9 +183,10 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if not left.isEmpty():
         texts = texts_of(left.select("id").distinct())
         rows = scratch.save(left.join(texts.withColumnRenamed("key", "id").hint("merge"), "id"), "left")
+        scratch.drop(left, texts, shared)
         scratch.tidy()
         components = joined_up(rows, links, components, linked, ["size", "bits", "code", "norm"], scratch)
-    scratch.drop(shared)
+        scratch.drop(rows)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.

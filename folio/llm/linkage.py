@@ -44,11 +44,11 @@ def first_pairs(shared: DataFrame, near: Near, traits: list[str]) -> DataFrame:
     return small.unionByName(star).where(near("x", "y")).select(*ordered("x.id", "y.id")).distinct()
 
 
-def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is left to compare of large buckets: members outside the bucket's main component, against all its members.
 
     (key, block, chunk, x) twice: those outside, dealt to blocks of about BLOCK, and all members, dealt
-    to chunks of about CHUNK; every block meets every chunk of its bucket, so no task holds more
+    to chunks of about CHUNK; and the table that both read, to be dropped after use.  Every block meets every chunk of its bucket, so no task holds more
     than a block and a chunk however large the bucket is.  ``x`` has id, the traits and ``home``, the
     component.  Buckets within one component are done: a pair of theirs couldn't join two.
     """
@@ -64,7 +64,7 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = both.where("x.home <> main").withColumn("block", mine("blocks", 1)).withColumn("chunk", every("chunks"))
     members = both.withColumn("chunk", mine("chunks", 2)).withColumn("block", every("blocks"))
-    return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x")
+    return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x"), placed
 
 
 def split_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
@@ -84,12 +84,13 @@ def joined_up(rows: DataFrame, links: DataFrame, components: DataFrame, linked:
     ``rows`` are those of split buckets with all the traits that ``linked`` (exact) needs.
     """
     while True:
-        outside, members = open_blocks(rows, components, traits, scratch)
+        outside, members, placed = open_blocks(rows, components, traits, scratch)
         held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
         met = members.join(held, ["key", "block", "chunk"])
         one = F.expr(f"array_min(transform(filter(block_members, y -> y.home <> x.home AND {linked('x', 'y')}), y -> named_struct('home', y.home, 'id', y.id)))")
         found = met.select("x.id", one.alias("y")).where("y IS NOT NULL").select(*ordered("id", "y.id")).distinct()
         found = scratch.save(found, "links")
+        scratch.drop(placed)
         scratch.tidy()
         if found.isEmpty():
             return components

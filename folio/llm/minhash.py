@@ -195,10 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.save(both.where(100 * common >= percent * (na + nb - common)).select("a", "b").distinct(), "links")
     scratch.tidy()
     components = connected_components(links, scratch)
-    outside, members = open_blocks(shared, components, [], scratch)
+    outside, members, placed = open_blocks(shared, components, [], scratch)
     deal = lambda df, role: df.select("key", "block", "chunk", F.lit(role).alias("role"), "x.home", "x.id").join(sets, "id").select("key", "block", "chunk", "role", "id", "home", "xs")
     dealt = deal(outside, 0).unionByName(deal(members, 1)).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk", "role", "id")
     more = scratch.save(dealt.mapInArrow(partial(_compare_blocks, percent=percent), "a long, b long"), "links")
+    scratch.drop(placed)
     scratch.tidy()
     components = connected_components(links.unionByName(more), scratch)
     found = classes.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
