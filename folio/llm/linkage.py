@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.components import connected_components
 from folio.llm.runtime import Scratch
 
 #: Up to so many members a bucket gives all its pairs: at most (SMALL - 1) / 2 pairs a row.
@@ -67,32 +66,12 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
     return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x"), placed
 
 
-def split_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of large buckets whose members aren't all in one component."""
-    large = shared.where(F.col("n") > SMALL)
-    home = components.select(F.col("id").alias("_of"), F.col("component").alias("_home"))
-    homes = large.select("key", "id").join(home, F.col("id") == F.col("_of"), "left").select("key", F.coalesce("_home", "id").alias("home"))
-    split = homes.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key")
-    return large.join(split, "key", "left_semi")
-
-
-def joined_up(rows: DataFrame, links: DataFrame, components: DataFrame, linked: Near, traits: list[str], scratch: Scratch) -> DataFrame:
-    """The components once no pair of a bucket that ``linked`` holds for could join two.
-
-    In each round every member that is linked to one outside its component in its bucket gives one
-    such link, so the components at least halve and few rows are made however dense the links are.
-    ``rows`` are those of split buckets with all the traits that ``linked`` (exact) needs.
-    """
-    while True:
-        outside, members, placed = open_blocks(rows, components, traits, scratch)
-        held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
-        met = members.join(held, ["key", "block", "chunk"])
-        one = F.expr(f"array_min(transform(filter(block_members, y -> y.home <> x.home AND {linked('x', 'y')}), y -> named_struct('home', y.home, 'id', y.id)))")
-        found = met.select("x.id", one.alias("y")).where("y IS NOT NULL").select(*ordered("id", "y.id")).distinct()
-        found = scratch.save(found, "links")
-        scratch.drop(placed)
-        scratch.tidy()
-        if found.isEmpty():
-            return components
-        links = scratch.save(links.unionByName(found), "links")
-        components = connected_components(links, scratch)
+def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], scratch: Scratch) -> DataFrame:
+    """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing."""
+    outside, members, placed = open_blocks(shared, components, traits, scratch)
+    held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
+    met = members.join(held, ["key", "block", "chunk"])
+    close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')})")
+    pairs = scratch.save(met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct(), "pairs")
+    scratch.drop(placed)
+    return pairs
