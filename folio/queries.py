@@ -377,8 +377,13 @@ def agreement_by_language(f: Facts) -> DataFrame:
 
 @query
 def paired_sources(f: Facts) -> DataFrame:
-    """Citation counts of orders against those of their lines' prices."""
-    li = f.table("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg((F.sum("l_extendedprice") / 1000).cast("int").alias("other"))
+    """Citation counts of orders against those of their lines' prices.
+
+    Prices are added as decimals: a sum of doubles depends on the order of its rows, and where it
+    should be a whole thousand that decides what is cut off.
+    """
+    price = F.col("l_extendedprice").cast("decimal(28,6)")
+    li = f.table("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg((F.sum(price) / 1000).cast("int").alias("other"))
     return stats.paired_sources(f.records().join(li, "key"), "cites", "other")
 
 

@@ -18,6 +18,7 @@ from folio.operators.bradford import bradford_curve
 from folio.operators.identity import Safelist, assign_author_ids, disagreements
 from folio.plans import analysis, reports, sensitivity
 from folio.plans.windows import in_windows, outside, window_rows
+from folio.queries import QUERIES
 from folio.schemas import RECORD, WORK
 from folio.sources.dims import aliases, gazetteer_table
 from folio.sources.records import missing_keys, organisation_works, read_ids, read_stage, read_xml, write_stage
@@ -484,3 +485,16 @@ def test_command_line(spark, tmp_path):
     assert spark.read.option("header", True).csv(at("tables/last_5yr/institutions_top")).first().institution == "University X"
     assert do("delta", "--stages", at("s"), "--reference", at("ids.txt"), "--out", at("delta")) == 0
     assert {tuple(r) for r in spark.read.option("header", True).csv(at("delta")).collect()} == {("11", "unchanged"), ("99", "removed")}
+
+
+def test_sums_of_prices_are_exact(spark, tmp_path):
+    # As doubles the prices of each order add up to 1000 one way and to a little less the other way.
+    prices = [498.09, 349.78, 152.13]
+    a, b, c = prices
+    assert a + b + c < 1000 == c + b + a
+    lines = [(key, p) for key, order in ((1, prices), (2, prices[::-1])) for p in order]
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(k, 1, 1000.0) for k in (1, 2)], "o_orderkey long, o_custkey long, o_totalprice double").withColumn("o_orderdate", F.lit("1995-01-01").cast("date"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["paired_sources"](spark, str(tmp_path)).first()
+    assert (got.n, got.total_a, got.total_b, got.n_a_greater) == (2, 2, 2, 0)
