@@ -292,8 +292,8 @@ def labels(occ: DataFrame, clustered: DataFrame, common: Iterable[str] = COMMON_
 
 def assign_author_ids(records: DataFrame, safelist: Safelist | None = None, common: Iterable[str] = COMMON_SURNAMES) -> DataFrame:
     """Records whose authors have an ``author_id``; those without a surname have the collective one."""
-    occ = occurrences(records)
-    clustered = clusters(occ, safelist, common)
+    occ = cut(occurrences(records))
+    clustered = cut(clusters(occ, safelist, common))
     ids = clustered.join(labels(occ, clustered, common), "cluster").groupBy("rec_seq").agg(F.map_from_entries(F.collect_list(F.struct("pos", "author_id"))).alias("_ids"))
     both = records.join(ids, "rec_seq", "left")
     named = F.transform("authors", lambda a, i: a.withField("author_id", F.coalesce(F.element_at("_ids", i), F.lit(COLLECTIVE))))

@@ -16,6 +16,7 @@ from folio.functions.ranks import top, with_competition_rank
 from folio.operators import graphs, joins, rankings, screening, stats
 from folio.operators.bradford import bradford_curve
 from folio.operators.identity import Safelist, assign_author_ids, disagreements
+from folio.operators.lineage import cut
 from folio.plans import analysis, reports, sensitivity
 from folio.plans.windows import in_windows, outside, window_rows
 from folio.queries import QUERIES
@@ -498,3 +499,10 @@ def test_sums_of_prices_are_exact(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = QUERIES["paired_sources"](spark, str(tmp_path)).first()
     assert (got.n, got.total_a, got.total_b, got.n_a_greater) == (2, 2, 2, 0)
+
+
+def test_exploded_tables_arent_broadcast(spark):
+    # By its plan the table has the size of its four rows before they were exploded, which any join would broadcast.
+    many = cut(spark.range(4).select(F.explode(F.sequence(F.lit(1), F.lit(100_000))).alias("id")))
+    plan = many.join(many.select(F.col("id").alias("other")), F.col("id") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and many.count() == 400_000
