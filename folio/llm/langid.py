@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from functools import partial
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm.hashing import U64, fmix, segments, utf8
+from folio.llm.runtime import released
 
 #: Dimensions of a vector.
 DIMENSIONS = 1024
@@ -84,14 +84,6 @@ def _runs(column: pa.Array, letters: np.ndarray, dimensions: int):
         yield first, *bundles(texts, letters, dimensions)
 
 
-def _released() -> None:
-    """Gives memory that is done with back to the system: a worker that waits shouldn't hold it beside the next stage's."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _learn(batches, dimensions: int):
     letters, sums = _letters(), {}
     for batch in batches:
@@ -100,7 +92,7 @@ def _learn(batches, dimensions: int):
             share = np.rint(vectors * (UNIT / np.maximum(total, 1))[:, None]).astype(np.int64)
             for i in np.flatnonzero(total):
                 sums.setdefault(langs[first + i], np.zeros(dimensions, np.int64))[:] += share[i]
-    _released()
+    released()
     yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "profile"])
 
 
@@ -132,7 +124,7 @@ def _predict(batches, langs: list[str], profiles: np.ndarray, dimensions: int):
             names = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
             score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(total)), pa.array(names, pa.string()), pa.array(score)], ["record", "lang_pred", "score"])
-    _released()
+    released()
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", carried: Column | None = None) -> DataFrame:

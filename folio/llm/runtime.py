@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,6 +62,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released() -> None:
+    """Gives memory that is done with back to the system: a worker that waits shouldn't hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_columns(df: DataFrame, *wanted: str) -> list[str]:
     """Names close to ``wanted`` that ``df`` doesn't use, for helper columns beside the caller's own."""
     taken = {c.lower() for c in df.columns}

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import released
+
 # How the byte-level vocabulary splits text before merging, with its white space spelled out.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -93,6 +95,7 @@ def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches, path: str, most: int):
+    released()  # what an earlier stage left in this worker, before the memory of pre-tokens grows beside it
     encode = tokenizer_of(path)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -102,6 +105,7 @@ def _pieces(batches, path: str, most: int):
             rows += [(i, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(pieces_of(len(data) // 4, most))]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+    released()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -95,3 +95,17 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_tokenizing_gives_memory_back(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from folio.llm import tokens
+
+    calls = []
+    monkeypatch.setattr(tokens, "released", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], ["id", "text"])
+    (out,) = tokens._pieces(iter([batch]), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    assert out.column(0).to_pylist() == [1, 2] and out.column(3).to_pylist()[1] == 1
+    assert len(calls) == 2
