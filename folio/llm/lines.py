@@ -19,14 +19,20 @@ BLOCKS = ((14, 4), (20, 5))
 BACK = 2
 #: What a bucket's rows have of a line.
 TRAITS = ["size", "bits", "norm"]
+#: Longs of parities that lines have where whole buckets are compared: 64 bits say nothing of lines of a hundred words.
+WIDE = 8
 #: Letters of scripts that have no blanks between words: each is a word.
 UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
 def words_of(line: Column, unspaced: bool = True) -> Column:
-    """The line's runs of letters and digits, lower-cased; letters of scripts without blanks one by one."""
+    """The line's runs of letters and digits, lower-cased; letters of scripts without blanks one by one.
+
+    ASCII lines have the same words by a pattern that costs a fraction.
+    """
     pattern = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+" if unspaced else r"[\p{L}\p{N}]+"
-    return F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(0))
+    found = lambda by: F.regexp_extract_all(F.lower(line), F.lit(by), F.lit(0))
+    return F.when(F.octet_length(line) == F.length(line), found("[a-z0-9]+")).otherwise(found(pattern))
 
 
 def words_by_line(text: Column) -> Column:
@@ -104,6 +110,21 @@ def word_string(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
+def parities(words: Column) -> list[Column]:
+    """WIDE longs: for each of so many bits, whether an odd number of words has it by hash."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda i: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == i, s.bitwiseXOR(one(x))).otherwise(s))
+    return [of(i).alias(f"w{i}") for i in range(WIDE)]
+
+
+def near_by_more(x: str, y: str) -> str:
+    """``near`` with the lines' further parities; never false for lines within the permitted edits, either."""
+    edits = f"greatest(1, greatest({x}.size, {y}.size) * {EDITS} DIV 100)"
+    parted = " + ".join(f"bit_count({x}.w{i} ^ {y}.w{i})" for i in range(WIDE))
+    return f"({near(x, y)} AND {parted} <= 2 * {edits})"
+
+
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, body, number, stays): each line that occurs again or resembles another, and the place (id, body, number) of the
     one that stays of its group.
@@ -130,15 +151,19 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits", "norm").hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
     scratch.drop(rows)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) within the permitted edits; each line's text is read again where it first occurred."""
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    def read_again(wanted: DataFrame) -> DataFrame:
+        """(key, words) of each wanted key, from where the line first occurred."""
         homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
         homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
         bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
         bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
         found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
-        texts = bodies.select(F.explode(found).alias("w")).select("w.key", word_string(F.col("w.words")).alias("code"), F.array_join("w.words", " ").alias("norm"))
+        return bodies.select(F.explode(found).alias("w")).select("w.key", "w.words")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) within the permitted edits."""
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        texts = read_again(wanted).select("key", word_string(F.col("words")).alias("code"), F.array_join("words", " ").alias("norm"))
         texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
         side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
@@ -146,10 +171,15 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         words = f"levenshtein(x, y, CAST(greatest(1, {longer} * {EDITS} DIV 100) AS INT)) >= 0"
         return scratch.save(both.where(f"IF({words}, {letters_within('x_norm', 'y_norm', longer)}, false)").select("a", "b"), "links")
 
+    def told(ids: DataFrame) -> DataFrame:
+        """(id, w0, w1, ...): the lines' further parities."""
+        texts = read_again(ids.select(F.col("id").alias("key"))).select(F.col("key").alias("id"), *parities(F.col("words")))
+        return scratch.save(texts.dropDuplicates(["id"]), "parities")
+
     links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
     scratch.tidy()
     components = connected_components(links, scratch)
-    left = open_pairs(shared, components, near, TRAITS, scratch)
+    left = open_pairs(shared, components, near_by_more, TRAITS, told, scratch)
     if not left.isEmpty():
         components = connected_components(links.unionByName(verify(left)), scratch)
     scratch.drop(shared)

@@ -66,12 +66,20 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
     return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x"), placed
 
 
-def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], scratch: Scratch) -> DataFrame:
-    """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing."""
+def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], told: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing.
+
+    ``told`` gives, for a table of ids, what ``near`` asks for besides ``traits``.
+    """
     outside, members, placed = open_blocks(shared, components, traits, scratch)
-    held = outside.groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
-    met = members.join(held, ["key", "block", "chunk"])
+    if placed.isEmpty():
+        return placed.select(F.col("x.id").alias("a"), F.col("x.id").alias("b"))
+    more = told(placed.select("x.id").distinct())
+    of = [c for c in more.columns if c != "id"]
+    whole = lambda df: df.join(more.withColumnRenamed("id", "_of"), F.col("x.id") == F.col("_of")).select("key", "block", "chunk", F.struct("x.*", *of).alias("x"))
+    held = whole(outside).groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
+    met = whole(members).join(held, ["key", "block", "chunk"])
     close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')})")
     pairs = scratch.save(met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct(), "pairs")
-    scratch.drop(placed)
+    scratch.drop(placed, more)
     return pairs

@@ -280,6 +280,23 @@ def test_long_lines_in_a_large_bucket(spark):
     assert removed == [i for i, r in enumerate(plain_groups(lines)) if r != i] == list(range(1, len(lines), 2))
 
 
+def test_long_lines_that_only_end_alike_are_no_candidates(spark, monkeypatch):
+    """A large bucket of long lines without links: its pairs are ruled out where they meet and never become rows."""
+    rng = random.Random(32)
+    end = [f"e{k}" for k in range(12)]
+    lines = [" ".join([f"{rng.randrange(10**6)}w" for _ in range(200)] + end) for _ in range(40)]
+    rows, save = [], Scratch.save
+
+    def counted(self, df, name="table"):
+        out = save(self, df, name)
+        rows.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    assert dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], DOCS)).first().removed == []
+    assert len(rows) == 2 and rows[1] == 0
+
+
 def test_very_long_lines(spark):
     text = " ".join(f"w{i}" for i in range(30_000))
     docs = [(1, text), (2, text.replace("w77 ", "other ")), (3, text[: len(text) // 2])]
