@@ -35,21 +35,18 @@ def words_of(line: Column, unspaced: bool = True) -> Column:
     return F.when(F.octet_length(line) == F.length(line), found("[a-z0-9]+")).otherwise(found(pattern))
 
 
-def words_by_line(text: Column) -> Column:
-    """The words of each line; the slower pattern only where the text needs it."""
-    each = lambda unspaced: F.transform(F.split(text, "\n", -1), lambda x: words_of(x, unspaced))
-    wide = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(f"[{UNSPACED}]"))
-    return F.when(wide, each(True)).otherwise(each(False))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(id, body, number, words) of each line with a word; ``body`` tells rows of one id apart.
 
-    What belongs to a document is computed before its lines are dealt out, and a line's words within
-    the generator: each once, and no text is copied for every line.
+    What belongs to a document is computed before its lines are dealt out, and no text is copied for
+    every line.  Lines without a word are told by a pattern, so that no line is cut into words twice.
+    The slower pattern of words is tried only where the text needs it.
     """
-    each = docs.select("id", F.xxhash64("text").alias("body"), "text")
-    return each.select("id", "body", F.posexplode(words_by_line(F.col("text"))).alias("number", "words")).where("size(words) > 0")
+    unspaced = (F.octet_length("text") > F.length("text")) & F.rlike("text", F.lit(f"[{UNSPACED}]"))
+    each = docs.select("id", F.xxhash64("text").alias("body"), unspaced.alias("unspaced"), "text")
+    each = each.select("id", "body", "unspaced", F.posexplode(F.split("text", "\n", -1)).alias("number", "line")).where(F.rlike("line", F.lit(rf"[\p{{L}}\p{{N}}{UNSPACED}]")))
+    line = F.col("line")
+    return each.select("id", "body", "number", F.when(F.col("unspaced"), words_of(line)).otherwise(words_of(line, False)).alias("words"))
 
 
 def edits_of(size: Column) -> Column:
@@ -66,8 +63,7 @@ def block_keys(length: int) -> str:
 
 
 def keyed(lines: DataFrame) -> DataFrame:
-    """(id, body, number, key, size, bits, norm, keys): each line's hash, its number of words, parities of their hashes, the words
-    themselves where they are few, and the line's keys.
+    """(id, body, number, key, keys): each line's hash and the line's keys.
 
     Where one edit is permitted, a line's keys are its words whole and without each word in turn:
     lines one edit apart share one.  Longer lines are cut into blocks, one more than the edits, so
@@ -82,8 +78,7 @@ def keyed(lines: DataFrame) -> DataFrame:
     (few, short), (many, long) = BLOCKS
     kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
     keys = F.expr(f"concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)})")
-    bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), "size", bits.alias("bits"), F.when(F.col("size") < few, F.array_join("words", " ")).alias("norm"), keys.alias("keys"))
+    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), keys.alias("keys"))
 
 
 def letters_within(x: str, y: str, longer: str) -> str:
@@ -95,34 +90,53 @@ def letters_within(x: str, y: str, longer: str) -> str:
 def near(x: str, y: str) -> str:
     """SQL for whether lines can be within the permitted edits; never false if they are.
 
-    An edit changes two parities at most.  Lines of few words have their words with them: many such
-    lines differ in one word, few of them as little as is permitted.
+    A word replaced changes two parities at most; one added or left out changes one, and the size.
+    Lines of few words have their words with them: many such lines differ in one word, few of them
+    as little as is permitted.
     """
     longer = f"greatest({x}.size, {y}.size)"
     edits = f"greatest(1, {longer} * {EDITS} DIV 100)"
     letters = letters_within(f"{x}.norm", f"{y}.norm", longer)
-    return f"(abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) <= 2 * {edits} AND ({x}.norm IS NULL OR {y}.norm IS NULL OR {letters}))"
+    return f"(abs({x}.size - {y}.size) <= {edits} AND bit_count({x}.bits ^ {y}.bits) + abs({x}.size - {y}.size) <= 2 * {edits} AND ({x}.norm IS NULL OR {y}.norm IS NULL OR {letters}))"
 
 
-def word_string(words: Column) -> Column:
-    """One character for each word (by a hash to 40,000 of them), so that Levenshtein distances count words."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(40_000)) + 256), 4, "0"))
+def word_string(hashes: Column) -> Column:
+    """One character for each word (by its hash, to 40,000 of them), so that Levenshtein distances count words."""
+    code = F.transform(hashes, lambda h: F.hex(F.pmod(h, F.lit(40_000)) + 0x1000))
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def parities(words: Column) -> list[Column]:
-    """WIDE longs: for each of so many bits, whether an odd number of words has it by hash."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
+def parities(coded: DataFrame) -> DataFrame:
+    """(id, w0, w1, ...) of (id, code): WIDE longs, for each of whose bits whether an odd number of the line's words has it by hash."""
+    hashed = coded.select("id", F.transform(F.split("code", ""), lambda w: F.xxhash64(w)).alias("h"))
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    of = lambda i: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == i, s.bitwiseXOR(one(x))).otherwise(s))
-    return [of(i).alias(f"w{i}") for i in range(WIDE)]
+    mine = lambda i: F.filter("h", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+    return hashed.select("id", *[F.aggregate(mine(i), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(one(x))).alias(f"w{i}") for i in range(WIDE)])
 
 
 def near_by_more(x: str, y: str) -> str:
     """``near`` with the lines' further parities; never false for lines within the permitted edits, either."""
     edits = f"greatest(1, greatest({x}.size, {y}.size) * {EDITS} DIV 100)"
     parted = " + ".join(f"bit_count({x}.w{i} ^ {y}.w{i})" for i in range(WIDE))
-    return f"({near(x, y)} AND {parted} <= 2 * {edits})"
+    return f"({near(x, y)} AND {parted} + abs({x}.size - {y}.size) <= 2 * {edits})"
+
+
+def read_again(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, size, bits, code, norm) of each wanted key, from where the line first occurred: its number of words, 64 parities of
+    their hashes, the words as characters, and, where characters count, the words themselves."""
+    homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
+    homes = homes.groupBy("id", "body").agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
+    at = lambda df: df.withColumn("at", F.xxhash64(F.coalesce("id", F.lit(-1)), "body"))
+    homes = at(homes).select("at", F.col("id").alias("home"), F.col("body").alias("home_body"), "wanted")
+    bodies = at(docs.select("id", F.xxhash64("text").alias("body"), "text")).join(homes.hint("shuffle_hash"), "at")
+    bodies = bodies.where((F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home"))).select("at", F.split("text", "\n", -1).alias("all"), "wanted")
+    found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("all", w["number"]).alias("line")))
+    # Rows with equal id and text are one occurrence; they are in one task already.
+    found = bodies.select("at", F.explode(found).alias("w")).select("at", "w.*").dropDuplicates(["at", "key"])
+    words = found.select("key", words_of(F.col("line")).alias("words"))
+    hashed = words.select("key", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").cast("long").alias("size"))
+    bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
+    return hashed.select("key", "size", bits.alias("bits"), word_string(F.col("h")).alias("code"), F.when(F.col("size") < LETTERS[-1][0], F.array_join("words", " ")).alias("norm"))
 
 
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,35 +150,24 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in edit
     distances by one of 40,000 characters.
     """
-    whole = scratch.save(keyed(lines_of(docs)), "lines")
+    whole = scratch.save_hashes(keyed(lines_of(docs)), "lines")
     place = F.struct("id", "body", "number")
-    classes = whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"), F.any_value("norm").alias("norm"), F.any_value("keys").alias("keys"))
-    wide = scratch.save(classes, "classes")
+    wide = scratch.save_hashes(whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "classes")
     lines = scratch.save(whole.select("id", "body", "number", "key"), "places")
     scratch.drop(whole)  # so that no line's keys are held twice
     scratch.tidy()
-    # Most keys are one line's alone; only what is left gets the lines' sizes and parities.
-    rows = scratch.save(shared_buckets(wide.select(F.explode("keys").alias("key"), F.col("key").alias("id"))), "keys")
+    rows = scratch.save_hashes(shared_buckets(wide.select(F.explode("keys").alias("key"), F.col("key").alias("id"))), "keys")
     classes = scratch.save(wide.drop("keys"), "classes")
     scratch.drop(wide)
     scratch.tidy()
-    shared = scratch.save(rows.join(classes.select(F.col("key").alias("id"), "size", "bits", "norm").hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
+    # Most keys are one line's alone; only the lines that share one are read again, once, for all that comparisons ask for.
+    texts = scratch.save(read_again(docs, classes, rows.select(F.col("id").alias("key")).distinct()), "texts")
+    traits = texts.select(F.col("key").alias("id"), "size", "bits", F.when(F.col("size") < BLOCKS[0][0], F.col("norm")).alias("norm"))
+    shared = scratch.save(rows.join(traits.hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
     scratch.drop(rows)
 
-    def read_again(wanted: DataFrame) -> DataFrame:
-        """(key, words) of each wanted key, from where the line first occurred."""
-        homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
-        homes = homes.groupBy(F.col("id").alias("home"), F.col("body").alias("home_body")).agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
-        bodies = docs.select("id", F.xxhash64("text").alias("body"), "text").join(homes.hint("shuffle_hash"), (F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home")))
-        bodies = bodies.select(F.split("text", "\n", -1).alias("all"), "wanted")
-        found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), words_of(F.get("all", w["number"])).alias("words")))
-        return bodies.select(F.explode(found).alias("w")).select("w.key", "w.words")
-
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) within the permitted edits."""
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        texts = read_again(wanted).select("key", word_string(F.col("words")).alias("code"), F.array_join("words", " ").alias("norm"))
-        texts = scratch.save(texts.dropDuplicates(["key"]), "texts")
         side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         longer = "greatest(length(x), length(y))"
@@ -173,8 +176,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def told(ids: DataFrame) -> DataFrame:
         """(id, w0, w1, ...): the lines' further parities."""
-        texts = read_again(ids.select(F.col("id").alias("key"))).select(F.col("key").alias("id"), *parities(F.col("words")))
-        return scratch.save(texts.dropDuplicates(["id"]), "parities")
+        return scratch.save(parities(texts.select(F.col("key").alias("id"), "code").join(ids, "id", "left_semi")), "parities")
 
     links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
     scratch.tidy()
@@ -182,7 +184,7 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = open_pairs(shared, components, near_by_more, TRAITS, told, scratch)
     if not left.isEmpty():
         components = connected_components(links.unionByName(verify(left)), scratch)
-    scratch.drop(shared)
+    scratch.drop(shared, texts)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")
     # Only lines that occur again, or resemble another, can go.

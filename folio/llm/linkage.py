@@ -13,6 +13,8 @@ from folio.llm.runtime import Scratch
 SMALL = 8
 #: Members of a large bucket outside its main component that one block holds, and members that one chunk holds.
 BLOCK, CHUNK = 256, 4096
+#: Keys of open buckets, the least, that a member has with it: a pair of two such keys in common is left to the lesser.
+LEAST_KEYS = 8
 
 #: SQL for whether two structs, by name, may be linked.
 Near = Callable[[str, str], str]
@@ -69,17 +71,23 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
 def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], told: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing.
 
-    ``told`` gives, for a table of ids, what ``near`` asks for besides ``traits``.
+    ``told`` gives, for a table of ids, what ``near`` asks for besides ``traits``.  A pair meets in every
+    bucket that it shares; it becomes a row only where no lesser key among the least of both is common.
     """
     outside, members, placed = open_blocks(shared, components, traits, scratch)
     if placed.isEmpty():
         return placed.select(F.col("x.id").alias("a"), F.col("x.id").alias("b"))
+    keys = placed.groupBy("x.id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
     more = told(placed.select("x.id").distinct())
+    also = scratch.save(more.join(keys, "id"), "also")
+    scratch.drop(more)
+    more = also
     of = [c for c in more.columns if c != "id"]
     whole = lambda df: df.join(more.withColumnRenamed("id", "_of"), F.col("x.id") == F.col("_of")).select("key", "block", "chunk", F.struct("x.*", *of).alias("x"))
     held = whole(outside).groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
     met = whole(members).join(held, ["key", "block", "chunk"])
-    close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')})")
+    sooner = "exists(x.least, k -> k < key AND array_contains(y.least, k))"
+    close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner})")
     pairs = scratch.save(met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct(), "pairs")
     scratch.drop(placed, more)
     return pairs

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
 #: Folders of sessions without ``spark.checkpoint.dir``, by application.
@@ -44,8 +44,15 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "table") -> DataFrame:
+        return self._saved(df, df.write, name)
+
+    def save_hashes(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """``save`` for tables of hashes: they hardly repeat a value, so a dictionary of them is work for nothing."""
+        return self._saved(df, df.write.option("parquet.enable.dictionary", "false"), name)
+
+    def _saved(self, df: DataFrame, writer: DataFrameWriter, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        writer.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._folio_path = path
         return back

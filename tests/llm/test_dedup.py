@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
-from folio.llm.linkage import BLOCK, SMALL
-from folio.llm.lines import dedup_lines
+from folio.llm.linkage import BLOCK, SMALL, open_pairs
+from folio.llm.lines import dedup_lines, near_by_more, parities, word_string
 from folio.llm.minhash import band_keys, keep_one, near_duplicates
 from folio.llm.runtime import Scratch
 
@@ -315,3 +315,36 @@ def test_lines_main_path_is_native(spark, capsys):
     df = spark.createDataFrame([(1, "a b\nc"), (2, "a b")], DOCS)
     dedup_lines(df).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_pair_of_many_common_buckets_meets_once(spark, monkeypatch):
+    """Members of twelve common buckets: each pair becomes a row in one of them, and none is missing."""
+    shared = spark.createDataFrame([(k, i, 20) for k in range(12) for i in range(20)], "key long, id long, n long")
+    none, scratch, rows = spark.createDataFrame([], "id long, component long"), Scratch(spark), []
+    distinct = type(shared).distinct
+    monkeypatch.setattr(type(shared), "distinct", lambda self: rows.append(self.count()) or distinct(self))
+    pairs = open_pairs(shared, none, lambda x, y: "true", [], lambda ids: scratch.save(ids.withColumn("more", F.lit(0))), scratch)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(20) for a in range(b)}
+    assert rows[-1] <= 19 * 19
+
+
+def test_parities_and_sizes_rule_out_no_permitted_edit(spark):
+    """Lines within the edits always pass; a line of more words that has too many others is told by its size as well."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randint(20, 160))]
+        copy, left = list(base), len(base) * 15 // 100
+        for _ in range(left):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice(([], [copy[at], f"x{rng.randrange(400)}"], [f"x{rng.randrange(400)}"]))
+        rows += [(2 * k, base), (2 * k + 1, copy)]
+    end = [f"e{k}" for k in range(60)]
+    rows += [(120, [f"a{k}" for k in range(12)] + end), (121, [f"b{k}" for k in range(8)] + end)]
+    lines = spark.createDataFrame(rows, "id long, words array<string>").withColumn("h", F.expr("transform(words, w -> xxhash64(w))"))
+    bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
+    traits = lines.select("id", F.size("words").cast("long").alias("size"), bits.alias("bits"), F.lit(None).cast("string").alias("norm"))
+    both = traits.join(parities(lines.select("id", word_string(F.col("h")).alias("code"))), "id")
+    of = lambda name, odd: both.where(F.col("id") % 2 == odd).select(F.expr("id DIV 2").alias("pair"), F.struct("*").alias(name))
+    found = {r.pair: r.near for r in of("x", 0).join(of("y", 1), "pair").select("pair", F.expr(near_by_more("x", "y")).alias("near")).collect()}
+    assert all(found[k] for k in range(60)) and not found[60]
