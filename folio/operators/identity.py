@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ PLACES = 1 << 20
 #: The order in which links are taken where it matters.
 BY_ORCID, BY_ID, ACROSS_NAMES, WITHIN_NAME = range(4)
 NAME_GROUP = ("last_norm", "letter", "form", "junior")
+#: Groups that are Python objects at once.
+GROUPS = 256
 
 
 class Safelist:
@@ -69,7 +72,8 @@ def occurrences(records: DataFrame) -> DataFrame:
     Co-authors are the different (surname, initials) of the record but for the author's own.
     """
     each = records.select("rec_seq", "pmid", F.posexplode("authors").alias("pos", "a")).select("rec_seq", "pmid", "pos", "a.*").where("coalesce(last, '') <> ''")
-    named = each.withColumns({
+    # Dealt out before names are taken apart: a file of few bytes may hold many records, and it is one task's.
+    named = each.repartition("rec_seq").withColumns({
         "last_norm": N.surname(F.col("last")),
         "init": N.initials(F.col("fore"), F.col("initials")),
         "full": N.forename(F.col("fore")),
@@ -89,7 +93,8 @@ def first_fit(parts: DataFrame, group: tuple[str, ...], held: str) -> DataFrame:
     surnames that agree, equal flags, names not known as different people's (``known``, numbers of
     the safelist's entries of either side) and for common surnames places that don't conflict;
     "place" only the latter, and a part without a place takes the place of what joins it.
-    Parts are the different spellings of one id or places of one name, not its occurrences.
+    Parts are the different spellings of one id or places of one name, not its occurrences.  Groups
+    are small and many, so they go to Python many at once, not by a call each.
     """
 
     def fits(a: dict, b: dict) -> bool:
@@ -100,21 +105,25 @@ def first_fit(parts: DataFrame, group: tuple[str, ...], held: str) -> DataFrame:
         known = {tuple(sorted((x, y))) for x in a["known"] for y in b["known"] if x != y and x // 2 == y // 2}
         return bool(names and a["junior"] == b["junior"] and a["marked"] == b["marked"] and not known and not clash)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: list[dict]) -> list[tuple[int, int]]:
         kept, out = [], []
-        for part in rows.sort_values("node").to_dict("records"):
-            place = part["place"] if isinstance(part["place"], str) else None
-            part = {**part, "place": place, "known": list(part["known"]) if "known" in part else []}
+        for part in sorted(rows, key=lambda r: r["node"]):
             home = next((k for k in kept if fits(part, k)), None)
             if home is None:
                 kept.append(part)
             else:
                 out.append((part["node"], home["node"]))
                 home["place"] = home["place"] or (part["place"] if held == "place" else None)
-        return pd.DataFrame(out, columns=["node", "to"])
+        return out
 
-    several = Window.partitionBy(*group)
-    return parts.withColumn("_n", F.count("*").over(several)).where("_n > 1").drop("_n").groupBy(*group).applyInPandas(one, "node long, to long")
+    def links(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            found = [link for at in range(0, batch.num_rows, GROUPS) for rows in batch.column(0).slice(at, GROUPS).to_pylist() for link in one(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["node", "to"])
+
+    columns = [c for c in parts.columns if c not in group or c == "last_norm"]
+    gathered = parts.groupBy(*group).agg(F.collect_list(F.struct(*columns)).alias("parts")).where(F.size("parts") > 1)
+    return gathered.select("parts").mapInArrow(links, "node long, to long")
 
 
 def star(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -15,7 +15,7 @@ from folio.functions.places import Gazetteer, attributed_segments, enrich_countr
 from folio.functions.ranks import top, with_competition_rank
 from folio.operators import graphs, joins, rankings, screening, stats
 from folio.operators.bradford import bradford_curve
-from folio.operators.identity import Safelist, assign_author_ids, disagreements
+from folio.operators.identity import Safelist, assign_author_ids, disagreements, first_fit, occurrences
 from folio.operators.lineage import cut
 from folio.plans import analysis, reports, sensitivity
 from folio.plans.windows import in_windows, outside, window_rows
@@ -506,3 +506,20 @@ def test_exploded_tables_arent_broadcast(spark):
     many = cut(spark.range(4).select(F.explode(F.sequence(F.lit(1), F.lit(100_000))).alias("id")))
     plan = many.join(many.select(F.col("id").alias("other")), F.col("id") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and many.count() == 400_000
+
+
+def test_groups_of_spellings_go_to_python_many_at_once(spark):
+    # Group i has spellings ab, b and c (in this order of nodes): b joins ab, c stays alone.  A call for each group takes milliseconds.
+    part = lambda at, name: F.struct((F.col("id") * 10 + at).alias("node"), F.lit(name).alias("last_norm"))
+    rows = spark.range(3000).select(F.col("id").alias("orcid"), F.explode(F.array(part(2, "b"), part(1, "ab"), part(3, "c"))).alias("p")).select("orcid", "p.*")
+    flags = {"junior": F.lit(False), "marked": F.lit(False), "place": F.lit(None).cast("string"), "common": F.lit(False), "known": F.array().cast("array<int>")}
+    links = first_fit(rows.withColumns(flags), ("orcid",), "id")
+    assert "FlatMapGroupsInPandas" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, links.collect())) == [(10 * i + 2, 10 * i + 1) for i in range(3000)]
+
+
+def test_names_of_one_small_file_arent_taken_apart_in_one_task(spark):
+    records = spark.range(0, 4, 1, 1).select(F.col("id").alias("rec_seq"), F.lit("p").alias("pmid"), F.from_json(F.lit('[{"last": "Meier", "fore": "Anna", "initials": "A"}]'), "array<struct<last: string, fore: string, initials: string, suffix: string, affils: array<string>, orcid: string, oa_id: string>>").alias("authors"))
+    plan = occurrences(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(rec_seq") == 1 and "REPARTITION_BY_COL" in plan
+    assert occurrences(records).count() == 4
