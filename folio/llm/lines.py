@@ -121,6 +121,13 @@ def near_by_more(x: str, y: str) -> str:
     return f"({near(x, y)} AND {parted} + abs({x}.size - {y}.size) <= 2 * {edits})"
 
 
+def within_edits(x: str, y: str, x_norm: str, y_norm: str) -> str:
+    """SQL for whether lines, by their words as characters and the words themselves, are within the permitted edits."""
+    longer = f"greatest(length({x}), length({y}))"
+    words = f"levenshtein({x}, {y}, CAST(greatest(1, {longer} * {EDITS} DIV 100) AS INT)) >= 0"
+    return f"IF({words}, {letters_within(x_norm, y_norm, longer)}, false)"
+
+
 def read_again(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, size, bits, code, norm) of each wanted key, from where the line first occurred: its number of words, 64 parities of
     their hashes, the words as characters, and, where characters count, the words themselves."""
@@ -170,20 +177,20 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         """Pairs (a, b) within the permitted edits."""
         side = lambda c, x: texts.select(F.col("key").alias(c), F.col("code").alias(x), F.col("norm").alias(f"{x}_norm"))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        longer = "greatest(length(x), length(y))"
-        words = f"levenshtein(x, y, CAST(greatest(1, {longer} * {EDITS} DIV 100) AS INT)) >= 0"
-        return scratch.save(both.where(f"IF({words}, {letters_within('x_norm', 'y_norm', longer)}, false)").select("a", "b"), "links")
+        return scratch.save(both.where(within_edits("x", "y", "x_norm", "y_norm")).select("a", "b"), "links")
 
     def told(ids: DataFrame) -> DataFrame:
-        """(id, w0, w1, ...): the lines' further parities."""
-        return scratch.save(parities(texts.select(F.col("key").alias("id"), "code").join(ids, "id", "left_semi")), "parities")
+        """(id, w0, w1, ..., code, letters): the lines' further parities, and what decides."""
+        mine = scratch.save(texts.select(F.col("key").alias("id"), "code", F.col("norm").alias("letters")).join(ids, "id", "left_semi"), "told")
+        return scratch.save(parities(mine).join(mine, "id"), "parities")
 
     links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
     scratch.tidy()
     components = connected_components(links, scratch)
-    left = open_pairs(shared, components, near_by_more, TRAITS, told, scratch)
+    exact = lambda x, y: within_edits(f"{x}.code", f"{y}.code", f"{x}.letters", f"{y}.letters")
+    left = open_pairs(shared, components, near_by_more, TRAITS, told, scratch, exact)
     if not left.isEmpty():
-        components = connected_components(links.unionByName(verify(left)), scratch)
+        components = connected_components(links.unionByName(left), scratch)
     scratch.drop(shared, texts)
     scratch.tidy()
     named = classes.join(components.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "first", "n", "component")

@@ -68,11 +68,13 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
     return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x"), placed
 
 
-def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], told: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], told: Callable[[DataFrame], DataFrame], scratch: Scratch, linked: Near | None = None) -> DataFrame:
     """(a, b) of two components and one large bucket that ``near`` doesn't rule out: none that ``first_pairs`` left is missing.
 
     ``told`` gives, for a table of ids, what ``near`` asks for besides ``traits``.  A pair meets in every
     bucket that it shares; it becomes a row only where no lesser key among the least of both is common.
+    With ``linked``, the exact test, the rows are links between components instead, by the ids that name them: what a
+    member is linked with becomes one row for each component, as more links to it would join nothing else.
     """
     outside, members, placed = open_blocks(shared, components, traits, scratch)
     if placed.isEmpty():
@@ -87,7 +89,11 @@ def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: lis
     held = whole(outside).groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
     met = whole(members).join(held, ["key", "block", "chunk"])
     sooner = "exists(x.least, k -> k < key AND array_contains(y.least, k))"
-    close = F.expr(f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner})")
-    pairs = scratch.save(met.select("x", F.explode(close).alias("y")).select(*ordered("x.id", "y.id")).distinct(), "pairs")
+    close = f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner}{f' AND {linked("x", "y")}' if linked else ''})"
+    if linked:
+        found = met.select("x.home", F.explode(F.expr(f"array_distinct(transform({close}, y -> y.home))")).alias("other")).select(*ordered("home", "other"))
+    else:
+        found = met.select("x", F.explode(F.expr(close)).alias("y")).select(*ordered("x.id", "y.id"))
+    pairs = scratch.save(found.distinct(), "pairs")
     scratch.drop(placed, more)
     return pairs

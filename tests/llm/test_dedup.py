@@ -348,3 +348,17 @@ def test_parities_and_sizes_rule_out_no_permitted_edit(spark):
     of = lambda name, odd: both.where(F.col("id") % 2 == odd).select(F.expr("id DIV 2").alias("pair"), F.struct("*").alias(name))
     found = {r.pair: r.near for r in of("x", 0).join(of("y", 1), "pair").select("pair", F.expr(near_by_more("x", "y")).alias("near")).collect()}
     assert all(found[k] for k in range(60)) and not found[60]
+
+
+def test_links_of_open_buckets_are_one_row_for_each_member_and_component(spark, monkeypatch):
+    """Members of a bucket in four components, each linked with all but one of the component beside: a row for each member and component."""
+    shared = spark.createDataFrame([(1, i, 40) for i in range(40)], "key long, id long, n long")
+    components = spark.createDataFrame([(i, i // 10 * 10) for i in range(40)], "id long, component long")
+    scratch, rows = Scratch(spark), []
+    distinct = type(shared).distinct
+    monkeypatch.setattr(type(shared), "distinct", lambda self: rows.append(self.count()) or distinct(self))
+    told = lambda ids: scratch.save(ids.withColumn("more", F.col("id") % 10))
+    beside = lambda x, y: f"abs({x}.home - {y}.home) = 10 AND {x}.more <> {y}.more"
+    links = open_pairs(shared, components, lambda x, y: "true", [], told, scratch, beside)
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 10), (10, 20), (20, 30)}
+    assert rows[-1] <= 40 * 2
