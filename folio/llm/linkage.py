@@ -13,6 +13,8 @@ from folio.llm.runtime import Scratch
 SMALL = 8
 #: Members of a large bucket outside its main component that one block holds, and members that one chunk holds.
 BLOCK, CHUNK = 256, 4096
+#: Members that one chunk holds where a block and a chunk are rows as a whole.
+HELD = 1024
 #: Keys of open buckets, the least, that a member has with it: a pair of two such keys in common is left to the lesser.
 LEAST_KEYS = 8
 
@@ -45,11 +47,11 @@ def first_pairs(shared: DataFrame, near: Near, traits: list[str]) -> DataFrame:
     return small.unionByName(star).where(near("x", "y")).select(*ordered("x.id", "y.id")).distinct()
 
 
-def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scratch: Scratch, most: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is left to compare of large buckets: members outside the bucket's main component, against all its members.
 
     (key, block, chunk, x) twice: those outside, dealt to blocks of about BLOCK, and all members, dealt
-    to chunks of about CHUNK; and the table that both read, to be dropped after use.  Every block meets every chunk of its bucket, so no task holds more
+    to chunks of about ``most``, with whether they are of the main component; and the table that both read, to be dropped after use.  Every block meets every chunk of its bucket, so no task holds more
     than a block and a chunk however large the bucket is.  ``x`` has id, the traits and ``home``, the
     component.  Buckets within one component are done: a pair of theirs couldn't join two.
     """
@@ -60,12 +62,12 @@ def open_blocks(shared: DataFrame, components: DataFrame, traits: list[str], scr
     counts = placed.groupBy("key", "x.home").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("main"), (F.sum("c") - F.max("c")).alias("out"))
     main = main.select(F.col("key").alias("k"), "main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"))
-    both = placed.join(main, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    both = placed.join(main, F.col("key") == F.col("k")).withColumn("chunks", F.ceil(F.col("n") / most).cast("int"))
     mine = lambda n, seed: F.pmod(F.xxhash64("x.id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = both.where("x.home <> main").withColumn("block", mine("blocks", 1)).withColumn("chunk", every("chunks"))
     members = both.withColumn("chunk", mine("chunks", 2)).withColumn("block", every("blocks"))
-    return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x"), placed
+    return outside.select("key", "block", "chunk", "x"), members.select("key", "block", "chunk", "x", (F.col("x.home") == F.col("main")).alias("is_main")), placed
 
 
 def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: list[str], told: Callable[[DataFrame], DataFrame], scratch: Scratch, linked: Near | None = None) -> DataFrame:
@@ -73,10 +75,10 @@ def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: lis
 
     ``told`` gives, for a table of ids, what ``near`` asks for besides ``traits``.  A pair meets in every
     bucket that it shares; it becomes a row only where no lesser key among the least of both is common.
-    With ``linked``, the exact test, the rows are links between components instead, by the ids that name them: what a
-    member is linked with becomes one row for each component, as more links to it would join nothing else.
+    With ``linked``, the exact test, the rows are links between components instead, by the ids that name them: two components
+    that meet in a bucket are compared until one link is found, as more links between them would join nothing else.
     """
-    outside, members, placed = open_blocks(shared, components, traits, scratch)
+    outside, members, placed = open_blocks(shared, components, traits, scratch, HELD if linked else CHUNK)
     if placed.isEmpty():
         return placed.select(F.col("x.id").alias("a"), F.col("x.id").alias("b"))
     keys = placed.groupBy("x.id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
@@ -85,15 +87,25 @@ def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: lis
     scratch.drop(more)
     more = also
     of = [c for c in more.columns if c != "id"]
-    whole = lambda df: df.join(more.withColumnRenamed("id", "_of"), F.col("x.id") == F.col("_of")).select("key", "block", "chunk", F.struct("x.*", *of).alias("x"))
-    held = whole(outside).groupBy("key", "block", "chunk").agg(F.collect_list("x").alias("block_members"))
-    met = whole(members).join(held, ["key", "block", "chunk"])
+    whole = lambda df: df.join(more.withColumnRenamed("id", "_of"), F.col("x.id") == F.col("_of")).select("key", "block", "chunk", *df.columns[4:], F.struct("x.*", *of).alias("x"))
     sooner = "exists(x.least, k -> k < key AND array_contains(y.least, k))"
-    close = f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner}{f' AND {linked("x", "y")}' if linked else ''})"
+    place = ["key", "block", "chunk"]
     if linked:
-        found = met.select("x.home", F.explode(F.expr(f"array_distinct(transform({close}, y -> y.home))")).alias("other")).select(*ordered("home", "other"))
+
+        def by_home(df: DataFrame, is_main: Column, name: str) -> DataFrame:
+            """The rows of a block or chunk as one row of components, each with its members: one shuffle."""
+            homes = df.withColumn("is_main", is_main).repartition(*place).groupBy(*place, F.col("x.home").alias("home")).agg(F.any_value("is_main").alias("is_main"), F.collect_list("x").alias("members"))
+            return homes.groupBy(*place).agg(F.collect_list(F.struct("home", "is_main", "members")).alias(name))
+
+        met = by_home(whole(outside), F.lit(False), "ours").join(by_home(whole(members), F.col("is_main"), "theirs"), place)
+        # Two components outside the main one meet twice; the lesser's meeting is enough.
+        one = f"exists(o.members, x -> exists(t.members, y -> {near('x', 'y')} AND NOT {sooner} AND {linked('x', 'y')}))"
+        other = f"transform(filter(theirs, t -> (t.is_main OR o.home < t.home) AND {one}), t -> struct(o.home AS home, t.home AS other))"
+        found = met.select(F.explode(F.expr(f"flatten(transform(ours, o -> {other}))")).alias("found")).select(*ordered("found.home", "found.other"))
     else:
-        found = met.select("x", F.explode(F.expr(close)).alias("y")).select(*ordered("x.id", "y.id"))
+        held = whole(outside).groupBy(*place).agg(F.collect_list("x").alias("block_members"))
+        close = f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner})"
+        found = whole(members).join(held, place).select("x", F.explode(F.expr(close)).alias("y")).select(*ordered("x.id", "y.id"))
     pairs = scratch.save(found.distinct(), "pairs")
     scratch.drop(placed, more)
     return pairs

@@ -362,3 +362,17 @@ def test_links_of_open_buckets_are_one_row_for_each_member_and_component(spark,
     links = open_pairs(shared, components, lambda x, y: "true", [], told, scratch, beside)
     assert {(r.a, r.b) for r in links.collect()} == {(0, 10), (10, 20), (20, 30)}
     assert rows[-1] <= 40 * 2
+
+
+def test_two_components_of_a_bucket_are_compared_until_one_link_is_found(spark):
+    """All of 20 and 5 members are linked: one pair decides, the exact test sees no other."""
+    scratch, seen = Scratch(spark), "folio.test.compared."
+    ids = [*range(20), *range(100, 105)]
+    shared = scratch.save(spark.createDataFrame([(7, k, len(ids)) for k in ids], "key long, id long, n long"))
+    components = spark.createDataFrame([(k, k // 100 * 100) for k in ids], "id long, component long")
+    told = lambda ids: scratch.save(ids.withColumn("more", F.lit(0)))
+    linked = lambda x, y: f"length(java_method('java.lang.System', 'setProperty', concat('{seen}', {x}.id, '-', {y}.id), '1')) >= 0"
+    exact = lambda x, y: f"coalesce({linked(x, y)}, true)"
+    links = open_pairs(shared, components, lambda x, y: "true", [], told, scratch, exact)
+    assert [tuple(r) for r in links.collect()] == [(0, 100)]
+    assert sum(str(k).startswith(seen) for k in spark._jvm.System.getProperties().stringPropertyNames()) == 1
