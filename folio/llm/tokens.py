@@ -8,7 +8,8 @@ import re
 import sys
 import types
 import zlib
-from functools import partial
+from array import array
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,25 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: The same for texts within ASCII, where the standard library's patterns are quicker.
 ASCII_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Bytes that byte-level vocabularies show as the character of that number; the others follow from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)}.difference(SHOWN)))}
 #: So many characters of pre-tokens are remembered before the memory is cleared.
 REMEMBERED = 1 << 24
 #: Id after every document.
 END = b"\0\0\0\0"
 
 
+@cache
+def split_by_library():
+    """PRE_TOKEN for texts within the basic plane, by the standard library's quicker patterns; letters and numbers are those of ``regex``."""
+    import regex
+
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = lambda kind: "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(rf"\p{{{kind}}}+", plane))
+    return re.compile(PRE_TOKEN.replace(r"\p{L}+", f"[{ranges('L')}]+").replace(r"\p{N}+", f"[{ranges('N')}]+").replace(r"\p{L}\p{N}", ranges("L") + ranges("N"))).findall
+
+
 def tokenizer_of(path: str) -> ByteTokenizer:
     """The process's own tokenizer for a file: a worker keeps what it has learned from one task to the next."""
     kept = sys.modules.setdefault("_folio_tokenizers", types.ModuleType("_folio_tokenizers"))
@@ -50,7 +64,7 @@ class ByteTokenizer:
         import regex
         from tokenizers import Tokenizer
 
-        self.split, self.split_ascii = regex.compile(PRE_TOKEN).findall, re.compile(ASCII_PRE_TOKEN, re.ASCII).findall
+        self.split_any, self.split_plane, self.split_ascii = regex.compile(PRE_TOKEN).findall, split_by_library(), re.compile(ASCII_PRE_TOKEN, re.ASCII).findall
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
@@ -58,13 +72,20 @@ class ByteTokenizer:
         split = config["pre_tokenizer"] or {}
         byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.whole = not byte_level or config["normalizer"] is not None or config["truncation"] is not None or config["padding"] is not None
+        self.merge = None if self.whole or config["model"]["type"] != "BPE" else self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.held = 0
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split_ascii(text)
+        # Characters outside the basic plane, and none else, are two units.
+        return (self.split_plane if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.split_any)(text)
+
     def __call__(self, text: str) -> bytes:
         if self.whole or self.holds_added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.split_ascii(text) if text.isascii() else self.split(text)
+        words = self.split(text)
         if new := set(words).difference(self.known):
             if self.held > REMEMBERED:
                 self.known, new, self.held = {}, set(words), 0
@@ -73,19 +94,14 @@ class ByteTokenizer:
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, new: set[str]) -> None:
-        """Words after a blank are split again as they were, so many are encoded in one go; others one by one."""
-        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        other = [w for w in new if w[0] != " " or not w[1:].isalpha()]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        """A BPE model merges the words' bytes itself, without the splitting and the offsets of whole texts; others are encoded one by one."""
+        if self.merge:
+            for w in new:
+                self.known[w] = array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(BYTES))]).tobytes()
+            return
+        new = list(new)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
-        if plain:
-            done = self.tokenizer.encode("".join(plain), add_special_tokens=False)
-            data, word = np.array(done.ids, "<u4").tobytes(), np.array(done.word_ids)
-            ends = (4 * np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, len(word))).tolist()
-            start = 0
-            for w, end in zip(plain, ends, strict=True):
-                self.known[w] = data[start:end]
-                start = end
 
 
 def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
@@ -169,26 +185,37 @@ def _matrices(batches, path: str, width: int, window: int, pad: int):
     """Packs windows of about ``window`` tokens, as they come; a window is one bounded piece of memory."""
     encode, part, made = tokenizer_of(path), TaskContext.get().partitionId(), 0
     held: list[tuple] = []
+    counting = np.arange(width, dtype="<u4")
+
+    def column(rows: np.ndarray) -> pa.Array:
+        """Rows of equal width as binary values, without a copy."""
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * 4 * width
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
     def packed():
         nonlocal made
-        ids, docs, pieces, starts, ends, places = [], [], [], [], [], []
-        for members in best_fit_decreasing([n for *_, n in held], width):
-            rows = [held[i] for i in members]
-            lengths = [r[4] for r in rows]
-            body = b"".join(r[3] for r in rows)
-            ids.append(body + np.full(width - len(body) // 4, pad, "<u4").tobytes())
-            docs.append([r[0] for r in rows])
-            pieces.append([r[1] for r in rows])
-            starts.append([r[2] for r in rows])
-            ends.append(np.cumsum([0, *lengths]).tolist())
-            places.append(np.concatenate([*(np.arange(n, dtype="<u4") for n in lengths), np.zeros(width - sum(lengths), "<u4")]).tobytes())
-        numbers = pa.array([(part << 33) + made + k for k in range(len(ids))], pa.int64())
-        made += len(ids)
+        bins = best_fit_decreasing([n for *_, n in held], width)
+        for first in range(0, len(bins), 512):
+            some = bins[first : first + 512]
+            ids, places = np.full((len(some), width), pad, "<u4"), np.zeros((len(some), width), "<u4")
+            docs, pieces, starts, ends = [], [], [], []
+            for members, row, place in zip(some, ids, places, strict=True):
+                at, cuts = 0, [0]
+                for i in members:
+                    data, n = held[i][3:]
+                    row[at : at + n] = np.frombuffer(data, "<u4")
+                    place[at : at + n] = counting[:n]
+                    at += n
+                    cuts.append(at)
+                docs.append([held[i][0] for i in members])
+                pieces.append([held[i][1] for i in members])
+                starts.append([held[i][2] for i in members])
+                ends.append(cuts)
+            numbers = pa.array([(part << 33) + made + k for k in range(len(some))], pa.int64())
+            made += len(some)
+            lists = [pa.array(docs, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([numbers, column(ids), *lists, column(places)], ["sequence_id", "ids", "docs", "pieces", "starts", "cu_seqlens", "position_ids"])
         held.clear()
-        lists = [pa.array(docs, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))]
-        for i in range(0, len(ids), 512):
-            yield pa.RecordBatch.from_arrays([x.slice(i, 512) for x in (numbers, pa.array(ids, pa.binary()), *lists, pa.array(places, pa.binary()))], ["sequence_id", "ids", "docs", "pieces", "starts", "cu_seqlens", "position_ids"])
 
     total = 0
     for batch in batches:

@@ -328,3 +328,21 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert [r.vec_id for r in sorted((r for r in rows if r.query_id == 800), key=lambda r: r.rank)] == list(range(699, 709))
     few = df.where("vec_id < 3")
     assert len(search(few, few).collect()) == 6 and search(df.limit(0), df).collect() == []
+
+
+def test_words_are_merged_without_the_tokenizers_own_splitting():
+    """Once made, the tokenizer isn't asked for words of a BPE vocabulary; the ids are its own, for any character of the basic plane and beyond."""
+    import public_tokenizers
+
+    from folio.llm.tokens import ByteTokenizer
+
+    rng = random.Random(71)
+    odd = [chr(c) for c in (*range(256), 0x301, 0x661, 0x2019, 0x2028, 0x2177, 0x3000, 0x4E2D, 0xAC00, 0xE000, 0xFFFF, 0x1F600, 0x20000)]
+    texts = ["It's plain text, 12 words or so!  And more\n\n", *("".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(500))]
+    mine = ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    plain, mine.tokenizer = mine.tokenizer, None
+    assert not mine.whole
+    for text in texts:
+        assert memoryview(mine(text)).cast("I").tolist() == plain.encode(text, add_special_tokens=False).ids
+        if max(text, default="") <= "￿" and not text.isascii():
+            assert mine.split(text) == mine.split_any(text)
