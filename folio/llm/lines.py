@@ -36,17 +36,19 @@ def words_of(line: Column, unspaced: bool = True) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, body, number, words) of each line with a word; ``body`` tells rows of one id apart.
+    """(id, body, number, norm) of each line with a word: its words with a blank between them; ``body`` tells rows of one id apart.
 
     What belongs to a document is computed before its lines are dealt out, and no text is copied for
     every line.  Lines without a word are told by a pattern, so that no line is cut into words twice.
-    The slower pattern of words is tried only where the text needs it.
+    The slower patterns are tried only where the text needs them.  Of an explode that isn't an outer
+    one Spark infers a filter that computes what is exploded once more; here and below outer ones avoid that.
     """
-    unspaced = (F.octet_length("text") > F.length("text")) & F.rlike("text", F.lit(f"[{UNSPACED}]"))
+    unspaced = (F.octet_length("text") > F.length("text")) & F.rlike("text", F.lit(f"[{UNSPACED[0]}-{UNSPACED[-1]}]")) & F.rlike("text", F.lit(f"[{UNSPACED}]"))
     each = docs.select("id", F.xxhash64("text").alias("body"), unspaced.alias("unspaced"), "text")
-    each = each.select("id", "body", "unspaced", F.posexplode(F.split("text", "\n", -1)).alias("number", "line")).where(F.rlike("line", F.lit(rf"[\p{{L}}\p{{N}}{UNSPACED}]")))
+    each = each.select("id", "body", "unspaced", F.posexplode_outer(F.split("text", "\n", -1)).alias("number", "line")).where(F.rlike("line", F.lit(rf"[\p{{L}}\p{{N}}{UNSPACED}]")))
     line = F.col("line")
-    return each.select("id", "body", "number", F.when(F.col("unspaced"), words_of(line)).otherwise(words_of(line, False)).alias("words"))
+    words = F.when(F.col("unspaced"), words_of(line)).otherwise(words_of(line, False))
+    return each.select("id", "body", "number", F.array_join(words, " ").alias("norm"))
 
 
 def edits_of(size: Column) -> Column:
@@ -55,15 +57,18 @@ def edits_of(size: Column) -> Column:
 
 
 def block_keys(length: int) -> str:
-    """SQL for the hashes of a line's blocks of ``length`` words: one more than may be edited from its start, BACK from its end."""
-    blocks = f"least(size(h) DIV {length}, CAST(edits AS INT) + 1)"
-    front = f"transform(sequence(0, {blocks} - 1), b -> xxhash64({length}, b, slice(h, {length} * b + 1, {length})))"
-    back = f"transform(sequence(1, {BACK}), b -> xxhash64({length}, -b, slice(h, size(h) - {length} * b + 1, {length})))"
-    return f"concat({front}, {back})"
+    """SQL for the hashes of a line's blocks of ``length`` words: one more than may be edited from its start, BACK from its end.
+
+    Blocks are cut by one pattern (each where the last one ended, so that no place is tried twice) and hashed as strings.
+    """
+    blocks = rf"regexp_extract_all(concat(norm, ' '), '\\G{'[^ ]++ ' * length}', 0)"
+    front = f"transform(slice({blocks}, 1, CAST(edits AS INT) + 1), (s, b) -> xxhash64({length}, b, s))"
+    back = ", ".join(f"xxhash64({length}, {-b}, substring_index(substring_index(norm, ' ', {-length * b}), ' ', {length}))" for b in range(1, BACK + 1))
+    return f"concat({front}, array({back}))"
 
 
-def keyed(lines: DataFrame) -> DataFrame:
-    """(id, body, number, key, keys): each line's hash and the line's keys.
+def keys_of(lines: DataFrame) -> DataFrame:
+    """(id, keys): the keys of each line of (id, norm).
 
     Where one edit is permitted, a line's keys are its words whole and without each word in turn:
     lines one edit apart share one.  Longer lines are cut into blocks, one more than the edits, so
@@ -71,14 +76,15 @@ def keyed(lines: DataFrame) -> DataFrame:
     moves what comes after it; so blocks are counted from the end of the line, too.  A line whose
     partner may have more words gives that one's kind of keys as well.
     """
-    hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.size("words").cast("long"))
+    sized = lines.withColumn("size", F.size(F.split("norm", " ")))
     # The longest partner of a line of n words: n' - n <= edits of n'.
-    hashed = hashed.withColumns({"most": F.greatest(F.col("size") + 1, F.floor(F.col("size") * 100 / (100 - EDITS))), "edits": edits_of(F.col("size"))})
-    without = "array_distinct(concat(array(xxhash64(0, h)), transform(sequence(0, size(h) - 1), i -> xxhash64(0, slice(h, 1, i), slice(h, i + 2, size(h))))))"
+    sized = sized.withColumns({"most": F.greatest(F.col("size") + 1, F.floor(F.col("size") * 100 / (100 - EDITS))), "edits": edits_of(F.col("size"))})
+    one_less = "trim(concat(substring_index(norm, ' ', i), ' ', substring_index(norm, ' ', i + 1 - size)))"
+    without = f"array_distinct(concat(array(xxhash64(0, norm)), transform(sequence(0, size - 1), i -> xxhash64(0, {one_less}))))"
     (few, short), (many, long) = BLOCKS
     kinds = [(f"size BETWEEN {LEAST - 1} AND {few - 1}", without), (f"most >= {few} AND size < {many}", block_keys(short)), (f"most >= {many}", block_keys(long))]
     keys = F.expr(f"concat({', '.join(f'IF({when}, {keys}, array())' for when, keys in kinds)})")
-    return hashed.select("id", "body", "number", F.xxhash64("h").alias("key"), keys.alias("keys"))
+    return sized.select("id", keys.alias("keys"))
 
 
 def letters_within(x: str, y: str, longer: str) -> str:
@@ -128,22 +134,13 @@ def within_edits(x: str, y: str, x_norm: str, y_norm: str) -> str:
     return f"IF({words}, {letters_within(x_norm, y_norm, longer)}, false)"
 
 
-def read_again(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, size, bits, code, norm) of each wanted key, from where the line first occurred: its number of words, 64 parities of
-    their hashes, the words as characters, and, where characters count, the words themselves."""
-    homes = classes.join(wanted, "key", "left_semi").select("key", "first.*")
-    homes = homes.groupBy("id", "body").agg(F.collect_list(F.struct("key", "number")).alias("wanted"))
-    at = lambda df: df.withColumn("at", F.xxhash64(F.coalesce("id", F.lit(-1)), "body"))
-    homes = at(homes).select("at", F.col("id").alias("home"), F.col("body").alias("home_body"), "wanted")
-    bodies = at(docs.select("id", F.xxhash64("text").alias("body"), "text")).join(homes.hint("shuffle_hash"), "at")
-    bodies = bodies.where((F.col("body") == F.col("home_body")) & F.col("id").eqNullSafe(F.col("home"))).select("at", F.split("text", "\n", -1).alias("all"), "wanted")
-    found = F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), F.get("all", w["number"]).alias("line")))
-    # Rows with equal id and text are one occurrence; they are in one task already.
-    found = bodies.select("at", F.explode(found).alias("w")).select("at", "w.*").dropDuplicates(["at", "key"])
-    words = found.select("key", words_of(F.col("line")).alias("words"))
-    hashed = words.select("key", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").cast("long").alias("size"))
+def traits_of(lines: DataFrame) -> DataFrame:
+    """(key, size, bits, code, norm) of lines (key, norm): the number of words, 64 parities of their hashes, the words as
+    characters, and, where characters count, the words themselves."""
+    hashed = lines.select("key", "norm", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = hashed.withColumn("size", F.size("h").cast("long"))
     bits = F.expr("aggregate(h, 0L, (s, x) -> s ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return hashed.select("key", "size", bits.alias("bits"), word_string(F.col("h")).alias("code"), F.when(F.col("size") < LETTERS[-1][0], F.array_join("words", " ")).alias("norm"))
+    return hashed.select("key", "size", bits.alias("bits"), word_string(F.col("h")).alias("code"), F.when(F.col("size") < LETTERS[-1][0], F.col("norm")).alias("norm"))
 
 
 def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,22 +150,25 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ``docs`` has id and text.  Lines belong together if they are equal when normalised, or, from LEAST
     words on, if at most EDITS percent of the longer line's words are edited, one at least (in lines of
     few words also at most so many of its characters as LETTERS says); and so do groups that such
-    pairs connect.  Pairs are those that share a key; see ``keyed``.  Of each group the first
+    pairs connect.  Pairs are those that share a key; see ``keys_of``.  Of each group the first
     occurrence by (id, body, number) stays.  Lines are told apart by a 64-bit hash, words in edit
     distances by one of 40,000 characters.
     """
-    whole = scratch.save_hashes(keyed(lines_of(docs)), "lines")
+    whole = scratch.save_texts(lines_of(docs).select("id", "body", "number", F.xxhash64("norm").alias("key"), "norm"), "lines")
     place = F.struct("id", "body", "number")
-    wide = scratch.save_hashes(whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "classes")
-    lines = scratch.save(whole.select("id", "body", "number", "key"), "places")
-    scratch.drop(whole)  # so that no line's keys are held twice
+    wide = scratch.save_texts(whole.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("norm").alias("norm")), "classes")
+    lines = scratch.save_hashes(whole.select("id", "body", "number", "key"), "places")
+    scratch.drop(whole)  # so that no line is held twice
+    scratch.tidy()
+    keys = keys_of(wide.select(F.col("key").alias("id"), "norm")).select(F.explode_outer("keys").alias("key"), "id").where("key IS NOT NULL")
+    rows = scratch.save_hashes(shared_buckets(keys), "keys")
     scratch.tidy()
-    rows = scratch.save_hashes(shared_buckets(wide.select(F.explode("keys").alias("key"), F.col("key").alias("id"))), "keys")
-    classes = scratch.save(wide.drop("keys"), "classes")
+    # Most keys are one line's alone; only the lines that share one are prepared for all that comparisons ask for.
+    wanted = rows.select(F.col("id").alias("key")).distinct()
+    texts = scratch.save(traits_of(wide.select("key", "norm").join(wanted.hint("shuffle_hash"), "key", "left_semi")), "texts")
+    classes = scratch.save_hashes(wide.drop("norm"), "classes")
     scratch.drop(wide)
     scratch.tidy()
-    # Most keys are one line's alone; only the lines that share one are read again, once, for all that comparisons ask for.
-    texts = scratch.save(read_again(docs, classes, rows.select(F.col("id").alias("key")).distinct()), "texts")
     traits = texts.select(F.col("key").alias("id"), "size", "bits", F.when(F.col("size") < BLOCKS[0][0], F.col("norm")).alias("norm"))
     shared = scratch.save(rows.join(traits.hint("merge"), "id").select("key", "id", "n", "size", "bits", "norm"), "buckets")
     scratch.drop(rows)
@@ -180,15 +180,19 @@ def line_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return scratch.save(both.where(within_edits("x", "y", "x_norm", "y_norm")).select("a", "b"), "links")
 
     def told(ids: DataFrame) -> DataFrame:
-        """(id, w0, w1, ..., code, letters): the lines' further parities, and what decides."""
-        mine = scratch.save(texts.select(F.col("key").alias("id"), "code", F.col("norm").alias("letters")).join(ids, "id", "left_semi"), "told")
+        """(id, w0, w1, ..., least_size, most_size, code, letters): the lines' further parities, their partners' sizes, and what decides."""
+        size = F.col("size")
+        reach = [(size - F.greatest(F.lit(1), F.floor(size * EDITS / 100))).alias("least_size"), F.greatest(size + 1, F.floor(size * 100 / (100 - EDITS))).alias("most_size")]
+        mine = scratch.save(texts.select(F.col("key").alias("id"), *reach, "code", F.col("norm").alias("letters")).join(ids, "id", "left_semi"), "told")
         return scratch.save(parities(mine).join(mine, "id"), "parities")
 
     links = verify(scratch.save(first_pairs(shared, near, TRAITS), "pairs"))
     scratch.tidy()
     components = connected_components(links, scratch)
     exact = lambda x, y: within_edits(f"{x}.code", f"{y}.code", f"{x}.letters", f"{y}.letters")
-    left = open_pairs(shared, components, near_by_more, TRAITS, told, scratch, exact)
+    # Most pairs differ in size by more than is permitted; two comparisons say so.
+    close = lambda x, y: f"({y}.size >= {x}.least_size AND {y}.size <= {x}.most_size AND {near_by_more(x, y)})"
+    left = open_pairs(shared, components, close, TRAITS, told, scratch, exact)
     if not left.isEmpty():
         components = connected_components(links.unionByName(left), scratch)
     scratch.drop(shared, texts)

@@ -98,14 +98,19 @@ def open_pairs(shared: DataFrame, components: DataFrame, near: Near, traits: lis
             return homes.groupBy(*place).agg(F.collect_list(F.struct("home", "is_main", "members")).alias(name))
 
         met = by_home(whole(outside), F.lit(False), "ours").join(by_home(whole(members), F.col("is_main"), "theirs"), place)
+        # Two components that are linked with a third one here are one already; taken in order, of k that are all alike k - 1 links are looked for.
+        joined = "flatten(transform(filter(found, f -> f.other = o.home), f -> transform(filter(found, g -> g.home = f.home), g -> g.other)))"
         # Two components outside the main one meet twice; the lesser's meeting is enough.
-        one = f"exists(o.members, x -> exists(t.members, y -> {near('x', 'y')} AND NOT {sooner} AND {linked('x', 'y')}))"
+        one = f"exists(o.members, x -> exists(t.members, y -> {near('x', 'y')} AND NOT array_contains(joined, t.home) AND NOT {sooner} AND {linked('x', 'y')}))"
         other = f"transform(filter(theirs, t -> (t.is_main OR o.home < t.home) AND {one}), t -> struct(o.home AS home, t.home AS other))"
-        found = met.select(F.explode(F.expr(f"flatten(transform(ours, o -> {other}))")).alias("found")).select(*ordered("found.home", "found.other"))
+        none = "CAST(array() AS ARRAY<STRUCT<home: BIGINT, other: BIGINT>>)"
+        links = f"aggregate(array_sort(ours, (p, q) -> IF(p.home < q.home, -1, 1)), {none}, (found, o) -> concat(found, transform(array({joined}), joined -> {other})[0]))"
+        # Of an explode that isn't an outer one Spark infers a filter that compares everything once more.
+        found = met.select(F.explode_outer(F.expr(links)).alias("found")).where("found IS NOT NULL").select(*ordered("found.home", "found.other"))
     else:
         held = whole(outside).groupBy(*place).agg(F.collect_list("x").alias("block_members"))
         close = f"filter(block_members, y -> y.home <> x.home AND {near('x', 'y')} AND NOT {sooner})"
-        found = whole(members).join(held, place).select("x", F.explode(F.expr(close)).alias("y")).select(*ordered("x.id", "y.id"))
+        found = whole(members).join(held, place).select("x", F.explode_outer(F.expr(close)).alias("y")).where("y IS NOT NULL").select(*ordered("x.id", "y.id"))
     pairs = scratch.save(found.distinct(), "pairs")
     scratch.drop(placed, more)
     return pairs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import connected_components
 from folio.llm.linkage import BLOCK, SMALL, open_pairs
-from folio.llm.lines import dedup_lines, near_by_more, parities, word_string
+from folio.llm.lines import dedup_lines, keys_of, lines_of, near_by_more, parities, word_string
 from folio.llm.minhash import band_keys, keep_one, near_duplicates
 from folio.llm.runtime import Scratch
 
@@ -376,3 +376,22 @@ def test_two_components_of_a_bucket_are_compared_until_one_link_is_found(spark):
     links = open_pairs(shared, components, lambda x, y: "true", [], told, scratch, exact)
     assert [tuple(r) for r in links.collect()] == [(0, 100)]
     assert sum(str(k).startswith(seen) for k in spark._jvm.System.getProperties().stringPropertyNames()) == 1
+
+
+def test_components_that_one_bucket_joins_are_linked_once(spark):
+    """Of a bucket of twenty that are all alike nineteen links are found, not all pairs, and they hold it together."""
+    shared = spark.createDataFrame([(1, i, 20) for i in range(20)], "key long, id long, n long")
+    none, scratch = spark.createDataFrame([], "id long, component long"), Scratch(spark)
+    alike = lambda x, y: "true"
+    pairs = open_pairs(shared, none, alike, [], lambda ids: scratch.save(ids.withColumn("more", F.lit(0))), scratch, alike)
+    assert pairs.count() == 19 and {r.component for r in connected_components(pairs, scratch).collect()} == {0}
+
+
+def test_lines_and_keys_are_computed_once(spark):
+    """What is exploded isn't computed once more by a filter that Spark infers from it."""
+    docs = spark.createDataFrame([(1, "a b c d\ne f"), (2, None), (3, "")], "id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = lines_of(docs)
+    assert plan(lines).count("split(") == 1 and [(r.id, r.number, r.norm) for r in lines.collect()] == [(1, 0, "a b c d"), (1, 1, "e f")]
+    keys = keys_of(lines.select("id", "norm")).collect()
+    assert sorted(len(r["keys"]) for r in keys) == [0, 5]
